@@ -17,8 +17,14 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import with_edits
+
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_minhash_near_dedup]
+    found = [op3_minhash_near_dedup, op5_document_fingerprints]
     return {f.__name__: f for f in found}
 
 
