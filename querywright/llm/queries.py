@@ -23,8 +23,17 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out("doc_id")))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_minhash_near_dedup, op5_document_fingerprints]
+    found = [op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id]
     return {f.__name__: f for f in found}
 
 
