@@ -17,6 +17,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -39,7 +45,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id]
+    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id]
     return {f.__name__: f for f in found}
 
 
