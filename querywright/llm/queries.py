@@ -44,8 +44,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter("toxic IS NOT NULL").select("doc_id", toxicity.graded().alias("grade")))
+    return toxicity.score(docs, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id]
+    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id, op8_toxicity]
     return {f.__name__: f for f in found}
 
 
