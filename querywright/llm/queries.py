@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import deduplicate
+
+    kept = deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id, op7_sentencepiece, op8_toxicity]
+    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id, op7_sentencepiece, op8_toxicity, op9_line_dedup]
     return {f.__name__: f for f in found}
 
 
