@@ -67,8 +67,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import anonymize
+
+    return anonymize(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id, op7_sentencepiece, op8_toxicity, op9_line_dedup]
+    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id, op7_sentencepiece, op8_toxicity, op9_line_dedup, op10_pii_surrogates]
     return {f.__name__: f for f in found}
 
 
