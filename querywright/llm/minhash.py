@@ -7,9 +7,10 @@ none of the 32 bands with probability 5e-8.  Candidates are confirmed on full se
 
 Equal sets are folded into one representative before banding.  Confirmed links are
 gathered in two steps: each representative with the smallest one it shares a band
-with, then, for bands whose members are still in different components, the pairs
-across those components.  A large group of near copies therefore costs one check a
-member, never all its pairs, and no link that joins two components is left out.
+with; then the members of bands that still hold different components are joined across
+components by an exact set-similarity join, rarest shingles first.  A large group of near
+copies therefore costs one check a member, texts that share no more than a common line
+never meet, and no link that joins two components is left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, components, mix, saved, shingles, signed, slices, words
+from .setjoin import candidate_pairs
 
 PERMUTATIONS = 64
 BAND_VALUES = 4
@@ -97,6 +99,19 @@ def _verifier(n: int, percent: int):
     return verify
 
 
+def _setter(n: int):
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            doc, h = shingles(words(part.column("text"), lower=True), n)
+            first = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), part.column("c"), pa.array(np.diff(first).astype(np.int64)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), signed(h))],
+                names=["id", "c", "n", "hs"],
+            )
+
+    return sets
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: whether the full shingle sets of their texts are that similar."""
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
@@ -134,11 +149,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     part = saved(components(links))
     placed = hits.join(part, hits["rep"] == part["id"], "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = saved(placed.join(mixed, "key"))
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep"))
-                  & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    apart = placed.join(mixed, "key").select(F.col("rep").alias("id"), "c").distinct()
+    sets = texts.join(apart, "id").select("id", "c", "text").mapInArrow(_setter(n), "id long, c long, n long, hs array<long>")
+    tokens = saved(sets).select("id", "c", "n", F.explode("hs").alias("h"))
+    rest = candidate_pairs(tokens, percent)
     rest = saved(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     second = saved(confirmed(rest, texts, n, percent).filter("linked").select("a", "b"))
     if second.take(1):
