@@ -30,6 +30,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import with_edits
 
@@ -74,7 +80,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op5_document_fingerprints, op6_language_id, op7_sentencepiece, op8_toxicity, op9_line_dedup, op10_pii_surrogates]
+    found = [op1_mixing, op2_substring_dedup, op3_minhash_near_dedup, op4_embedding_near_dedup, op5_document_fingerprints, op6_language_id, op7_sentencepiece, op8_toxicity, op9_line_dedup, op10_pii_surrogates]
     return {f.__name__: f for f in found}
 
 
