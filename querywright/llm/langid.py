@@ -55,8 +55,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return {lang: " ".join(map(letters, x)).encode()[-dictionary_bytes:] for lang, x in ((a, texts[a]) for a in langs if a in texts)}
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``id_col``, the ``keep`` columns, ``lang_pred``, ``score`` (0 to 1) and ``accepted`` for every row.
+def predict(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``id_col``, the ``keep`` columns, the text where asked for, ``lang_pred``, ``score`` (0 to 1) and ``accepted`` for every row.
 
     Null texts, texts without letters and every text under an empty model are ``und`` with score 0
     and not accepted; equal sizes go to the language first in the model (the most frequent); a margin under ``min_margin`` is
@@ -87,11 +87,12 @@ def predict(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id",
                 second = min(s for k, s in enumerate(sizes) if k != best)
                 langs.append(names[best])
                 scores.append(max(0.0, (second - sizes[best]) / second))
-            rest = [part.column(c) for c in part.schema.names if c != "text__"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*[c for c in part.schema.names if c != "text__"], "lang_pred", "score"])
+            names_out = [c for c in part.schema.names if with_text or c != "text__"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names_out), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names_out, "lang_pred", "score"])
 
     columns = list(dict.fromkeys([id_col, *keep]))
     plain = docs.select(*columns, F.col(text_col).cast("string").alias("text__"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text__")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if with_text or f.name != "text__")
     out = plain.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    out = out.withColumnRenamed("text__", text_col)
     return out.withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("score") >= min_margin))
