@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, Words, chain, mix, saved, signed, slices, words
@@ -119,18 +120,16 @@ def _class(w: Words) -> np.ndarray:
     return mix(out ^ w.counts.astype(U)[:, None])
 
 
-def _texts(w: Words, d: int, keep: np.ndarray | None = None) -> bytes:
-    a, b = int(w.first[d]), int(w.first[d + 1])
-    rows = range(a, b) if keep is None else np.flatnonzero(keep[a:b]) + a
-    data, start, size = memoryview(w.data), w.start, w.size
-    return b" ".join([data[start[k] : start[k] + size[k]] for k in rows])
+def _plain(part: pa.RecordBatch) -> list[list[bytes]]:
+    """The words of each text as bytes: ``bytes.split`` cuts at the same six characters."""
+    return [t.encode().split() for t in part.column("text").to_pylist()]
 
 
 def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         w = words(part.column("text"))
         key = _class(w)
-        digest = [hashlib.sha256(_texts(w, d)).hexdigest() for d in range(part.num_rows)]
+        digest = [hashlib.sha256(b" ".join(t)).hexdigest() for t in _plain(part)]
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(w.counts), signed(key[:, 0]), signed(key[:, 1]), pa.array(digest, pa.string())], names=["id", "n_words", "k1", "k2", "whole"])
 
 
@@ -141,21 +140,20 @@ def _anchor_rows(n: int):
             _, doc, found = anchors(w, n)
             if not len(doc):
                 continue
-            key = _class(w)[:, 0]
+            key = (_class(w)[:, 0] >> U(33)).astype(np.int32)
             fresh = np.ones(len(doc), bool)
             fresh[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([signed(found[fresh]), signed(key[doc[fresh]])], names=["anchor", "k1"])
+            doc, found = doc[fresh], found[fresh]
+            yield pa.RecordBatch.from_arrays([signed(found), pa.array(key[doc]), part.column("id").take(pa.array(doc))], names=["anchor", "class", "id"])
 
     return run
 
 
 def _window_rows(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in map(_own, slices(batches, "text")):
             w = words(part.column("text"))
             at, doc, found = anchors(w, n)
-            if not len(at):
-                continue
             lists = part.column("anchors")
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
             take = np.zeros(len(at), bool)
@@ -164,24 +162,26 @@ def _window_rows(n: int):
                 take[first[d] : first[d + 1]] = np.isin(found[first[d] : first[d + 1]], shared)
             rows = at[take]
             one, two = chain(w.hash, n, 5)[rows], chain(w.hash, n, 7)[rows]
-            place = (rows - w.first[doc[take]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([signed(one), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), part.column("id").take(pa.array(doc[take])), part.column("k1").take(pa.array(doc[take])), pa.array(place)], names=["h1", "h2", "id", "k1", "at"])
+            text = pa.array(doc[take])
+            place = rows - w.first[doc[take]] + (part.column("slot").to_numpy().astype(np.int64) << 32)[doc[take]]
+            yield pa.RecordBatch.from_arrays([signed(one), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), part.column("id").take(text), pa.array(place)], names=["h1", "h2", "id", "at"])
 
     return run
 
 
 def _rest(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in map(_own, slices(batches, "text")):
             w = words(part.column("text"))
             cover = np.zeros(len(w.hash) + 1, np.int32)
-            lists = part.column("cut")
+            lists, slot = part.column("cut"), part.column("slot").to_pylist()
             for d in range(part.num_rows):
-                starts = np.unique(lists[d].values.to_numpy(zero_copy_only=False)) + w.first[d]
+                starts = np.unique(lists[d].values.to_numpy(zero_copy_only=False))
+                starts = (starts[starts >> 32 == slot[d]] & 0xFFFFFFFF) + w.first[d]
                 cover[starts] += 1
                 np.subtract.at(cover, starts + n, 1)
             keep = np.cumsum(cover[:-1]) == 0
-            texts = [_texts(w, d, keep) for d in range(part.num_rows)]
+            texts = [b" ".join(compress(t, keep[w.first[d] : w.first[d + 1]].tolist())) for d, t in enumerate(_plain(part))]
             removed = w.counts - np.array([keep[w.first[d] : w.first[d + 1]].sum() for d in range(part.num_rows)], np.int64)
             digest = [hashlib.sha256(t).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(removed), pa.array(digest), pa.array([t.decode() for t in texts])], names=["k1", "k2", "n_removed", "digest", "kept_text"])
@@ -189,6 +189,34 @@ def _rest(n: int):
     return run
 
 
+def _classes(base: DataFrame, n: int) -> DataFrame:
+    """Each word sequence of ``n`` words or more with the smallest id that has it; ``slot`` tells apart texts of one id."""
+    first = base.filter("id IS NOT NULL").filter(F.col("n_words") >= n).groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    return first.withColumn("slot", F.row_number().over(Window.partitionBy("rep").orderBy("k1", "k2")) - 1)
+
+
+def _candidates(plain: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """One text a class, with those of its anchors that other classes have too."""
+    found = plain.filter("id IS NOT NULL").mapInArrow(_anchor_rows(n), "anchor long, class int, id long")
+    shared = found.groupBy("anchor").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("anchor")
+    held = found.select("anchor", "id").join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+    held = held.join(classes.select(F.col("rep").alias("id"), "k1", "k2", "slot"), "id")
+    return plain.join(held, "id").select("id", "k1", "k2", "slot", "text", "anchors")
+
+
+def _own(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Without rows that pair a text with the class of another text of its id."""
+    key = _class(words(part.column("text")))[:, 0]
+    same = key.view(np.int64) == part.column("k1").to_numpy()
+    return part if same.all() else part.filter(pa.array(same))
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The windows of each id that a smaller id has too."""
+    lowest = rows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    return rows.join(lowest, ["h1", "h2"]).filter("id > lo").groupBy("id").agg(F.collect_list("at").alias("cut"))
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, with_text: bool = False) -> DataFrame:
     """``(id_col, n_words, n_removed, kept_sha256)`` for every row, and ``kept_text`` where asked for.
 
@@ -199,25 +227,15 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = saved(plain.mapInArrow(_describe, "id long, n_words long, k1 long, k2 long, whole string"))
-    classes = saved(base.filter("id IS NOT NULL").filter(F.col("n_words") >= n).groupBy("k1", "k2").agg(F.min("id").alias("rep")))
-
-    found = plain.filter("id IS NOT NULL").mapInArrow(_anchor_rows(n), "anchor long, k1 long")
-    small = F.shiftright(F.xxhash64("k1"), 33).cast("int")
-    shared = found.groupBy("anchor").agg(F.min(small).alias("lo"), F.max(small).alias("hi")).filter("lo < hi").select("anchor")
-    held = found.join(shared, "anchor").distinct().groupBy("k1").agg(F.collect_list("anchor").alias("anchors"))
-    held = saved(held.join(classes, "k1").select(F.col("rep").alias("id"), "k1", "k2", "anchors"))
-
-    texts = plain.join(held, "id")
-    texts = saved(texts.select("id", "k1", "k2", "text", "anchors"))
-    rows = saved(texts.select("id", "k1", "text", "anchors").mapInArrow(_window_rows(n), "h1 long, h2 int, id long, k1 long, at int"))
-    lowest = rows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
-    cut = rows.join(lowest, ["h1", "h2"]).filter("id > lo").groupBy("id", "k1").agg(F.collect_list("at").alias("cut"))
-    part = texts.select("id", "k1", "k2", "text").join(cut, ["id", "k1"]).mapInArrow(_rest(n), "k1 long, k2 long, n_removed long, digest string, kept_text string")
+    classes = saved(_classes(base, n))
+    texts = saved(_candidates(plain, classes, n))
+    cut = saved(_cut(saved(texts.mapInArrow(_window_rows(n), "h1 long, h2 int, id long, at long"))))
+    part = texts.select("id", "k1", "k2", "slot", "text").join(cut, "id").mapInArrow(_rest(n), "k1 long, k2 long, n_removed long, digest string, kept_text string")
     part = part if with_text else part.drop("kept_text")
     part = saved(part.dropDuplicates(["k1", "k2"]))
 
-    copy = F.col("id") > F.col("rep")
     out = base.join(classes, ["k1", "k2"], "left").join(part, ["k1", "k2"], "left")
+    copy = F.col("id") > F.col("rep")
     columns = [
         F.col("id").alias(id_col),
         "n_words",
