@@ -92,7 +92,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders")
 
 
-_BY_DATE = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def _by_date() -> WindowSpec:
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 @R.frame("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
@@ -112,7 +113,7 @@ def window_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_f = F.col("o_orderstatus") == "F"
     return _orders(spark, sf_dir).select(
         "o_orderkey",
-        filtered_over(F.count, F.lit(1), is_f, _BY_DATE).alias("finals"),
+        filtered_over(F.count, F.lit(1), is_f, _by_date()).alias("finals"),
         filtered_over(F.max, F.col("o_totalprice"), is_f, Window.partitionBy("o_custkey")).alias("best"),
     )
 
@@ -125,7 +126,7 @@ def window_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.frame("SELECT o_orderkey, median(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS mid FROM orders")
 def window_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select("o_orderkey", median_over(F.col("o_totalprice"), _BY_DATE).alias("mid"))
+    return _orders(spark, sf_dir).select("o_orderkey", median_over(F.col("o_totalprice"), _by_date()).alias("mid"))
 
 
 @R.frame("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

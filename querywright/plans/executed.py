@@ -89,12 +89,22 @@ def operators(df: DataFrame) -> Counter[str]:
 
 def scans(df: DataFrame) -> list[dict[str, str]]:
     """Of each file scan, what reached it: columns read, filters pushed down and partition filters."""
-    text = df._jdf.queryExecution().executedPlan().toString()
     found = []
-    for line in text.splitlines():
-        if "FileScan" in line:
-            get = lambda key, line=line: (re.search(key + r": (\[[^\]]*\]?|struct<[^>]*>?)", line) or [None, ""])[1]
+
+    def visit(plan) -> None:
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            visit(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            visit(plan.plan())
+        elif name == "FileSourceScanExec":
+            about = plan.metadata()
+            get = lambda key: about.apply(key) if about.contains(key) else ""
             found.append({"pushed": get("PushedFilters"), "partition": get("PartitionFilters"), "columns": get("ReadSchema")})
+        for child in _items(plan.children()):
+            visit(child)
+
+    visit(df._jdf.queryExecution().executedPlan())
     return found
 
 
