@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,26 +62,31 @@ def _keys(first: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = (np.zeros(0, U), np.zeros(0, np.int64))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def merged(a, b):
-        t, place = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-        return t, np.bincount(place, weights=np.concatenate([a[1], b[1]]), minlength=len(t)).astype(np.int64)
+    def merged() -> pa.RecordBatch:
+        t, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(t, kind="stable")
+        t, n = t[order], n[order]
+        head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        return pa.RecordBatch.from_arrays([signed(t[head]), pa.array(np.add.reduceat(n, head))], names=["token", "n"])
 
     for part in slices(batches, "text"):
-        token = np.sort(_lines(part.column("text"), None)[3])
-        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        kept = merged(kept, (token[head], np.diff(np.append(head, len(token)))))
-        if len(kept[0]) > 500_000:
-            yield pa.RecordBatch.from_arrays([signed(kept[0]), pa.array(kept[1])], names=["token", "n"])
-            kept = (np.zeros(0, U), np.zeros(0, np.int64))
-    yield pa.RecordBatch.from_arrays([signed(kept[0]), pa.array(kept[1])], names=["token", "n"])
+        token = np.sort(words(part.column("text"), lower=True).hash >> U(8))
+        if len(token):
+            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            held.append((token[head], np.diff(np.append(head, len(token)))))
+        if sum(len(t) for t, _ in held) > 2_000_000:
+            yield merged()
+    if held:
+        yield merged()
 
 
 def rarity_table(plain: DataFrame, *, counted: int = COUNTED_WORDS) -> tuple[np.ndarray, int]:
     """Coarse word counts by hash cell, and the least count that is in them.
 
-    Counts are over all lines; at most ``counted`` words, the most frequent, reach the driver.
+    Counts are over all texts; at most ``counted`` words, the most frequent, reach the driver.
     """
     counts = saved(plain.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1"))
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect()
@@ -102,86 +108,189 @@ def _ceil(a, b: int):
     return -((-a) // b)
 
 
-def near_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``(id, cut)``: for every document that loses lines, their numbers from 0.
+def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        doc, number, first, token = _lines(part.column("text"), None)
+        one, two, _ = _keys(first, token)
+        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array(number.astype(np.int32)), signed(one), signed(two)], names=["id", "line", "k1", "k2"])
 
-    A line goes when an earlier one, by (id, line number), has a word set of that Jaccard likeness; lines
-    are judged on the input.  Lines without words never go and match nothing.  Rows with a null
-    id take no part; rows that repeat an id count as one document whose lines compare by number.
-    """
-    plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rare, least = rarity_table(plain.select("text"))
-    shipped = docs.sparkSession.sparkContext.broadcast(rare)
 
-    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            doc, number, first, token = _lines(part.column("text"), None)
-            one, two, _ = _keys(first, token)
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array(number.astype(np.int32)), signed(one), signed(two)], names=["id", "line", "k1", "k2"])
+def _poster(shipped: Broadcast, least: int, percent: int):
+    """Prefix words of the lines, each distinct line once a slice: by the first place it stands at."""
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shipped.value
         for part in slices(batches, "text"):
-            _, _, first, token = _lines(part.column("text"), rarity)
-            one, two, parity = _keys(first, token)
-            pick = np.unique(one, return_index=True)[1]
+            doc, number, first, token = _lines(part.column("text"), rarity)
+            if not len(doc):
+                continue
+            one, _, parity = _keys(first, token)
+            ids = part.column("id").to_numpy()[doc]
+            order = np.lexsort((number, ids, one))
+            pick = order[np.flatnonzero(np.concatenate([[True], one[order][1:] != one[order][:-1]]))]
             n = np.diff(first)[pick]
             reach = n - _ceil(n * percent, 100) + 1
             line = np.repeat(np.arange(len(pick)), reach)
             r = np.arange(len(line)) - np.repeat(np.cumsum(reach) - reach, reach)
             t = token[first[pick][line] + r]
-            if least <= 2:  # a word of one line alone matches nothing
+            if least <= 2:  # a word that occurs once matches nothing
                 known = t > _LOW
                 line, r, t = line[known], r[known], t[known]
             own = pick[line]
             yield pa.RecordBatch.from_arrays(
-                [signed(t & _LOW), signed(one[own]), signed(two[own]), signed(parity[own]), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
-                names=["token", "k1", "k2", "parity", "n", "r"],
+                [pa.array((t & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), signed(one[own]), signed(parity[own]), pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
+                names=["t", "k1", "parity", "id", "line", "n", "r"],
             )
 
-    lines = saved(plain.mapInArrow(describe, "id long, line int, k1 long, k2 long"))
-    firsts = saved(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("at")))
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = plain.select("text").mapInArrow(post, "token long, k1 long, k2 long, parity long, n int, r int")
-    posted = posted.repartition(parts, "token").distinct()
-    y = posted.alias("y")
-    x = posted.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).alias("x")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
-    met = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.struct("x.n", "x.k1", "x.k2") < F.struct("y.n", "y.k1", "y.k2"))
-        & (F.col("x.n") * 100 >= F.col("y.n") * percent)
-        & (F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r")) + 1 >= need)
-        & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= F.col("x.n") + F.col("y.n") - 2 * need),
-    )
-    pairs = saved(met.select(F.col("x.k1").alias("a1"), F.col("x.k2").alias("a2"), F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2")).distinct())
-
-    asked = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
-    wanted = firsts.join(asked, ["k1", "k2"]).groupBy(F.col("at.id").alias("id")).agg(F.collect_list("at.line").alias("want"))
-
-    def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            doc, number, first, token = _lines(part.column("text"), None)
-            one, two, _ = _keys(first, token)
-            lists = [set(x) for x in part.column("want").to_pylist()]
-            take = [k for k, (d, m) in enumerate(zip(doc.tolist(), number.tolist(), strict=True)) if m in lists[d]]
-            sets = [token[first[k] : first[k + 1]].view(np.int64) for k in take]
-            yield pa.RecordBatch.from_arrays([signed(one[take]), signed(two[take]), pa.array(sets, pa.list_(pa.int64()))], names=["k1", "k2", "words"])
-
-    sets = saved(plain.join(wanted, "id").mapInArrow(fetch, "k1 long, k2 long, words array<long>").dropDuplicates(["k1", "k2"]))
-    left = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("words").alias("wa"))
-    right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("words").alias("wb"))
-    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-    common = F.size(F.array_intersect("wa", "wb"))
-    linked = both.filter(common * 100 >= (F.size("wa") + F.size("wb") - common) * percent).select("a1", "a2", "b1", "b2")
-    ways = linked.union(linked.select("b1", "b2", "a1", "a2")).toDF("k1", "k2", "o1", "o2")
-    partner = firsts.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("at").alias("other"))
-    earliest = ways.join(partner, ["o1", "o2"]).groupBy("k1", "k2").agg(F.min("other").alias("other"))
-    since = firsts.join(earliest, ["k1", "k2"], "left").select("k1", "k2", F.least("at", F.coalesce("other", "at")).alias("since"))
-    gone = lines.join(since, ["k1", "k2"]).filter(F.struct("id", "line") > F.col("since"))
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("cut"))
+    return post
+
+
+_POSTED = "t int, k1 long, parity long, id long, line int, n int, r int"
+_MET = "id long, line int, oid long, oline int, apart int, more boolean"
+
+
+def _pair_filter(n1, r1, p1, n2, r2, p2, percent: int):
+    """Which pairs of prefix places can belong to alike lines, and how far their parities are apart."""
+    swap = n1 > n2
+    ns, rs, nl, rl = np.where(swap, n2, n1), np.where(swap, r2, r1), np.where(swap, n1, n2), np.where(swap, r1, r2)
+    need = _ceil((ns + nl) * percent, 100 + percent)
+    apart = np.bitwise_count((p1 ^ p2).view(U)).astype(np.int64)
+    reach = ns - _ceil(ns * 2 * percent, 100 + percent) + 1
+    short = np.where(ns == nl, np.minimum(rs, rl), rs)
+    return (ns * 100 >= nl * percent) & (short <= reach) & (np.minimum(ns - rs, nl - rl) + 1 >= need) & (apart <= ns + nl - 2 * need), apart
+
+
+def _meeter(percent: int, most: int):
+    """Joins rows sorted by (t, k1, id, line) with the rows of the same word.
+
+    Of every later line at most ``most`` earlier partners a word are returned (0: all), with
+    ``more`` where there may be others; lines in a column ``asked`` that is false are not looked up.
+    """
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            t = table.column("t").to_numpy()
+            if not len(t):
+                continue
+            cut = int(np.searchsorted(t, t[-1]))  # the last word may go on in the next batch
+            if cut:
+                yield from found(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None:
+            yield from found(rest)
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        c = {k: table.column(k).to_numpy() for k in ("t", "k1", "parity", "id", "line", "n", "r")}
+        ask = table.column("asked").to_numpy(zero_copy_only=False) if "asked" in table.schema.names else None
+        fresh = np.concatenate([[True], (c["t"][1:] != c["t"][:-1]) | (c["k1"][1:] != c["k1"][:-1])])
+        c = {k: v[fresh] for k, v in c.items()}
+        ask = ask[fresh] if ask is not None else None
+        c["n"], c["r"] = c["n"].astype(np.int64), c["r"].astype(np.int64)
+        met = np.zeros(len(c["t"]), np.int64)
+        here = np.arange(len(c["t"]))
+        step = 0
+        while True:
+            step += 1
+            here = here[here + step < len(c["t"])]
+            here = here[c["t"][here] == c["t"][here + step]]
+            if not len(here):
+                return
+            a, b = here, here + step
+            good, apart = _pair_filter(c["n"][a], c["r"][a], c["parity"][a], c["n"][b], c["r"][b], c["parity"][b], percent)
+            a, b, apart = a[good], b[good], apart[good]
+            late = (c["id"][a] > c["id"][b]) | ((c["id"][a] == c["id"][b]) & (c["line"][a] > c["line"][b]))
+            a, b = np.where(late, a, b), np.where(late, b, a)
+            use = np.ones(len(a), bool) if ask is None else ask[a]
+            if most:
+                use &= met[a] <= most
+                np.add.at(met, a, 1)
+            a, b, apart = a[use], b[use], apart[use]
+            if len(a):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c["id"][a]), pa.array(c["line"][a]), pa.array(c["id"][b]), pa.array(c["line"][b]), pa.array(apart.astype(np.int32)), pa.array(met[a] > most if most else np.zeros(len(a), bool))],
+                    names=["id", "line", "oid", "oline", "apart", "more"],
+                )
+
+    return meet
+
+
+def _likeness(percent: int):
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "a"):
+            sides = []
+            for name in ("a", "b"):
+                w = words(part.column(name), lower=True)
+                sides.append((w.doc.astype(U), w.hash))
+            keys = [np.unique((mix(h) ^ (d * U(0x9E3779B97F4A7C15))) * U(0xD6E8FEB86659FD93), return_index=True)[1] for d, h in sides]
+            (da, ha), (db, hb) = [(d[k], h[k]) for (d, h), k in zip(sides, keys, strict=True)]
+            n = part.num_rows
+            size = np.bincount(da.astype(np.int64), minlength=n), np.bincount(db.astype(np.int64), minlength=n)
+            doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            twice = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
+            common = np.bincount(doc[1:][twice].astype(np.int64), minlength=n)
+            alike = common * 100 >= (size[0] + size[1] - common) * percent
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("line"), pa.array(alike)], names=["id", "line", "alike"])
+
+    return check
+
+
+def _verified(pairs: DataFrame, plain: DataFrame, percent: int) -> DataFrame:
+    """``(id, line, alike)`` of pairs (id, line, oid, oline), judged on the lines' full word sets."""
+    asked = pairs.select("id", "line").union(pairs.select("oid", "oline")).distinct()
+    wanted = asked.groupBy("id").agg(F.collect_set("line").alias("want"))
+    each = plain.join(wanted, "id").select("id", F.explode("want").alias("line"), F.split("text", "\n", -1).alias("all"))
+    texts = saved(each.select("id", "line", F.get("all", F.col("line")).alias("s")))
+    left = texts.withColumnRenamed("s", "a")
+    right = texts.select(F.col("id").alias("oid"), F.col("line").alias("oline"), F.col("s").alias("b"))
+    both = pairs.select("id", "line", "oid", "oline").join(right, ["oid", "oline"]).join(left, ["id", "line"])
+    return saved(both.select("id", "line", "a", "b").mapInArrow(_likeness(percent), "id long, line int, alike boolean"))
+
+
+def _alike_to_earlier(plain: DataFrame, percent: int) -> DataFrame:
+    """``(id, line)`` of distinct lines, by their first place, that an earlier line is alike to."""
+    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rare, least = rarity_table(plain.select("text"))
+    post = _poster(plain.sparkSession.sparkContext.broadcast(rare), least, percent)
+    posted = plain.mapInArrow(post, _POSTED)
+    sort = ("t", "k1", "id", "line")
+    pairs = posted.repartition(parts, "t").sortWithinPartitions(*sort).mapInArrow(_meeter(percent, 4), _MET)
+    pairs = saved(pairs.groupBy("id", "line", "oid", "oline").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
+
+    # The likeliest partner of each line is verified first; only where it fails come the others.
+    best = pairs.groupBy("id", "line").agg(F.min(F.struct("apart", "oid", "oline")).alias("o")).select("id", "line", "o.oid", "o.oline")
+    alike = _verified(best, plain, percent).filter("alike").select("id", "line").distinct()
+    others = saved(pairs.join(alike, ["id", "line"], "left_anti").join(best, ["id", "line", "oid", "oline"], "left_anti"))
+    if others.take(1):
+        alike = saved(alike.union(_verified(others, plain, percent).filter("alike").select("id", "line")).distinct())
+    unclear = saved(pairs.filter("more").select("id", "line").distinct().join(alike, ["id", "line"], "left_anti"))
+    if unclear.take(1):
+        flagged = posted.join(unclear.withColumn("asked", F.lit(True)), ["id", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        every = flagged.select("t", "k1", "parity", "id", "line", "n", "r", "asked").repartition(parts, "t").sortWithinPartitions(*sort).mapInArrow(_meeter(percent, 0), _MET)
+        every = saved(every.select("id", "line", "oid", "oline").distinct().join(pairs, ["id", "line", "oid", "oline"], "left_anti"))
+        alike = saved(alike.union(_verified(every, plain, percent).filter("alike").select("id", "line")).distinct())
+    return alike
+
+
+def near_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``(id, cut)``: for every document that loses lines, their numbers from 0.
+
+    A line goes when an earlier one, by (id, line number), has a word set of that Jaccard likeness; lines
+    are judged on the input.  Lines without words never go and match nothing.  Rows with a null
+    id take no part; rows that repeat an id count as one document whose lines compare by number.
+    """
+    plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    lines = saved(plain.mapInArrow(_describe, "id long, line int, k1 long, k2 long"))
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("at"))
+    alike = _alike_to_earlier(plain, percent).withColumn("gone", F.lit(True))
+    firsts = firsts.select("k1", "k2", "at", F.col("at.id").alias("id"), F.col("at.line").alias("line")).join(alike, ["id", "line"], "left").select("k1", "k2", "at", "gone")
+    gone = lines.join(firsts, ["k1", "k2"]).filter(F.col("gone") | (F.struct("id", "line") > F.col("at")))
+    return saved(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("cut")))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
