@@ -12,7 +12,7 @@ R.same(
     ntile=f"SELECT o_orderkey, CAST(ntile(4) OVER ({_O}) AS BIGINT) AS q FROM orders",
     lag_lead_default=f"SELECT o_orderkey, lag(o_totalprice, 1, 0.0) OVER ({_O}) AS prev, lead(o_orderkey, 2) OVER ({_O}) AS next2 FROM orders",
     running_sum_rows=f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running FROM orders",
-    moving_avg_rows=f"SELECT o_orderkey, round(avg(o_totalprice) OVER ({_O} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 1) AS moving FROM orders",
+    moving_avg_rows=f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER ({_O} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS DOUBLE) / count(*) OVER ({_O} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS moving FROM orders",
     range_peers="SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS upto FROM orders",
     range_offset_frame="SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS near FROM orders",
     whole_partition_share="SELECT c_custkey, round(c_acctbal / sum(abs(c_acctbal)) OVER (PARTITION BY c_mktsegment), 9) AS share FROM customer",
