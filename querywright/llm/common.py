@@ -231,7 +231,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(
         pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     ).groupBy("id").agg(F.min("component").alias("component"))
-
-
-def batches_of(rows: dict[str, pa.Array | np.ndarray | list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[k], t) if not isinstance(rows[k], pa.Array) else rows[k].cast(t) for k, t in types.items()], names=list(types))
