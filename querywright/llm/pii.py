@@ -11,13 +11,15 @@ joined to the documents that need them.
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
 KEY = "querywright"
-ROUNDS = 32
+ROUNDS = 64
 
 _EDGE = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
@@ -47,6 +49,7 @@ ANY = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: A text without any of these holds no entity.
 HINT = r"[0-9@]|" + "|".join(MALE + FEMALE + NEUTRAL)
 
+_MAIL = r"^(.*)\.([^.]+)$"
 _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 _SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бдгклмнпрствз", "аеиоу"), "greek": ("βγδκλμνπρστ", "αεηιο")}
 _FEMALE_END = {"latin": "a", "cyrillic": "а", "greek": "α"}
@@ -69,9 +72,11 @@ def _name_part(m: Column, nth: int) -> Column:
 
 
 def canonical(m: Column) -> Column:
-    """What makes two mentions the same entity; of a name, its last word."""
+    """What makes two mentions the same entity; of a name, its last word; of an address, its top-level domain after a dot."""
     whole = F.when(kind_of(m) == "name", _name_part(m, 0)).otherwise(m)
-    return F.when(kind_of(m) == "ip", m).otherwise(F.lower(F.regexp_replace(whole, r"[^\p{L}\p{N}]", "")))
+    bare = F.lower(F.regexp_replace(whole, r"[^\p{L}\p{N}]", ""))
+    mail = F.concat(F.lower(F.regexp_replace(F.regexp_extract(m, _MAIL, 1), r"[^\p{L}\p{N}]", "")), F.lit("."), F.lower(F.regexp_extract(m, _MAIL, 2)))
+    return F.when(kind_of(m) == "ip", m).when(kind_of(m) == "email", mail).otherwise(bare)
 
 
 def _draw(seed: Column, place: Column, n: int) -> Column:
@@ -91,7 +96,8 @@ def _stream(kind: Column, canon: Column, seed: Column) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         return (
-            F.when(c.rlike(r"\p{N}"), _draw(seed, i, 10).cast("string"))
+            F.when((kind == "email") & (i >= F.instr(canon, ".") - 1), c)
+            .when(c.rlike(r"\p{N}"), _draw(seed, i, 10).cast("string"))
             .when(kind == "secret", F.when(c.rlike("[a-f]"), _pick("abcdef", seed, i)).otherwise(_pick(_LATIN, seed, i)))
             .when((kind == "iban") & (i < 2), c)
             .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYRILLIC, seed, i))
@@ -117,21 +123,31 @@ def _surname(canon: Column, seed: Column) -> Column:
     def made(script: str) -> Column:
         onset, vowel = _SYLLABLES[script]
         parts = [F.initcap(_pick(onset, seed, F.lit(0)))]
-        for k in range(1, 8):
+        for k in range(1, 10):
             parts.append(_pick(vowel if k % 2 else onset, seed, F.lit(k)))
         return F.concat(*parts)
 
     return F.when(canon.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, as an array of one; keeps expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def surrogate_form(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of an entity's replacement."""
-    seed = _seed(key, kind, canon, attempt)
-    ip = F.concat_ws(".", *[(_draw(seed, F.lit(k), 223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
-    stream = _stream(kind, canon, seed)
-    last = F.pmod(F.right(stream, F.lit(1)).cast("int") + _luhn(canon) - _luhn(stream), F.lit(10))
-    number = F.concat(F.substring(stream, F.lit(1), F.length(stream) - 1), last.cast("string"))
-    return F.when(kind == "ip", ip).when(kind == "number", number).when(kind == "name", F.lower(_surname(canon, seed))).otherwise(stream)
+
+    def number(stream: Column) -> Column:
+        last = F.pmod(F.right(stream, F.lit(1)).cast("int") + _luhn(canon) - _luhn(stream), F.lit(10))
+        return F.concat(F.substring(stream, F.lit(1), F.length(stream) - 1), last.cast("string"))
+
+    def form(seed: Column) -> Column:
+        ip = F.concat_ws(".", *[(_draw(seed, F.lit(k), 223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
+        woven = _let(_stream(kind, canon, seed), lambda stream: F.when(kind == "number", number(stream)).otherwise(stream))
+        return F.when(kind == "ip", ip).when(kind == "name", F.lower(_surname(canon, seed))).otherwise(woven)
+
+    return _let(_seed(key, kind, canon, attempt), form)
 
 
 def _woven(mention: Column, stream: Column) -> Column:
@@ -147,30 +163,36 @@ def _woven(mention: Column, stream: Column) -> Column:
     return F.aggregate(F.split(mention, ""), start, step, lambda s: s["out"])
 
 
-def replacement(m: Column, attempt: Column, key: str) -> Column:
-    """What a mention becomes: its format, filled from its entity's surrogate."""
-    kind, canon = kind_of(m), canonical(m)
-    form = surrogate_form(kind, canon, attempt, key)
-    title = F.regexp_extract(m, r"^(\S+ )", 1)
-    given = _name_part(m, 1)
-    seed = _seed(key, F.lit("given"), F.lower(given), F.lit(0))
+def _given(m: Column, given: Column, key: str) -> Column:
+    """A first name of the title's gender in the script of the one it stands for, and a space."""
     female = m.rlike("^(?:" + "|".join(FEMALE) + r")\b")
     male = m.rlike("^(?:" + "|".join(MALE) + r")\b")
 
-    def first(script: str) -> Column:
+    def made(script: str, seed: Column) -> Column:
         onset, vowel = _SYLLABLES[script]
-        stem = F.concat(F.initcap(_pick(onset, seed, F.lit(0))), _pick(vowel, seed, F.lit(1)), _pick(onset, seed, F.lit(2)), _pick(vowel, seed, F.lit(3)), _pick(onset, seed, F.lit(4)))
-        return F.concat(stem, F.when(female, F.lit(_FEMALE_END[script])).when(male, F.concat(_pick(vowel, seed, F.lit(5)), F.lit(_MALE_END[script]))).otherwise(_pick(vowel, seed, F.lit(5))))
+        stem = [_pick(vowel if k % 2 else onset, seed, F.lit(k)) for k in range(1, 5)]
+        end = F.when(female, F.lit(_FEMALE_END[script])).otherwise(F.concat(_pick(vowel, seed, F.lit(5)), F.when(male, F.lit(_MALE_END[script])).otherwise(F.lit(""))))
+        return F.concat(F.initcap(_pick(onset, seed, F.lit(0))), *stem[:1], _pick(onset, seed, F.lit(6)), *stem[2:3], _pick(onset, seed, F.lit(7)), end, F.lit(" "))
+
+    def body(seed: Column) -> Column:
+        return F.when(given.rlike(r"\p{IsCyrillic}"), made("cyrillic", seed)).when(given.rlike(r"\p{IsGreek}"), made("greek", seed)).otherwise(made("latin", seed))
+
+    return F.when(given.isNull(), F.lit("")).otherwise(_let(_seed(key, F.lit("given"), F.lower(given), F.lit(0)), body))
+
+
+def replacement(m: Column, attempt: Column, kind: Column, canon: Column, key: str) -> Column:
+    """What a mention becomes: its format, filled from its entity's surrogate."""
+
+    def shaped(form: Column) -> Column:
+        name = F.concat(F.regexp_extract(m, r"^(\S+ )", 1), _let(_name_part(m, 1), lambda given: _given(m, given, key)), F.initcap(form))
+        return F.when(kind == "ip", form).when(kind == "name", name).when(kind == "email", _email(m, form)).otherwise(_woven(m, form))
 
-    given_new = F.when(given.rlike(r"\p{IsCyrillic}"), first("cyrillic")).when(given.rlike(r"\p{IsGreek}"), first("greek")).otherwise(first("latin"))
-    name = F.concat(title, F.when(given.isNotNull(), F.concat(given_new, F.lit(" "))).otherwise(F.lit("")), F.initcap(form))
-    return F.when(kind == "ip", form).when(kind == "name", name).when(kind == "email", _email(m, form)).otherwise(_woven(m, form))
+    return _let(surrogate_form(kind, canon, attempt, key), shaped)
 
 
 def _email(m: Column, form: Column) -> Column:
     """The top-level domain stays."""
-    head = F.regexp_extract(m, r"^(.*\.)[^.]+$", 1)
-    return F.concat(_woven(head, form), F.regexp_extract(m, r"\.([^.]+)$", 1))
+    return F.concat(_woven(F.regexp_extract(m, _MAIL, 1), form), F.lit("."), F.regexp_extract(m, _MAIL, 2))
 
 
 def mentions(text: Column) -> Column:
@@ -222,9 +244,10 @@ def anonymize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         plain = plain.join(own, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__moved", F.coalesce("__moved", none)).drop("__id")
     else:
         plain = plain.withColumn("__moved", none)
-    plain = plain.withColumn("__found", mentions(text))
-    attempt = lambda m: F.coalesce(F.element_at("__moved", F.concat_ws("\x1f", kind_of(m), canonical(m))), F.lit(0))
-    new = F.transform("__found", lambda m: replacement(m, attempt(m), key))
+    plain = plain.withColumn("__found", F.explode(F.array(mentions(text))))  # a generator: the patterns run once a text
+    entity = lambda m: F.struct(kind_of(m).alias("kind"), canonical(m).alias("canon"))
+    attempt = lambda e: F.coalesce(F.element_at("__moved", F.concat_ws("\x1f", e["kind"], e["canon"])), F.lit(0))
+    new = F.transform("__found", lambda m: _let(entity(m), lambda e: replacement(m, attempt(e), e["kind"], e["canon"], key)))
     whole = F.array_join(F.zip_with(F.split(text, ANY, -1), F.array_append(new, F.lit("")), lambda a, b: F.concat(a, b)), "")
     out = plain.withColumn("n_entities", F.size("__found").cast("long")).withColumn(text_col, F.when(F.size("__found") > 0, whole).otherwise(text))
     return out.drop("__found", "__moved")
