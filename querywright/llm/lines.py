@@ -12,7 +12,6 @@ rows are distinct sets and a line that millions of documents repeat is one of th
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ from .common import U, mix, saved, signed, slices, words
 PERCENT = 80
 CELL_BITS = 23
 COUNTED_WORDS = 1 << 22
+MOST = 16
 _LOW = U((1 << 56) - 1)
 
 
@@ -149,20 +149,18 @@ _POSTED = "t int, k1 long, parity long, id long, line int, n int, r int"
 _MET = "id long, line int, oid long, oline int, apart int, more boolean"
 
 
-def _pair_filter(n1, r1, p1, n2, r2, p2, percent: int):
-    """Which pairs of prefix places can belong to alike lines, and how far their parities are apart."""
-    swap = n1 > n2
-    ns, rs, nl, rl = np.where(swap, n2, n1), np.where(swap, r2, r1), np.where(swap, n1, n2), np.where(swap, r1, r2)
+def _pair_filter(ns, rs, ps, nl, rl, pl, percent: int):
+    """Which pairs of prefix places can belong to alike lines (the first not longer), and how far their parities are apart."""
     need = _ceil((ns + nl) * percent, 100 + percent)
-    apart = np.bitwise_count((p1 ^ p2).view(U)).astype(np.int64)
-    reach = ns - _ceil(ns * 2 * percent, 100 + percent) + 1
-    short = np.where(ns == nl, np.minimum(rs, rl), rs)
-    return (ns * 100 >= nl * percent) & (short <= reach) & (np.minimum(ns - rs, nl - rl) + 1 >= need) & (apart <= ns + nl - 2 * need), apart
+    apart = np.bitwise_count((ps ^ pl).view(U)).astype(np.int64)
+    return (np.minimum(ns - rs, nl - rl) + 1 >= need) & (apart <= ns + nl - 2 * need), apart
 
 
 def _meeter(percent: int, most: int):
-    """Joins rows sorted by (t, k1, id, line) with the rows of the same word.
+    """Joins rows sorted by (t, n, k1, id, line) with the rows of the same word.
 
+    Rows are compared at a growing distance; one drops out at the end of its word's rows, or where lines
+    become too long for it.  It looks up at all only if the word is in the short prefix that a partner of at least its length must share.
     Of every later line at most ``most`` earlier partners a word are returned (0: all), with
     ``more`` where there may be others; lines in a column ``asked`` that is false are not looked up.
     """
@@ -191,12 +189,12 @@ def _meeter(percent: int, most: int):
         ask = ask[fresh] if ask is not None else None
         c["n"], c["r"] = c["n"].astype(np.int64), c["r"].astype(np.int64)
         met = np.zeros(len(c["t"]), np.int64)
-        here = np.arange(len(c["t"]))
+        here = np.flatnonzero(c["r"] <= c["n"] - _ceil(c["n"] * 2 * percent, 100 + percent) + 1)
         step = 0
         while True:
             step += 1
             here = here[here + step < len(c["t"])]
-            here = here[c["t"][here] == c["t"][here + step]]
+            here = here[(c["t"][here] == c["t"][here + step]) & (c["n"][here] * 100 >= c["n"][here + step] * percent)]
             if not len(here):
                 return
             a, b = here, here + step
@@ -258,8 +256,8 @@ def _alike_to_earlier(plain: DataFrame, percent: int) -> DataFrame:
     rare, least = rarity_table(plain.select("text"))
     post = _poster(plain.sparkSession.sparkContext.broadcast(rare), least, percent)
     posted = plain.mapInArrow(post, _POSTED)
-    sort = ("t", "k1", "id", "line")
-    pairs = posted.repartition(parts, "t").sortWithinPartitions(*sort).mapInArrow(_meeter(percent, 4), _MET)
+    sort = ("t", "n", "k1", "id", "line")
+    pairs = posted.repartition(parts, "t").sortWithinPartitions(*sort).mapInArrow(_meeter(percent, MOST), _MET)
     pairs = saved(pairs.groupBy("id", "line", "oid", "oline").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
 
     # The likeliest partner of each line is verified first; only where it fails come the others.

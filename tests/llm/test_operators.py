@@ -371,8 +371,8 @@ def test_lines(table, request):
 def test_lines_with_many_partners(spark):
     """More alike and nearly alike lines than are looked at first."""
     base = [f"w{k}" for k in range(20)]
-    rows = [(i, " ".join(base[:14] + [f"x{i}_{k}" for k in range(4)])) for i in range(12)]
-    rows += [(100 + i, " ".join(base[: 19] + [f"y{i}"])) for i in range(12)]
+    rows = [(i, " ".join(base[:14] + [f"x{i}_{k}" for k in range(4)])) for i in range(40)]
+    rows += [(100 + i, " ".join(base[:19] + [f"y{i}"])) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in lines.deduplicate(docs).collect()} == plain_lines(dict(rows))
 
