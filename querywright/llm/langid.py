@@ -46,8 +46,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """
     share = max(64, 2 * dictionary_bytes // sample_docs)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()]
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()}
+    langs = list(counts)
     rows = rows.filter(F.col(lang_col).isin(langs)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.col(text_col), 1, share).alias("t"))
+    # The smallest hashes of a language lie below this bound but for chance; about twice the sample is exchanged, however large the table.
+    bounds = [(lang, min(2**63 - 1, -(2**63) + 2**64 * 2 * sample_docs // n)) for lang, n in counts.items()]
+    if bounds:
+        below = F.map_from_entries(F.array(*[F.struct(F.lit(lang), F.lit(bound).cast("long")) for lang, bound in bounds]))
+        rows = rows.filter(F.col("h") <= F.element_at(below, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
     texts: dict[str, list[str]] = {}
     for r in rows.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).orderBy("lang", F.desc("rank")).toLocalIterator():
