@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Words, chain, mix, saved, signed, slices, words
+from .common import U, Words, chain, mix, release, saved, signed, slices, words
 
 WINDOW = 13
 _B = 0x9E3779B97F4A7C15 | 1
@@ -212,7 +212,7 @@ def _own(part: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """The windows of each id that a smaller id has too."""
+    """The windows of each id that a smaller id has too; windows are named twice rather than written down."""
     lowest = rows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
     return rows.join(lowest, ["h1", "h2"]).filter("id > lo").groupBy("id").agg(F.collect_list("at").alias("cut"))
 
@@ -229,7 +229,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     base = saved(plain.mapInArrow(_describe, "id long, n_words long, k1 long, k2 long, whole string"))
     classes = saved(_classes(base, n))
     texts = saved(_candidates(plain, classes, n))
-    cut = saved(_cut(saved(texts.mapInArrow(_window_rows(n), "h1 long, h2 int, id long, at long"))))
+    release(docs.sparkSession)
+    cut = saved(_cut(texts.mapInArrow(_window_rows(n), "h1 long, h2 int, id long, at long")))
+    release(docs.sparkSession)
     part = texts.select("id", "k1", "k2", "slot", "text").join(cut, "id").mapInArrow(_rest(n), "k1 long, k2 long, n_removed long, digest string, kept_text string")
     part = part if with_text else part.drop("kept_text")
     part = saved(part.dropDuplicates(["k1", "k2"]))
