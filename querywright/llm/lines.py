@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, saved, signed, slices, words
+from .common import U, mix, release, saved, signed, slices, words
 
 PERCENT = 80
 CELL_BITS = 23
@@ -259,6 +259,7 @@ def _alike_to_earlier(plain: DataFrame, percent: int) -> DataFrame:
     sort = ("t", "n", "k1", "id", "line")
     pairs = posted.repartition(parts, "t").sortWithinPartitions(*sort).mapInArrow(_meeter(percent, MOST), _MET)
     pairs = saved(pairs.groupBy("id", "line", "oid", "oline").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
+    release(plain.sparkSession)
 
     # The likeliest partner of each line is verified first; only where it fails come the others.
     best = pairs.groupBy("id", "line").agg(F.min(F.struct("apart", "oid", "oline")).alias("o")).select("id", "line", "o.oid", "o.oline")
@@ -286,6 +287,7 @@ def near_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     lines = saved(plain.mapInArrow(_describe, "id long, line int, k1 long, k2 long"))
     firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("at"))
     alike = _alike_to_earlier(plain, percent).withColumn("gone", F.lit(True))
+    release(docs.sparkSession)
     firsts = firsts.select("k1", "k2", "at", F.col("at.id").alias("id"), F.col("at.line").alias("line")).join(alike, ["id", "line"], "left").select("k1", "k2", "at", "gone")
     gone = lines.join(firsts, ["k1", "k2"]).filter(F.col("gone") | (F.struct("id", "line") > F.col("at")))
     return saved(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("cut")))
