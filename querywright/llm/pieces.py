@@ -21,6 +21,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .common import slices
 RATE = 0.1
 SEED = 11
 VARIANTS = 4
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 1_000_000
 _MARK = "▁"
 _MASK = 2**64 - 1
 
@@ -53,7 +54,11 @@ def vocabulary(model_path: str) -> tuple[list[tuple[str, float]], dict[int, int]
 
 
 class Coder:
-    """Encodes and decodes with one vocabulary; lives inside a task."""
+    """Encodes and decodes with one vocabulary.
+
+    A Python worker keeps one for all its tasks, beside the broadcast vocabulary, and with it the
+    segments it knows: at most ``CACHE_SEGMENTS``, then it starts anew.
+    """
 
     def __init__(self, pieces: list[tuple[str, float]], raw: dict[int, int], rate: float, seed: int):
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if p}
@@ -66,9 +71,10 @@ class Coder:
             self.bytes[i] = bytes([value])
         apart = " \n\t\r" + _MARK
         self.cut = re.compile(rf" *[^{apart}]+| +|[{apart[1:]}]")
-        self.known: dict[tuple[int, str], tuple[int, ...]] = {}
+        self.known: dict[int, dict[str, bytes]] = {}
+        self.held = 0
 
-    def segment(self, text: str, variant: int) -> tuple[int, ...]:
+    def segment(self, text: str, variant: int) -> list[int]:
         """Ids of one segment, where spaces are already marked."""
         symbols: list[str | None] = list(text)
         n = len(symbols)
@@ -106,29 +112,39 @@ class Coder:
                     out += [self.raw[b] for b in s.encode()]
                 else:
                     out.append(i)
-        return tuple(out)
+        return out
 
-    def encode(self, text: str, variant: int = 0) -> list[int]:
-        out: list[int] = []
+    def learn(self, part: str, variant: int) -> bytes:
+        ids = [self.raw[b] for b in part.encode()] if part == _MARK else self.segment(part.replace(" ", _MARK), variant)
+        found = np.array(ids, "<i4").tobytes()
+        if len(part) <= 64:
+            if self.held >= CACHE_SEGMENTS:
+                self.known.clear()
+                self.held = 0
+            self.known.setdefault(variant, {})[part] = found
+            self.held += 1
+        return found
+
+    def encode(self, text: str, variant: int = 0) -> np.ndarray:
         if not text:
-            return out
-        known = self.known
-        for part in self.cut.findall(" " + text):
-            found = known.get((variant, part))
-            if found is None:
-                if part == _MARK:
-                    found = tuple(self.raw[b] for b in part.encode())
-                else:
-                    found = self.segment(part.replace(" ", _MARK), variant)
-                if len(known) >= CACHE_SEGMENTS:
-                    known.clear()
-                if len(part) <= 64:
-                    known[variant, part] = found
-            out += found
-        return out
+            return np.zeros(0, np.int32)
+        known = self.known.setdefault(variant, {}).get
+        return np.frombuffer(b"".join([known(part) or self.learn(part, variant) for part in self.cut.findall(" " + text)]), "<i4")
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
+        return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode()
+
+
+def _shipped(df: DataFrame, model_path: str | None, rate: float, seed: int) -> Broadcast:
+    pieces, raw = vocabulary(model_path or default_model())
+    return df.sparkSession.sparkContext.broadcast({"pieces": pieces, "raw": raw, "rate": rate, "seed": seed})
+
+
+def _coder(shipped: Broadcast) -> Coder:
+    state = shipped.value
+    if "coder" not in state:
+        state["coder"] = Coder(state["pieces"], state["raw"], state["rate"], state["seed"])
+    return state["coder"]
 
 
 def _variant(key: object, seed: int, variants: int) -> int:
@@ -141,14 +157,14 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     All other columns pass unchanged; a column already named ``ids`` is replaced.  Rows of one id and
     text are segmented alike.
     """
-    pieces, raw = vocabulary(model_path or default_model())
+    shipped = _shipped(docs, model_path, rate, seed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(pieces, raw, rate, seed)
+        coder = _coder(shipped)
         for part in slices(batches, text_col):
             keys = part.column(id_col).to_pylist()
             texts = part.column(text_col).to_pylist()
-            found = [None if t is None else np.array(coder.encode(t, _variant(k, seed, variants)), np.int32) for k, t in zip(keys, texts, strict=True)]
+            found = [None if t is None else coder.encode(t, _variant(k, seed, variants)) for k, t in zip(keys, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
 
     plain = docs.drop("ids") if "ids" in docs.columns else docs
@@ -157,10 +173,10 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
 def decode(encoded: DataFrame, *, ids_col: str = "ids", into: str = "decoded", model_path: str | None = None) -> DataFrame:
     """``encoded`` with the column ``into``: the text of each list of ids, null for null."""
-    pieces, raw = vocabulary(model_path or default_model())
+    shipped = _shipped(encoded, model_path, 0.0, 0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(pieces, raw, 0.0, 0)
+        coder = _coder(shipped)
         for batch in batches:
             texts = [None if x is None else coder.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
@@ -179,10 +195,10 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ``ids_sha256`` is over the ids as little-endian 32-bit values, ``decoded_sha256`` over the decoded
     text in UTF-8.  A null text has null digests, ``n_ids`` 0 and is lossless.
     """
-    pieces, raw = vocabulary(model_path or default_model())
+    shipped = _shipped(docs, model_path, rate, seed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(pieces, raw, rate, seed)
+        coder = _coder(shipped)
         for part in slices(batches, "text"):
             rows = []
             for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -191,7 +207,7 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     continue
                 ids = coder.encode(text, _variant(key, seed, variants))
                 back = coder.decode(ids)
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
             n, a, b, same = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())], names=["id", "n_ids", "ids_sha256", "decoded_sha256", "lossless"])
 
