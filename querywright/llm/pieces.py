@@ -1,10 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merge-type (BPE) segmentation works through an agenda of candidate merges, best score first.  With
-dropout every candidate that comes up is skipped when a keyed hash of (seed, variant, segment, place) falls
-below the rate, so a seed always gives the same segmentation and other seeds and variants give others.
-A document's variant is a keyed hash of its id.  No piece crosses the start of a run of spaces, or
-holds a character that the vocabulary lacks, so texts are cut there and segments are cached.
+dropout every candidate that comes up is skipped with the rate as chance, each by its own part of a keyed hash
+of (seed, document id, place of the segment in the text), drawn as the gaps between skips.  So a seed always
+gives the same segmentation, and every occurrence of a word in every document is cut on its own.
+No piece crosses the start of a run of spaces, or holds a character that the vocabulary lacks, so
+texts are cut there.  Segments are cached by their spelling and the skips drawn: nothing drawn depends on the cache.
 
 Spaces are written as U+2581 with one put in front; characters that the vocabulary lacks, and a
 literal U+2581, become byte pieces.  So every text decodes to itself.
@@ -17,6 +18,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mix, slices
 
 RATE = 0.1
 SEED = 11
-VARIANTS = 4
 CACHE_SEGMENTS = 1_000_000
+#: Longer segments are not cached, and from so many characters on the agenda is a heap.
+_KEPT = _SHORT = 64
+_MOST = 4096
+_NEVER = float("inf")
 _MARK = "▁"
 _MASK = 2**64 - 1
 
@@ -57,53 +62,79 @@ class Coder:
     """Encodes and decodes with one vocabulary.
 
     A Python worker keeps one for all its tasks, beside the broadcast vocabulary, and with it the
-    segments it knows: at most ``CACHE_SEGMENTS``, then it starts anew.
+    segments it knows: at most ``CACHE_SEGMENTS`` segmentations, then it starts anew.
     """
 
     def __init__(self, pieces: list[tuple[str, float]], raw: dict[int, int], rate: float, seed: int):
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if p}
-        self.rank = {p: (-score, i) for i, (p, score) in enumerate(pieces) if len(p) > 1}
+        self.rank = {p: -score for p, score in pieces if len(p) > 1}
         self.raw = raw
-        self.limit = int(rate * 2**64)
         self.seed = seed
         self.bytes = [p.replace(_MARK, " ").encode() for p, _ in pieces]
         for value, i in raw.items():
             self.bytes[i] = bytes([value])
         apart = " \n\t\r" + _MARK
         self.cut = re.compile(rf" *[^{apart}]+| +|[{apart[1:]}]")
-        self.known: dict[int, dict[str, bytes]] = {}
+        self.limit = int(rate * 2**64)
+        # A 64-bit draw below the k-th of these lets k candidates pass before one is skipped.
+        passing, left = [], 2**64 - self.limit
+        while self.limit and left and len(passing) < _MOST:
+            passing.append(left)
+            left = left * (2**64 - self.limit) >> 64
+        self.most = len(passing)
+        self.passing = np.array(passing[::-1], np.uint64)
+        self.known: dict[str, list] = {}
         self.held = 0
 
-    def segment(self, text: str, variant: int) -> list[int]:
-        """Ids of one segment, where spaces are already marked."""
-        symbols: list[str | None] = list(text)
-        n = len(symbols)
+    def segment(self, text: str, skips: Iterable[int] = ()) -> tuple[int, bytes]:
+        """How many candidates come up in one segment, where spaces are already marked, and its ids.
+
+        ``skips`` are the places in that order, from 0 and ascending, of the candidates that are skipped.
+        """
+        skips = iter(skips)
+        skip = next(skips, -1)
+        come = 0
         rank = self.rank
-        agenda = [(*rank[p], k, k + 1, p) for k in range(n - 1) if (p := text[k : k + 2]) in rank]
-        if agenda:
+        n = len(text)
+        if n <= _SHORT:
+            symbols = list(text)
+            get = rank.get
+            agenda = [get(text[k : k + 2], _NEVER) for k in range(n - 1)]
+            while agenda and (best := min(agenda)) != _NEVER:
+                k = agenda.index(best)
+                come += 1
+                if come - 1 == skip:
+                    skip = next(skips, -1)
+                    agenda[k] = _NEVER
+                    continue
+                symbols[k] += symbols.pop(k + 1)
+                del agenda[k]
+                if k < len(agenda):
+                    agenda[k] = get(symbols[k] + symbols[k + 1], _NEVER)
+                if k:
+                    agenda[k - 1] = get(symbols[k - 1] + symbols[k], _NEVER)
+        else:
+            symbols = list(text)
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            agenda = [(score, k, j, p) for score, _, k, j, p in agenda]
-            heapify(agenda)
-            key = xxhash.xxh3_64_intdigest(text, self.seed * 1_000_003 + variant)
-            limit = self.limit
-            while agenda:
-                _, k, j, p = heappop(agenda)
+            heap = [(rank[p], k, k + 1, p) for k in range(n - 1) if (p := text[k : k + 2]) in rank]
+            heapify(heap)
+            while heap:
+                _, k, j, p = heappop(heap)
                 if symbols[k] is None or j >= n or symbols[j] is None or after[k] != j or symbols[k] + symbols[j] != p:
                     continue
-                if limit:
-                    h = (key + k * 0x9E3779B97F4A7C15 + len(p) * 0xC2B2AE3D27D4EB4F) & _MASK
-                    h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & _MASK
-                    if (h ^ (h >> 29)) * 0xFF51AFD7ED558CCD & _MASK < limit:
-                        continue
+                come += 1
+                if come - 1 == skip:
+                    skip = next(skips, -1)
+                    continue
                 symbols[k], symbols[j] = p, None
                 after[k] = nxt = after[j]
                 if nxt < n:
                     before[nxt] = k
                     if (q := p + symbols[nxt]) in rank:
-                        heappush(agenda, (rank[q][0], k, nxt, q))
+                        heappush(heap, (rank[q], k, nxt, q))
                 prior = before[k]
                 if prior >= 0 and (q := symbols[prior] + p) in rank:
-                    heappush(agenda, (rank[q][0], prior, k, q))
+                    heappush(heap, (rank[q], prior, k, q))
         out: list[int] = []
         for s in symbols:
             if s is not None:
@@ -112,24 +143,78 @@ class Coder:
                     out += [self.raw[b] for b in s.encode()]
                 else:
                     out.append(i)
-        return out
-
-    def learn(self, part: str, variant: int) -> bytes:
-        ids = [self.raw[b] for b in part.encode()] if part == _MARK else self.segment(part.replace(" ", _MARK), variant)
-        found = np.array(ids, "<i4").tobytes()
-        if len(part) <= 64:
-            if self.held >= CACHE_SEGMENTS:
-                self.known.clear()
-                self.held = 0
-            self.known.setdefault(variant, {})[part] = found
-            self.held += 1
-        return found
-
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
+        return come, np.array(out, "<i4").tobytes()
+
+    def _made(self, part: str, skips: Iterable[int] = ()) -> list:
+        """Candidates that come up, ids, and what is known of further skips by place."""
+        if part == _MARK:
+            return [0, np.array([self.raw[b] for b in part.encode()], "<i4").tobytes(), None]
+        return [*self.segment(part.replace(" ", _MARK), skips), None]
+
+    def _learn(self, part: str) -> list:
+        node = self._made(part)
+        if self.held >= CACHE_SEGMENTS:
+            self.known.clear()
+            self.held = 0
+        self.known[part] = node
+        self.held += 1
+        return node
+
+    def _gaps(self, draws: np.ndarray) -> np.ndarray:
+        """How many candidates pass before the next skipped one, from uniform 64-bit draws; ``most``: so many or more."""
+        return self.most - np.searchsorted(self.passing, draws, side="right")
+
+    def _skips(self, key: int, place: int, gaps: Iterable[int]) -> Iterator[int]:
+        """The skipped candidates of the segment at ``place`` of a text, without end: ``gaps`` first, then drawn one by one."""
+        come, gaps = 0, iter(gaps)
+        for k in count():
+            gap = next(gaps, None)
+            if gap is None:
+                gap = int(self._gaps(np.array([xxhash.xxh3_64_intdigest(b"%d %d" % (place, k), key)], np.uint64))[0])
+            come += gap
+            if gap < self.most or not self.most:
+                yield come
+                come += 1
+
+    def _dropped(self, part: str, node: list, skips: Iterator[int]) -> bytes:
+        """Ids of a segment under these skips; each segmentation met is kept under the skips that lead to it."""
+        met: list[int] = []
+        for skip in skips:
+            if skip >= node[0]:
+                return node[1]
+            met.append(skip)
+            if node[2] is None:
+                node[2] = {}
+            child = node[2].get(skip)
+            if child is None:
+                child = node[2][skip] = self._made(part, met)
+                self.held += 1
+            node = child
+
+    def encode(self, text: str, doc: object = 0) -> np.ndarray:
+        """Ids of a text; with dropout, every segment of every ``doc`` draws its own skips."""
         if not text:
             return np.zeros(0, np.int32)
-        known = self.known.setdefault(variant, {}).get
-        return np.frombuffer(b"".join([known(part) or self.learn(part, variant) for part in self.cut.findall(" " + text)]), "<i4")
+        parts = self.cut.findall(" " + text)
+        known = self.known.get
+        out: list[bytes] = []
+        if not self.limit:
+            for part in parts:
+                out.append((known(part) or self._learn(part))[1] if len(part) <= _KEPT else self._made(part)[1])
+        else:
+            key = xxhash.xxh3_64_intdigest(str(doc), self.seed & _MASK)
+            draws = mix(np.uint64(key) + np.arange(2 * len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            first, second = self._gaps(draws).reshape(2, -1).tolist()
+            for place, part in enumerate(parts):
+                if len(part) > _KEPT:
+                    out.append(self._made(part, self._skips(key, place, (first[place], second[place])))[1])
+                    continue
+                node = known(part) or self._learn(part)
+                if first[place] < node[0]:
+                    out.append(self._dropped(part, node, self._skips(key, place, (first[place], second[place]))))
+                else:
+                    out.append(node[1])
+        return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode()
@@ -147,11 +232,7 @@ def _coder(shipped: Broadcast) -> Coder:
     return state["coder"]
 
 
-def _variant(key: object, seed: int, variants: int) -> int:
-    return xxhash.xxh3_64_intdigest(str(key), seed) % variants
-
-
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """``docs`` with the column ``ids`` (array<int>): null for a null text, empty for an empty one.
 
     All other columns pass unchanged; a column already named ``ids`` is replaced.  Rows of one id and
@@ -164,7 +245,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         for part in slices(batches, text_col):
             keys = part.column(id_col).to_pylist()
             texts = part.column(text_col).to_pylist()
-            found = [None if t is None else coder.encode(t, _variant(k, seed, variants)) for k, t in zip(keys, texts, strict=True)]
+            found = [None if t is None else coder.encode(t, k) for k, t in zip(keys, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
 
     plain = docs.drop("ids") if "ids" in docs.columns else docs
@@ -189,7 +270,7 @@ def _with(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
 
 
-def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """``(id_col, n_ids, ids_sha256, decoded_sha256, lossless)``: every text encoded and decoded within one task.
 
     ``ids_sha256`` is over the ids as little-endian 32-bit values, ``decoded_sha256`` over the decoded
@@ -205,7 +286,7 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 if text is None:
                     rows.append((0, None, None, True))
                     continue
-                ids = coder.encode(text, _variant(key, seed, variants))
+                ids = coder.encode(text, key)
                 back = coder.decode(ids)
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
             n, a, b, same = zip(*rows, strict=True)

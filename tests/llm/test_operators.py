@@ -308,6 +308,30 @@ def test_dropout_is_seeded_and_varied():
     assert len(one.encode(text)) > len(pieces.Coder(vocabulary, raw, 0.0, 1).encode(text))
 
 
+def test_dropout_cuts_every_occurrence_on_its_own():
+    vocabulary, raw = pieces.vocabulary(pieces.default_model())
+    coder, word, long = pieces.Coder(vocabulary, raw, 0.1, 11), "▁segmentation", "▁" + "segmentation" * 8
+    plain, free = coder.segment(word)[1], np.random.default_rng(1)
+    cuts = [[coder.encode("segmentation " * 50, doc).tobytes()] for doc in range(40)]
+    assert len({c[0] for c in cuts}) == 40  # four at most when documents shared variants
+    seen = [coder.encode("segmentation", doc).tobytes() for doc in range(4000)]
+    drawn = [coder.segment(word, np.flatnonzero(free.random(64) < 0.1).tolist())[1] for _ in range(4000)]
+    assert len(set(seen)) > 10 and abs(seen.count(plain) - drawn.count(plain)) < 160
+    one = coder.encode("segmentation " * 200, 7)
+    assert len({x.tobytes() for x in np.split(one, np.flatnonzero([coder.bytes[i].startswith(b" ") for i in one]))}) > 4  # within one document
+    for doc in (3, "a"):  # the cache leaves no trace, and both agendas agree
+        text = " ".join(f"segmentation {'segmentation' * 8} words{k}" for k in range(30))
+        assert coder.encode(text, doc).tolist() == pieces.Coder(vocabulary, raw, 0.1, 11).encode(text, doc).tolist()
+        assert coder.decode(coder.encode(text, doc)) == text
+    heaped = coder.segment(long, [0, 3, 4, 20])
+    kept, pieces._SHORT = pieces._SHORT, 1000
+    try:
+        assert coder.segment(long, [0, 3, 4, 20]) == heaped
+    finally:
+        pieces._SHORT = kept
+    assert pieces.Coder(vocabulary, raw, 1.0, 1).encode("word").tolist() == [coder.ids[c] for c in "▁word"]
+
+
 # --- 8 toxicity
 
 
