@@ -19,7 +19,10 @@ from .common import slices
 
 DICTIONARY_BYTES = 256 << 10
 SAMPLE_DOCS = 2000
-MAX_LANGUAGES = 64
+#: Of all dictionaries together: 64 of full size.
+ALL_BYTES = 64 * DICTIONARY_BYTES
+#: Places of a long text that are learnt from.
+PIECES = 8
 BLOCK_CHARS = 4096
 #: Four-byte matches and a greedy search: short words count, and the search stays cheap.
 SETTINGS = {"window_log": 20, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY, "chain_log": 16, "hash_log": 17, "search_log": 3, "write_content_size": False, "write_dict_id": False}
@@ -37,28 +40,36 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
+def spread(text: Column, share: Column) -> Column:
+    """The text, or of a longer one ``PIECES`` pieces at even distances from its start to its end, ``share`` characters in all."""
+    size, each = F.length(text), F.ceil(share / PIECES).cast("int")
+    piece = lambda k: F.substring(text, (F.floor((size - each) * k / (PIECES - 1)) + 1).cast("int"), each)
+    return F.when(size <= share, text).otherwise(F.concat_ws(" ", *[piece(F.lit(k)) for k in range(PIECES)]))
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, all_bytes: int = ALL_BYTES) -> dict[str, bytes]:
     """A dictionary for each non-null language, the most frequent first.
 
-    Learns from a bounded sample: of each of the ``max_languages`` most frequent languages the
-    ``sample_docs`` rows with the smallest hash of their id, and of each of those an equal share of
-    ``dictionary_bytes``.  So at most ``max_languages * dictionary_bytes`` reach the driver.
+    Learns from a bounded sample: of each language the ``sample_docs`` rows with the smallest hash of
+    their id (all where it has fewer), and of each of those an equal share of the dictionary, in pieces from
+    all over the text.  Beyond ``all_bytes / dictionary_bytes`` languages all dictionaries get smaller alike,
+    so about ``all_bytes`` reach the driver however many there are.
     """
-    share = max(64, 2 * dictionary_bytes // sample_docs)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()}
-    langs = list(counts)
-    rows = rows.filter(F.col(lang_col).isin(langs)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.col(text_col), 1, share).alias("t"))
-    # The smallest hashes of a language lie below this bound but for chance; about twice the sample is exchanged, however large the table.
-    bounds = [(lang, min(2**63 - 1, -(2**63) + 2**64 * 2 * sample_docs // n)) for lang, n in counts.items()]
-    if bounds:
-        below = F.map_from_entries(F.array(*[F.struct(F.lit(lang), F.lit(bound).cast("long")) for lang, bound in bounds]))
-        rows = rows.filter(F.col("h") <= F.element_at(below, F.col("lang")))
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").collect()}
+    if not counts:
+        return {}
+    dictionary_bytes = min(dictionary_bytes, max(1, all_bytes // len(counts)))
+    # The smallest hashes of a language lie below the bound but for chance; about twice the sample is exchanged, however large the table.
+    plan = [(lang, min(2**63 - 1, -(2**63) + 2**64 * 2 * sample_docs // n), max(64, -(-2 * dictionary_bytes // min(sample_docs, n)))) for lang, n in counts.items()]
+    known = F.broadcast(docs.sparkSession.createDataFrame(plan, "lang string, bound long, share int"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"))
+    rows = rows.join(known, "lang").filter(F.col("h") <= F.col("bound")).select("lang", "h", spread(F.col("t"), F.col("share")).alias("t"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
     texts: dict[str, list[str]] = {}
     for r in rows.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).orderBy("lang", F.desc("rank")).toLocalIterator():
         texts.setdefault(r.lang, []).append(r.t)
-    return {lang: " ".join(map(letters, x)).encode()[-dictionary_bytes:] for lang, x in ((a, texts[a]) for a in langs if a in texts)}
+    return {lang: " ".join(map(letters, x)).encode()[-dictionary_bytes:] for lang, x in ((a, texts[a]) for a in counts if a in texts)}
 
 
 def predict(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -275,6 +275,21 @@ def test_language_odd_tables(clashing, empty):
     assert {r.lang_pred for r in langid.predict(clashing, {}).collect()} == {"und"}
 
 
+def test_language_dictionaries_of_many_and_rare_languages(spark):
+    def word(lang, k):
+        return "".join(chr(97 + (lang * 7 + k * 5 + j * (lang + 3)) % 26) for j in range(4 + (lang + k) % 4)) + chr(97 + lang % 26) + chr(97 + lang // 26)
+
+    rows = [(100 * a + d, " ".join(word(a, (d * 3 + j) % 40) for j in range(60)), f"l{a:02d}") for a in range(70) for d in range(4 if a == 69 else 5)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model) == 70  # the rarest was left out beyond 64
+    fresh = spark.createDataFrame([(1, " ".join(word(69, j) for j in range(30)))], "doc_id long, text string")
+    assert langid.predict(fresh, model).first().lang_pred == "l69"
+    header = "shared header " * 100
+    long = [(d, header + " ".join(f"{'abcdefghij'[d]}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(3000)) + " finish", "xx") for d in range(10)]
+    held = langid.fit(spark.createDataFrame(long, "doc_id long, text string, lang string"))["xx"]
+    assert len(held) > 50_000 and b"finish" in held and held.count(b"header") < len(held) / 100
+
+
 # --- 7 pieces
 
 
