@@ -42,12 +42,12 @@ PATTERNS = {
         _EDGE + r"\d{13,19}" + _END,
         _EDGE + r"\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}" + _END,
     ]) + ")",
-    "secret": "(?:" + _EDGE + r"(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{16,128}" + _END + "|" + _EDGE + r"(?:AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[_\-][0-9A-Za-z_\-]{16,})" + ")",
-    "name": _EDGE + "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\b\.? \p{Lu}[\p{Ll}'’\-]+(?: \p{Lu}[\p{Ll}'’\-]+)?" + _END,
+    "secret": "(?:" + _EDGE + r"(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{16,}+" + _END + "|" + _EDGE + r"(?:AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[_\-][0-9A-Za-z_\-]{16,})" + ")",
+    "name": _EDGE + "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\b\.? (?:\p{Lu}(?:\.|[\p{L}'’\-]*+) )*\p{Lu}[\p{L}'’\-]+" + _END,
 }
 ANY = "(?:" + "|".join(PATTERNS.values()) + ")"
 #: A text without any of these holds no entity.
-HINT = r"[0-9@]|" + "|".join(MALE + FEMALE + NEUTRAL)
+HINT = r"[0-9@]|AKIA|(?:sk|ghp|gho|xoxb)[_\-]|" + "|".join(MALE + FEMALE + NEUTRAL)
 
 _MAIL = r"^(.*)\.([^.]+)$"
 _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"

@@ -461,6 +461,16 @@ def test_pii_surrogates_are_distinct(spark):
     assert final.join(entities.select("kind", F.col("canon").alias("form")), ["kind", "form"], "left_semi").count() == 0
 
 
+def test_pii_finds_whole_names_and_secrets_without_digits(spark):
+    whole = ["Mr. McDonald", "Mr. O'Brien", "Dr. J. Smith", "Mr. SMITH", "Mr. Ronald McDonald", "Frau Smith-Jones", "Dr. Mary Ann Evans", "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrst", "a1" * 100]
+    docs = spark.createDataFrame(list(enumerate([f"then {m} left" for m in whole])), "doc_id long, text string")
+    got = {r.doc_id: r.found for r in docs.select("doc_id", pii.mentions(F.col("text")).alias("found")).collect()}
+    assert [got[k] for k in range(len(whole))] == [[m] for m in whole]
+    last = {r.m: r.canon for r in spark.createDataFrame([(m,) for m in whole], "m string").select("m", pii.canonical(F.col("m")).alias("canon")).collect()}
+    assert last["Dr. Mary Ann Evans"] == "evans" and last["Mr. Ronald McDonald"] == last["Mr. McDonald"] == "mcdonald"
+    assert all(m not in r.text for m, r in zip(whole, pii.anonymize(docs).orderBy("doc_id").collect(), strict=True))
+
+
 def test_pii_odd_tables(clashing, empty):
     got = pii.anonymize(clashing)
     assert got.count() == clashing.count() and set(clashing.columns) <= set(got.columns)
