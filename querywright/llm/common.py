@@ -29,17 +29,29 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LONG_WORD = 64
+#: The low k bytes of a 64-bit value.
+_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder for cut points: the cluster's ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder for cut points: the cluster's ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master, an error on a cluster."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="querywright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -92,7 +104,8 @@ class Words:
     """The words of a batch of texts.
 
     ``data`` bytes of all texts; ``start``/``size`` byte spans of words; ``doc`` the text of
-    each word; ``first`` offsets of the texts' words (one more than texts); ``hash`` a 64-bit value a word.
+    each word; ``first`` offsets of the texts' words (one more than texts); ``hash`` a 64-bit value a word;
+    ``bounds`` the bytes at which texts begin, and the end.
     """
 
     data: np.ndarray
@@ -101,6 +114,7 @@ class Words:
     doc: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    bounds: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -113,26 +127,22 @@ def _spans(column: pa.Array, lower: bool, breaks: np.ndarray) -> tuple[np.ndarra
     buffer = column.buffers()[2]
     data = np.frombuffer(buffer, np.uint8)[base:end] if buffer is not None and end > base else np.zeros(0, np.uint8)
     if lower:
-        data = _LOWER[data]
+        data = np.take(_LOWER, data)
     bounds = offsets - base
-    inside = ~breaks[data]
-    prior = np.empty_like(inside)
-    prior[:1] = False
-    prior[1:] = inside[:-1]
-    cut = bounds[1:-1]
-    cut = cut[cut < len(data)]
-    begins = inside & ~prior
-    begins[cut] = inside[cut]
-    start = np.flatnonzero(begins)
-    follow = np.empty_like(inside)
-    follow[-1:] = False
-    follow[:-1] = inside[1:]
-    ends = inside & ~follow
-    last = cut - 1
-    last = last[last >= 0]
-    ends[last] = inside[last]
-    stop = np.flatnonzero(ends) + 1
-    return data, bounds, start, stop - start
+    if not len(data):
+        return data, bounds, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = np.take(~breaks, data)
+    turns = np.empty(len(data) + 1, bool)
+    turns[0], turns[-1] = inside[0], inside[-1]
+    np.not_equal(inside[1:], inside[:-1], out=turns[1:-1])
+    edges = np.flatnonzero(turns)
+    cut = np.unique(bounds[1:-1])
+    cut = cut[(cut > 0) & (cut < len(data))]
+    cut = cut[inside[cut - 1] & inside[cut]]  # one text ends and the next begins inside a run
+    if len(cut):
+        edges = np.insert(edges, np.repeat(np.searchsorted(edges, cut), 2), np.repeat(cut, 2))
+    start = edges[0::2]
+    return data, bounds, start, edges[1::2] - start
 
 
 def words(column: pa.Array, *, lower: bool = False, seed: int = 0) -> Words:
@@ -142,22 +152,26 @@ def words(column: pa.Array, *, lower: bool = False, seed: int = 0) -> Words:
     data, bounds, start, size = _spans(column, lower, _SPACE)
     first = np.searchsorted(start, bounds).astype(np.int64)
     doc = np.repeat(np.arange(len(column)), np.diff(first))
-    return Words(data, start, size, doc, first, hash_spans(data, start, size, seed))
+    return Words(data, start, size, doc, first, hash_spans(data, start, size, seed), bounds)
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte span; eight bytes of all spans are taken in at a time."""
-    out = np.full(len(start), 0x9E3779B97F4A7C15 ^ (seed * 0x2545F4914F6CDD1D & (2**64 - 1)), U)
+    first = U(0x9E3779B97F4A7C15 ^ (seed * 0x2545F4914F6CDD1D & (2**64 - 1)))
     if not len(start):
-        return out
+        return np.zeros(0, U)
     eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    live = np.flatnonzero(size <= _LONG_WORD)
-    taken = 0
+    x = eight[start]
+    x &= _BYTES[np.minimum(size, 8)]
+    x ^= first
+    x *= U(0xFF51AFD7ED558CCD)
+    x += size.astype(U)
+    out = mix(x)
+    live = np.flatnonzero((size > 8) & (size <= _LONG_WORD))
+    taken = 8
     while len(live):
         left = size[live] - taken
-        x = eight[start[live] + taken]
-        short = left < 8
-        x[short] &= (U(1) << (left[short] * 8).astype(U)) - U(1)
+        x = eight[start[live] + taken] & _BYTES[np.minimum(left, 8)]
         out[live] = mix((out[live] ^ x) * U(0xFF51AFD7ED558CCD) + left.astype(U))
         taken += 8
         live = live[left > 8]

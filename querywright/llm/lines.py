@@ -3,11 +3,11 @@
 A line is its set of distinct words (A-Z lower-cased).  Words are ordered by how rare they are; a
 pair of lines with the wanted Jaccard likeness must share a word within short prefixes of both, at places
 that leave room for enough common words, and have similar lengths.  Pairs that pass those filters
-(and a 64-bit parity of their words, which bounds how many differ) are verified on their full sets.
+(and a parity of their words, at least a bit a word, which bounds how many differ) are verified on their full sets.
 
-The order only has to be the same everywhere, so rarity is a table of fixed size: counts over all lines
-of the most frequent words, coarsely, by hash.  Equal sets are folded before the join, so the join's
-rows are distinct sets and a line that millions of documents repeat is one of them.
+The order only has to be the same everywhere, so rarity is a table of fixed size: counts over all lines,
+by hash cell.  Equal sets are folded before the join, so the join's rows are distinct sets and a
+line that millions of documents repeat is one of them.
 """
 
 from __future__ import annotations
@@ -17,105 +17,146 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, mix, release, saved, signed, slices, words
+from .common import U, mix, release, saved, signed, slices, unused, words
 
 PERCENT = 80
-CELL_BITS = 23
-COUNTED_WORDS = 1 << 22
-MOST = 16
+CELL_BITS = 21
+_CHUNK_BITS = 14
+#: Partners of a line that one word emits, and places that rows of a word are compared over, before the word counts as crowded.
+MOST = 64
+REACH = 256
+#: Rows of a crowded word that meet in one task: those that ask, and those that are asked.
+ASKING, ASKED = 1024, 16384
+#: Rows that are compared at once.
+HELD = 1 << 17
 _LOW = U((1 << 56) - 1)
 
 
 def _lines(column: pa.Array, rarity: np.ndarray | None):
     """Distinct words of every line with words: ``(text, line number, offsets, tokens)``, rarest first."""
     w = words(column, lower=True)
-    breaks = np.concatenate([[0], np.cumsum(w.data == 10)])
-    offsets = np.zeros(len(column), np.int64)
-    sizes = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    offsets[:] = sizes[:-1] - sizes[0]
-    line = breaks[w.start] + w.doc
+    return _split(w, rarity)
+
+
+def _split(w, rarity: np.ndarray | None):
+    if not len(w.hash):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(1, np.int64), np.zeros(0, U)
+    newline = np.flatnonzero(w.data == 10)
+    breaks = np.unique(np.concatenate([w.first[:-1], np.searchsorted(w.start, newline)]))
+    head = breaks[breaks < len(w.hash)]  # the first word of each line that has words
+    ends = np.append(head[1:], len(w.hash))
+    doc = w.doc[head]
+    begin = w.bounds[doc]
+    number = np.searchsorted(newline, w.start[head]) - np.searchsorted(newline, begin)
     token = w.hash >> U(8)
     if rarity is not None:
         token |= rarity[(token >> U(56 - CELL_BITS)).astype(np.int64)].astype(U) << U(56)
-    head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(line))
     for a, b in zip(head.tolist(), ends.tolist(), strict=True):
         if b - a > 1:
             token[a:b].sort()
-    fresh = np.ones(len(line), bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-    first = np.concatenate([[0], np.cumsum(fresh)])[np.append(head, len(line))] if len(line) else np.zeros(1, np.int64)
-    doc = w.doc[head]
-    number = (line[head] - doc) - breaks[offsets[doc]]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = token[1:] != token[:-1]
+    fresh[head] = True
+    first = np.concatenate([[0], np.cumsum(fresh)])[np.append(head, len(token))]
     return doc, number, first, token[fresh]
 
 
-def _keys(first: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two names of each set, and the parity of its words in 64 bits."""
+def _keys(first: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of each set."""
     t = token & _LOW
     if len(first) < 2:
-        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, U)
-    return np.add.reduceat(mix(t), first[:-1]), np.add.reduceat(mix(t ^ U(0x5BD1E995A5A5A5A5)), first[:-1]), np.bitwise_xor.reduceat(U(1) << (mix(t + U(9)) >> U(58)), first[:-1])
+        return np.zeros(0, U), np.zeros(0, U)
+    return np.add.reduceat(mix(t), first[:-1]), np.add.reduceat(mix(t ^ U(0x5BD1E995A5A5A5A5)), first[:-1])
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> pa.RecordBatch:
-        t, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(t, kind="stable")
-        t, n = t[order], n[order]
-        head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        return pa.RecordBatch.from_arrays([signed(t[head]), pa.array(np.add.reduceat(n, head))], names=["token", "n"])
-
-    for part in slices(batches, "text"):
-        token = np.sort(words(part.column("text"), lower=True).hash >> U(8))
-        if len(token):
-            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            held.append((token[head], np.diff(np.append(head, len(token)))))
-        if sum(len(t) for t, _ in held) > 2_000_000:
-            yield merged()
-    if held:
-        yield merged()
+def _parities(first: np.ndarray, token: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(offsets, values)``: the words' parity of each picked set, in 64 bits for up to 64 words, in 128 for up to 128 and so on to 1024.
 
+    The halves of a longer parity, folded, are the next shorter one.
+    """
+    n = np.diff(first)[pick]
+    width = np.minimum(1 << np.ceil(np.log2(np.maximum(n / 64, 1))).astype(np.int64), 16)
+    offsets = np.concatenate([[0], np.cumsum(width)])
+    at = np.repeat(first[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    h = mix((token[at] & _LOW) + U(9))
+    owner = np.repeat(np.arange(len(pick)), n)
+    slot = offsets[owner] + ((h >> U(48)).astype(np.int64) & (width[owner] - 1))
+    bit = U(1) << (h >> U(58))
+    values = np.zeros(int(offsets[-1]), U)
+    one = width[owner] == 1
+    lone = np.flatnonzero(width == 1)
+    if len(lone):
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        values[offsets[lone]] = np.bitwise_xor.reduceat(bit, starts)[lone]
+    if not one.all():
+        np.bitwise_xor.at(values, slot[~one], bit[~one])
+    return offsets, values
 
-def rarity_table(plain: DataFrame, *, counted: int = COUNTED_WORDS) -> tuple[np.ndarray, int]:
-    """Coarse word counts by hash cell, and the least count that is in them.
 
-    Counts are over all texts; at most ``counted`` words, the most frequent, reach the driver.
-    """
-    counts = saved(plain.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1"))
-    sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect()
-    level, total = 64, 0
-    for r in sizes:
-        if total + r["count"] > counted:
-            break
-        level, total = r.level, total + r["count"]
-    least = 2 if not sizes or level == sizes[-1].level else 1 << level
+def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line's names and place (lines of one set once a slice, further places in lists), and at the end the word counts by cell."""
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for part in slices(batches, "text"):
+        w = words(part.column("text"), lower=True)
+        if not len(w.hash):
+            continue
+        counts += np.bincount((w.hash >> U(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
+        doc, number, first, token = _split(w, None)
+        one, two = _keys(first, token)
+        ids = part.column("id").to_numpy()[doc]
+        order = np.lexsort((number, ids, two, one))
+        one, two, ids, number = one[order], two[order], ids[order], number[order].astype(np.int32)
+        head = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        size = np.diff(np.append(head, len(one))) - 1
+        further = np.ones(len(one), bool)
+        further[head] = False
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [signed(one[head]), signed(two[head]), pa.array(ids[head]), pa.array(number[head]), pa.ListArray.from_arrays(offsets, pa.array(ids[further])), pa.ListArray.from_arrays(offsets, pa.array(number[further])), pa.nulls(len(head), pa.int32()), pa.nulls(len(head), pa.binary())],
+            names=_DESCRIBED_NAMES,
+        )
+    if counts.any():
+        each, kind = 1 << _CHUNK_BITS, "<u4" if counts.max() < 1 << 32 else "<u8"
+        found = [(k, counts[k * each : (k + 1) * each].astype(kind).tobytes()) for k in range(len(counts) // each)]
+        none = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], names=_DESCRIBED_NAMES)
+
+
+_DESCRIBED = "k1 long, k2 long, id long, line int, ids array<long>, lines array<int>, chunk int, counts binary"
+_DESCRIBED_NAMES = ["k1", "k2", "id", "line", "ids", "lines", "chunk", "counts"]
+
+
+def _vector(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u4" if len(blob) == 4 << _CHUNK_BITS else "<u8").astype(np.int64)
+
+
+def _levels(key: tuple, table: pa.Table) -> pa.Table:
+    total = np.zeros(1 << _CHUNK_BITS, np.int64)
+    for batch in table.to_batches():
+        for blob in batch.column("counts"):
+            total += _vector(blob.as_py())
+    level = np.minimum(255, 8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
+
+
+def rarity_table(described: DataFrame) -> np.ndarray:
+    """How often the words of each hash cell occur in all texts, as 8 log2 of the count (0: once at most); of fixed size."""
+    cells = described.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_levels, "chunk int, levels binary")
     table = np.zeros(1 << CELL_BITS, np.uint8)
-    if total:
-        cells = counts.filter(F.col("n") >= least).groupBy(F.shiftright("token", 56 - CELL_BITS).cast("int").alias("cell")).agg(F.max("n").alias("n"))
-        found = cells.toArrow()
-        table[found.column("cell").to_numpy()] = np.minimum(255, 8 * np.log2(found.column("n").to_numpy())).astype(np.uint8)
-    return table, least
+    for r in cells.collect():
+        table[r.chunk << _CHUNK_BITS : (r.chunk + 1) << _CHUNK_BITS] = np.frombuffer(r.levels, np.uint8)
+    return table
 
 
 def _ceil(a, b: int):
     return -((-a) // b)
 
 
-def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        doc, number, first, token = _lines(part.column("text"), None)
-        one, two, _ = _keys(first, token)
-        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array(number.astype(np.int32)), signed(one), signed(two)], names=["id", "line", "k1", "k2"])
-
-
-def _poster(shipped: Broadcast, least: int, percent: int):
+def _poster(shipped: Broadcast, percent: int):
     """Prefix words of the lines, each distinct line once a slice: by the first place it stands at."""
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +165,7 @@ def _poster(shipped: Broadcast, least: int, percent: int):
             doc, number, first, token = _lines(part.column("text"), rarity)
             if not len(doc):
                 continue
-            one, _, parity = _keys(first, token)
+            one, _ = _keys(first, token)
             ids = part.column("id").to_numpy()[doc]
             order = np.lexsort((number, ids, one))
             pick = order[np.flatnonzero(np.concatenate([[True], one[order][1:] != one[order][:-1]]))]
@@ -133,85 +174,157 @@ def _poster(shipped: Broadcast, least: int, percent: int):
             line = np.repeat(np.arange(len(pick)), reach)
             r = np.arange(len(line)) - np.repeat(np.cumsum(reach) - reach, reach)
             t = token[first[pick][line] + r]
-            if least <= 2:  # a word that occurs once matches nothing
-                known = t > _LOW
-                line, r, t = line[known], r[known], t[known]
+            known = t > _LOW  # a word that occurs once matches nothing
+            line, r, t = line[known], r[known], t[known]
             own = pick[line]
+            offsets, values = _parities(first, token, pick)
+            parity = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(values)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array((t & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), signed(one[own]), signed(parity[own]), pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
-                names=["t", "k1", "parity", "id", "line", "n", "r"],
+                [pa.array((t & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), signed(one[own]), parity.take(pa.array(line)), pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
+                names=_POSTED_NAMES,
             )
 
     return post
 
 
-_POSTED = "t int, k1 long, parity long, id long, line int, n int, r int"
-_MET = "id long, line int, oid long, oline int, apart int, more boolean"
+_POSTED = "t int, k1 long, parity binary, id long, line int, n int, r int"
+_POSTED_NAMES = ["t", "k1", "parity", "id", "line", "n", "r"]
+_MET = _POSTED + ", oid long, oline int, apart int"
 
 
-def _pair_filter(ns, rs, ps, nl, rl, pl, percent: int):
-    """Which pairs of prefix places can belong to alike lines (the first not longer), and how far their parities are apart."""
-    need = _ceil((ns + nl) * percent, 100 + percent)
-    apart = np.bitwise_count((ps ^ pl).view(U)).astype(np.int64)
-    return (np.minimum(ns - rs, nl - rl) + 1 >= need) & (apart <= ns + nl - 2 * need), apart
+class _Rows:
+    """Posted rows as arrays; ``fold`` is each parity in 64 bits."""
 
+    def __init__(self, table: pa.Table):
+        self.t, self.k1, self.id, self.line = (table.column(k).to_numpy() for k in ("t", "k1", "id", "line"))
+        self.n, self.r = (table.column(k).to_numpy().astype(np.int64) for k in ("n", "r"))
+        column = table.column("parity").combine_chunks()
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(U) if len(column) else np.zeros(0, U)
+        self.at = (offsets - offsets[0]) // 8
+        self.fold = np.bitwise_xor.reduceat(self.values, self.at[:-1]) if len(column) else self.values
 
-def _meeter(percent: int, most: int):
-    """Joins rows sorted by (t, n, k1, id, line) with the rows of the same word.
+    def parity(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The parities of rows, all of ``width`` or twice as wide, folded to ``width`` values each."""
+        wide = self.at[rows + 1] - self.at[rows] > width
+        out = self.values[self.at[rows][:, None] + np.arange(width)]
+        out[wide] ^= self.values[self.at[rows[wide]][:, None] + width + np.arange(width)]
+        return out
+
+    def may(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of rows (the first not longer) those that can belong to alike lines, and how far their parities are apart."""
+        ns, nl = self.n[a], self.n[b]
+        need = _ceil((ns + nl) * percent, 100 + percent)
+        apart = np.bitwise_count(self.fold[a] ^ self.fold[b]).astype(np.int64)
+        good = (np.minimum(ns - self.r[a], nl - self.r[b]) + 1 >= need) & (apart <= ns + nl - 2 * need)
+        a, b, apart, most = a[good], b[good], apart[good], (ns + nl - 2 * need)[good]
+        width = np.minimum(self.at[a + 1] - self.at[a], self.at[b + 1] - self.at[b])
+        for k in np.unique(width[width > 1]).tolist():
+            own = np.flatnonzero(width == k)
+            apart[own] = np.bitwise_count(self.parity(a[own], k) ^ self.parity(b[own], k)).sum(axis=1)
+        good = apart <= most
+        return a[good], b[good], apart[good]
+
+    def later_first(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        late = (self.id[a] > self.id[b]) | ((self.id[a] == self.id[b]) & (self.line[a] > self.line[b]))
+        return np.where(late, a, b), np.where(late, b, a)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.binary())]
+        own = [pa.array(self.id[a]), pa.array(self.line[a]), *[pa.nulls(len(a), pa.int32())] * 2]
+        return pa.RecordBatch.from_arrays([*none, *own, pa.array(self.id[b]), pa.array(self.line[b]), pa.array(apart.astype(np.int32))], names=[*_POSTED_NAMES, "oid", "oline", "apart"])
+
+
+def _short_prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix in which a line must meet any partner of at least its length."""
+    return n - _ceil(n * 2 * percent, 100 + percent) + 1
+
+
+def _meeter(percent: int, most: int, reach: int):
+    """Joins rows sorted by (t, n, k1, id, line) with the rows of the same word: pairs (id, line, oid, oline), the later line first.
 
     Rows are compared at a growing distance; one drops out at the end of its word's rows, or where lines
-    become too long for it.  It looks up at all only if the word is in the short prefix that a partner of at least its length must share.
-    Of every later line at most ``most`` earlier partners a word are returned (0: all), with
-    ``more`` where there may be others; lines in a column ``asked`` that is false are not looked up.
+    become too long for it.  A line returns at most ``most`` earlier partners a word, and rows are compared
+    over ``reach`` places; all rows of a word where either bound holds anything back are returned too (without ``oid``).
     """
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        rows, released = 0, None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            t = table.column("t").to_numpy()
-            if not len(t):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < HELD:
                 continue
+            table = pa.Table.from_batches(held)
+            t = table.column("t").to_numpy()
             cut = int(np.searchsorted(t, t[-1]))  # the last word may go on in the next batch
             if cut:
-                yield from found(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None:
-            yield from found(rest)
-
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        c = {k: table.column(k).to_numpy() for k in ("t", "k1", "parity", "id", "line", "n", "r")}
-        ask = table.column("asked").to_numpy(zero_copy_only=False) if "asked" in table.schema.names else None
-        fresh = np.concatenate([[True], (c["t"][1:] != c["t"][:-1]) | (c["k1"][1:] != c["k1"][:-1])])
-        c = {k: v[fresh] for k, v in c.items()}
-        ask = ask[fresh] if ask is not None else None
-        c["n"], c["r"] = c["n"].astype(np.int64), c["r"].astype(np.int64)
-        met = np.zeros(len(c["t"]), np.int64)
-        here = np.flatnonzero(c["r"] <= c["n"] - _ceil(c["n"] * 2 * percent, 100 + percent) + 1)
-        step = 0
-        while True:
-            step += 1
-            here = here[here + step < len(c["t"])]
-            here = here[(c["t"][here] == c["t"][here + step]) & (c["n"][here] * 100 >= c["n"][here + step] * percent)]
+                yield from found(table.slice(0, cut), released)
+                table = table.slice(cut)
+            if len(table) >= HELD:  # one word alone: its rows are let go as crowded
+                released = t[-1]
+                yield from crowd(table.slice(0, len(table) - 1))
+                table = table.slice(len(table) - 1)
+            held, rows = table.to_batches(), len(table)
+        if rows:
+            yield from found(pa.Table.from_batches(held), released)
+
+    def crowd(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in table.combine_chunks().to_batches():
+            more = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*_POSTED_NAMES, "oid", "oline", "apart"])
+
+    def found(table: pa.Table, released: int | None) -> Iterator[pa.RecordBatch]:
+        t, k1 = table.column("t").to_numpy(), table.column("k1").to_numpy()
+        fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (k1[1:] != k1[:-1])])
+        if not fresh.all():
+            table = table.filter(pa.array(fresh))
+        c = _Rows(table)
+        crowded = c.t == released if released is not None else np.zeros(len(c.t), bool)
+        met = np.zeros(len(c.t), np.int64)
+        here = np.flatnonzero(c.r <= _short_prefix(c.n, percent))
+        for step in range(1, reach + 2):
+            here = here[here + step < len(c.t)]
+            here = here[(c.t[here] == c.t[here + step]) & (c.n[here] * 100 >= c.n[here + step] * percent)]
             if not len(here):
-                return
-            a, b = here, here + step
-            good, apart = _pair_filter(c["n"][a], c["r"][a], c["parity"][a], c["n"][b], c["r"][b], c["parity"][b], percent)
-            a, b, apart = a[good], b[good], apart[good]
-            late = (c["id"][a] > c["id"][b]) | ((c["id"][a] == c["id"][b]) & (c["line"][a] > c["line"][b]))
-            a, b = np.where(late, a, b), np.where(late, b, a)
-            use = np.ones(len(a), bool) if ask is None else ask[a]
-            if most:
-                use &= met[a] <= most
-                np.add.at(met, a, 1)
-            a, b, apart = a[use], b[use], apart[use]
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c["id"][a]), pa.array(c["line"][a]), pa.array(c["id"][b]), pa.array(c["line"][b]), pa.array(apart.astype(np.int32)), pa.array(met[a] > most if most else np.zeros(len(a), bool))],
-                    names=["id", "line", "oid", "oline", "apart", "more"],
-                )
+                break
+            if step > reach:
+                crowded[here] = True
+                break
+            a, b, apart = c.may(here, here + step, percent)
+            a, b = c.later_first(a, b)
+            np.add.at(met, a, 1)
+            use = met[a] <= most
+            crowded[a[~use]] = True
+            if use.any():
+                yield c.pairs(a[use], b[use], apart[use])
+        if crowded.any():
+            yield from crowd(table.filter(pa.array(np.isin(c.t, c.t[crowded]))))
+
+    return meet
+
+
+def _cell(percent: int):
+    """All pairs between the asking rows of a crowded word (``asks``) and its other rows, within one cell."""
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        c = _Rows(table)
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~asks)
+        out = []
+        for own in np.flatnonzero(asks).tolist():
+            late = (c.id[rest] < c.id[own]) | ((c.id[rest] == c.id[own]) & (c.line[rest] < c.line[own]))
+            other = rest[late]
+            short, long = np.minimum(c.n[other], c.n[own]), np.maximum(c.n[other], c.n[own])
+            other = other[short * 100 >= long * percent]
+            mine = np.full(len(other), own)
+            first = c.n[mine] < c.n[other]
+            a, b = np.where(first, mine, other), np.where(first, other, mine)
+            a, b, apart = c.may(a, b, percent)
+            a, b = c.later_first(a, b)
+            out.append(c.pairs(a, b, apart))
+        return pa.Table.from_batches(out).select(["id", "line", "oid", "oline", "apart"]) if out else pa.table({k: pa.array([], t) for k, t in (("id", pa.int64()), ("line", pa.int32()), ("oid", pa.int64()), ("oline", pa.int32()), ("apart", pa.int32()))})
 
     return meet
 
@@ -238,59 +351,72 @@ def _likeness(percent: int):
     return check
 
 
-def _verified(pairs: DataFrame, plain: DataFrame, percent: int) -> DataFrame:
-    """``(id, line, alike)`` of pairs (id, line, oid, oline), judged on the lines' full word sets."""
-    asked = pairs.select("id", "line").union(pairs.select("oid", "oline")).distinct()
-    wanted = asked.groupBy("id").agg(F.collect_set("line").alias("want"))
-    each = plain.join(wanted, "id").select("id", F.explode("want").alias("line"), F.split("text", "\n", -1).alias("all"))
-    texts = saved(each.select("id", "line", F.get("all", F.col("line")).alias("s")))
+def _line_texts(lines: DataFrame, plain: DataFrame) -> DataFrame:
+    """``(id, line, s)``: the texts of the wanted lines (id, line)."""
+    wanted = lines.groupBy("id").agg(F.collect_set("line").alias("want"))
+    each = plain.join(wanted, "id").select("id", "want", F.split("text", "\n", -1).alias("all")).withColumn("line", F.explode("want"))
+    return saved(each.select("id", "line", F.get("all", F.col("line")).alias("s")).filter("s IS NOT NULL"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``(id, line)`` of the pairs (id, line, oid, oline) whose full word sets are alike."""
     left = texts.withColumnRenamed("s", "a")
     right = texts.select(F.col("id").alias("oid"), F.col("line").alias("oline"), F.col("s").alias("b"))
     both = pairs.select("id", "line", "oid", "oline").join(right, ["oid", "oline"]).join(left, ["id", "line"])
-    return saved(both.select("id", "line", "a", "b").mapInArrow(_likeness(percent), "id long, line int, alike boolean"))
+    return both.select("id", "line", "a", "b").mapInArrow(_likeness(percent), "id long, line int, alike boolean").filter("alike").select("id", "line").distinct()
 
 
-def _alike_to_earlier(plain: DataFrame, percent: int) -> DataFrame:
+def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most: int, reach: int) -> DataFrame:
     """``(id, line)`` of distinct lines, by their first place, that an earlier line is alike to."""
     parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rare, least = rarity_table(plain.select("text"))
-    post = _poster(plain.sparkSession.sparkContext.broadcast(rare), least, percent)
-    posted = plain.mapInArrow(post, _POSTED)
-    sort = ("t", "n", "k1", "id", "line")
-    pairs = posted.repartition(parts, "t").sortWithinPartitions(*sort).mapInArrow(_meeter(percent, MOST), _MET)
-    pairs = saved(pairs.groupBy("id", "line", "oid", "oline").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
+    post = _poster(plain.sparkSession.sparkContext.broadcast(rarity), percent)
+    posted = plain.mapInArrow(post, _POSTED).repartition(parts, "t").sortWithinPartitions("t", "n", "k1", "id", "line")
+    met = saved(posted.mapInArrow(_meeter(percent, most, reach), _MET))
     release(plain.sparkSession)
+    pairs = met.filter("oid IS NOT NULL AND (id <> oid OR line <> oline)").groupBy("id", "line", "oid", "oline").agg(F.min("apart").alias("apart"))
+    pairs = saved(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("id", "line").orderBy("apart", "oid", "oline"))))
+    texts = _line_texts(pairs.select("id", "line").union(pairs.select("oid", "oline")).distinct(), plain)
 
     # The likeliest partner of each line is verified first; only where it fails come the others.
-    best = pairs.groupBy("id", "line").agg(F.min(F.struct("apart", "oid", "oline")).alias("o")).select("id", "line", "o.oid", "o.oline")
-    alike = _verified(best, plain, percent).filter("alike").select("id", "line").distinct()
-    others = saved(pairs.join(alike, ["id", "line"], "left_anti").join(best, ["id", "line", "oid", "oline"], "left_anti"))
-    if others.take(1):
-        alike = saved(alike.union(_verified(others, plain, percent).filter("alike").select("id", "line")).distinct())
-    unclear = saved(pairs.filter("more").select("id", "line").distinct().join(alike, ["id", "line"], "left_anti"))
-    if unclear.take(1):
-        flagged = posted.join(unclear.withColumn("asked", F.lit(True)), ["id", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        every = flagged.select("t", "k1", "parity", "id", "line", "n", "r", "asked").repartition(parts, "t").sortWithinPartitions(*sort).mapInArrow(_meeter(percent, 0), _MET)
-        every = saved(every.select("id", "line", "oid", "oline").distinct().join(pairs, ["id", "line", "oid", "oline"], "left_anti"))
-        alike = saved(alike.union(_verified(every, plain, percent).filter("alike").select("id", "line")).distinct())
+    alike = saved(_verified(pairs.filter("nth = 1"), texts, percent))
+    others = pairs.filter("nth > 1").join(alike, ["id", "line"], "left_anti")
+    alike = saved(alike.union(_verified(others, texts, percent)))
+
+    # Lines of crowded words that are still without a partner ask all rows of those words, cell by cell.
+    crowd = met.filter("oid IS NULL").select(*_POSTED_NAMES)
+    if crowd.take(1):
+        asking = saved(crowd.join(alike, ["id", "line"], "left_anti"))
+        sizes = asking.groupBy("t").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("blocks"))
+        sizes = saved(sizes.join(crowd.groupBy("t").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares")), "t"))
+        block = lambda n: F.pmod(F.xxhash64("id", "line"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asks = asking.join(sizes, "t").select(*_POSTED_NAMES, block("blocks").alias("block"), every("shares").alias("share"), F.lit(True).alias("asks"))
+        asked = crowd.join(sizes, "t").select(*_POSTED_NAMES, every("blocks").alias("block"), block("shares").alias("share"), F.lit(False).alias("asks"))
+        more = asks.unionByName(asked).groupBy("t", "block", "share").applyInArrow(_cell(percent), "id long, line int, oid long, oline int, apart int")
+        more = saved(more.select("id", "line", "oid", "oline").distinct().join(pairs, ["id", "line", "oid", "oline"], "left_anti"))
+        texts = _line_texts(more.select("id", "line").union(more.select("oid", "oline")).distinct(), plain)
+        alike = saved(alike.union(_verified(more, texts, percent)).distinct())
     return alike
 
 
-def near_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, most: int = MOST, reach: int = REACH) -> DataFrame:
     """``(id, cut)``: for every document that loses lines, their numbers from 0.
 
     A line goes when an earlier one, by (id, line number), has a word set of that Jaccard likeness; lines
     are judged on the input.  Lines without words never go and match nothing.  Rows with a null
     id take no part; rows that repeat an id count as one document whose lines compare by number.
+    ``most`` and ``reach`` bound what is looked at first; no result depends on them.
     """
     plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = saved(plain.mapInArrow(_describe, "id long, line int, k1 long, k2 long"))
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("at"))
-    alike = _alike_to_earlier(plain, percent).withColumn("gone", F.lit(True))
+    described = saved(plain.mapInArrow(_describe, _DESCRIBED))
+    alike = _alike_to_earlier(plain, rarity_table(described), percent, most, reach)
+    lines = described.filter("chunk IS NULL").select("k1", "k2", F.struct("id", "line").alias("at"), "ids", "lines")
+    classes = lines.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.sum(1 + F.size("ids")).alias("n")).filter("n > 1").select("k1", "k2", "first")
+    again = lines.join(classes, ["k1", "k2"]).select("first", F.explode(F.array_append(F.arrays_zip(F.col("ids").alias("id"), F.col("lines").alias("line")), F.col("at"))).alias("at"))
+    again = again.filter("at > first").select("at.id", "at.line")
+    cut = saved(again.union(alike).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("cut")))
     release(docs.sparkSession)
-    firsts = firsts.select("k1", "k2", "at", F.col("at.id").alias("id"), F.col("at.line").alias("line")).join(alike, ["id", "line"], "left").select("k1", "k2", "at", "gone")
-    gone = lines.join(firsts, ["k1", "k2"]).filter(F.col("gone") | (F.struct("id", "line") > F.col("at")))
-    return saved(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("cut")))
+    return cut
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -298,13 +424,16 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Kept lines stay as they are and in order, joined by a newline; a text that loses no line is
     unchanged, one that loses all is empty, a null stays null with 0 lines.  Rows with a null id are unchanged.
-    Columns of ``docs`` named ``n_lines`` or ``n_removed`` are replaced.
+    Columns of ``docs`` named ``n_lines`` or ``n_removed`` are replaced; any other name may occur.
     """
-    cut = near_duplicate_lines(docs, id_col=id_col, text_col=text_col, percent=percent).select(F.col("id").alias("__id"), F.col("cut").alias("__cut"))
-    joined = docs.drop("n_lines", "n_removed").join(cut, F.col(id_col).cast("long") == F.col("__id"), "left")
-    each = F.split(F.col(text_col), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(each) - 1), F.col("__cut"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(each, i)), "\n")
-    lost = F.size(F.filter("__cut", lambda i: i < F.size(each)))
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(each), F.lit(0)).cast("long"), "n_removed": F.when(F.col("__cut").isNull() | F.col(text_col).isNull(), 0).otherwise(lost).cast("long")})
-    return out.withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__cut")
+    plain = docs.drop("n_lines", "n_removed")
+    own, lost = unused(plain, "own_id"), unused(plain, "cut_lines")
+    cut = near_duplicate_lines(docs, id_col=id_col, text_col=text_col, percent=percent).select(F.col("id").alias(own), F.col("cut").alias(lost))
+    text = F.col(f"`{text_col}`")
+    joined = plain.join(cut, plain[id_col].cast("long") == F.col(own), "left")
+    count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    out = joined.withColumn("n_lines", F.coalesce(count, F.lit(0)).cast("long"))
+    removed = F.when(F.col(lost).isNull() | text.isNull(), 0).otherwise(F.size(F.filter(lost, lambda i: i < F.col("n_lines"))))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(lost, i)), "\n")
+    out = out.withColumn("n_removed", removed.cast("long"))
+    return out.withColumn(text_col, F.when(F.col(lost).isNull(), text).otherwise(kept)).drop(own, lost)

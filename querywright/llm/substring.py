@@ -140,11 +140,15 @@ def _anchor_rows(n: int):
             _, doc, found = anchors(w, n)
             if not len(doc):
                 continue
-            key = (_class(w)[:, 0] >> U(33)).astype(np.int32)
             fresh = np.ones(len(doc), bool)
             fresh[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
             doc, found = doc[fresh], found[fresh]
-            yield pa.RecordBatch.from_arrays([signed(found), pa.array(key[doc]), part.column("id").take(pa.array(doc))], names=["anchor", "class", "id"])
+            name = _class(w)[:, 0][doc]
+            order = np.lexsort((name, found))
+            found, name = found[order], name[order]
+            fresh = np.ones(len(found), bool)
+            fresh[1:] = (found[1:] != found[:-1]) | (name[1:] != name[:-1])
+            yield pa.RecordBatch.from_arrays([signed(found[fresh]), signed(name[fresh])], names=["anchor", "k1"])
 
     return run
 
@@ -161,10 +165,30 @@ def _window_rows(n: int):
                 shared = lists[d].values.to_numpy(zero_copy_only=False).view(U)
                 take[first[d] : first[d + 1]] = np.isin(found[first[d] : first[d + 1]], shared)
             rows = at[take]
+            if not len(rows):
+                continue
             one, two = chain(w.hash, n, 5)[rows], chain(w.hash, n, 7)[rows]
-            text = pa.array(doc[take])
+            ids = part.column("id").to_numpy()[doc[take]]
             place = rows - w.first[doc[take]] + (part.column("slot").to_numpy().astype(np.int64) << 32)[doc[take]]
-            yield pa.RecordBatch.from_arrays([signed(one), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), part.column("id").take(text), pa.array(place)], names=["h1", "h2", "id", "at"])
+            # Of a window that many texts of this slice hold, only the smallest id is in doubt.
+            order = np.lexsort((ids, two, one))
+            one, two, ids, place = one[order], two[order], ids[order], place[order]
+            head = np.ones(len(one), bool)
+            head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            doubt = ids == ids[np.flatnonzero(head)][np.cumsum(head) - 1]
+            sure = np.flatnonzero(~doubt)
+            sure = sure[np.lexsort((place[sure], ids[sure]))]
+            begin = np.flatnonzero(np.concatenate([[True], ids[sure][1:] != ids[sure][:-1]])) if len(sure) else sure
+            count = int(doubt.sum())
+            known = pa.ListArray.from_arrays(pa.array(np.append(begin, len(sure)).astype(np.int32)), pa.array(place[sure]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([signed(one[doubt]), pa.nulls(len(begin), pa.int64())]), pa.concat_arrays([signed(two[doubt]), pa.nulls(len(begin), pa.int64())]),
+                    pa.array(np.concatenate([ids[doubt], ids[sure][begin]])), pa.concat_arrays([pa.array(place[doubt]), pa.nulls(len(begin), pa.int64())]),
+                    pa.concat_arrays([pa.nulls(count, pa.list_(pa.int64())), known]),
+                ],
+                names=["h1", "h2", "id", "at", "sure"],
+            )
 
     return run
 
@@ -197,10 +221,10 @@ def _classes(base: DataFrame, n: int) -> DataFrame:
 
 def _candidates(plain: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """One text a class, with those of its anchors that other classes have too."""
-    found = plain.filter("id IS NOT NULL").mapInArrow(_anchor_rows(n), "anchor long, class int, id long")
-    shared = found.groupBy("anchor").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("anchor")
-    held = found.select("anchor", "id").join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    held = held.join(classes.select(F.col("rep").alias("id"), "k1", "k2", "slot"), "id")
+    found = plain.filter("id IS NOT NULL").mapInArrow(_anchor_rows(n), "anchor long, k1 long")
+    shared = found.groupBy("anchor").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("anchor")
+    held = found.join(shared, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
+    held = classes.join(held, "k1").select(F.col("rep").alias("id"), "k1", "k2", "slot", "anchors")
     return plain.join(held, "id").select("id", "k1", "k2", "slot", "text", "anchors")
 
 
@@ -214,7 +238,8 @@ def _own(part: pa.RecordBatch) -> pa.RecordBatch:
 def _cut(rows: DataFrame) -> DataFrame:
     """The windows of each id that a smaller id has too; windows are named twice rather than written down."""
     lowest = rows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
-    return rows.join(lowest, ["h1", "h2"]).filter("id > lo").groupBy("id").agg(F.collect_list("at").alias("cut"))
+    found = rows.join(lowest, ["h1", "h2"]).filter("id > lo").groupBy("id").agg(F.collect_list("at").alias("cut"))
+    return found.union(rows.filter("sure IS NOT NULL").select("id", "sure")).groupBy("id").agg(F.flatten(F.collect_list("cut")).alias("cut"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -230,7 +255,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = saved(_classes(base, n))
     texts = saved(_candidates(plain, classes, n))
     release(docs.sparkSession)
-    cut = saved(_cut(texts.mapInArrow(_window_rows(n), "h1 long, h2 int, id long, at long")))
+    cut = saved(_cut(texts.mapInArrow(_window_rows(n), "h1 long, h2 long, id long, at long, sure array<long>")))
     release(docs.sparkSession)
     part = texts.select("id", "k1", "k2", "slot", "text").join(cut, "id").mapInArrow(_rest(n), "k1 long, k2 long, n_removed long, digest string, kept_text string")
     part = part if with_text else part.drop("kept_text")

@@ -125,6 +125,14 @@ def test_substrings_odd_tables(clashing, empty):
     assert substring.deduplicate(empty).count() == 0
 
 
+def test_substring_with_colliding_short_names(spark):
+    """Two texts whose 31-bit names are the same still share their passage."""
+    shared = " ".join(f"word{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"{shared} tail58736"), (2, f"{shared} tail59526")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.deduplicate(docs).collect()} == {1: 0, 2: 20}
+
+
+
 def test_recompression_is_local():
     """What stands around a passage does not change the anchors of its windows."""
     passage = " ".join(f"p{k}" for k in range(40)) + " q q q r"
@@ -416,6 +424,23 @@ def test_lines_with_many_partners(spark):
     assert {r.doc_id: r.text for r in lines.deduplicate(docs).collect()} == plain_lines(dict(rows))
 
 
+def test_lines_of_crowded_words(spark):
+    """First looks that are far too small leave the result as it is."""
+    base = [f"w{k}" for k in range(20)]
+    rows = [(i, " ".join(base[:15] + [f"x{i % 7}_{k}" for k in range(3)])) for i in range(30)]
+    rows += [(100 + i, " ".join(base[:19] + [f"y{i}"]) + "\n" + " ".join(f"v{(i * 3 + k) % 50}" for k in range(90))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r.id: r.cut for r in lines.near_duplicate_lines(docs, most=1, reach=2).collect()}
+    want = {i: [k for k, line in enumerate(t.split("\n")) if line not in plain_lines(dict(rows))[i].split("\n")] for i, t in rows}
+    assert cut == {i: c for i, c in want.items() if c}
+
+
+@pytest.mark.parametrize("texts", [[None, None], ["", " \n ", "\t"], ["", "a b c"], [None, "a b c", "A  b c"]])
+def test_lines_without_words(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    assert {r.doc_id: r.text for r in lines.deduplicate(docs).collect()} == plain_lines(dict(enumerate(texts)))
+
+
 def test_lines_odd_tables(clashing, empty):
     got = lines.deduplicate(clashing).collect()
     assert len(got) == clashing.count()
