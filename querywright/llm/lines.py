@@ -2,8 +2,9 @@
 
 A line is its set of distinct words (A-Z lower-cased).  Words are ordered by how rare they are; a
 pair of lines with the wanted Jaccard likeness must share a word within short prefixes of both, at places
-that leave room for enough common words, and have similar lengths.  Pairs that pass those filters
-(and a parity of their words, at least a bit a word, which bounds how many differ) are verified on their full sets.
+that leave room for enough common words, and have similar lengths.  Of the pairs that pass those filters, the one that
+shares most prefix words is verified first for every line; where that fails, the others are, those that
+a parity of their words (at least a bit a word, which bounds how many differ) leaves possible.
 
 The order only has to be the same everywhere, so rarity is a table of fixed size: counts over all lines,
 by hash cell.  Equal sets are folded before the join, so the join's rows are distinct sets and a
@@ -73,27 +74,18 @@ def _keys(first: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.add.reduceat(mix(t), first[:-1]), np.add.reduceat(mix(t ^ U(0x5BD1E995A5A5A5A5)), first[:-1])
 
 
-def _parities(first: np.ndarray, token: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(offsets, values)``: the words' parity of each picked set, in 64 bits for up to 64 words, in 128 for up to 128 and so on to 1024.
+def _parities(first: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(offsets, values)``: the words' parity of each set, in 64 bits for up to 64 words, in 128 for up to 128 and so on to 1024.
 
     The halves of a longer parity, folded, are the next shorter one.
     """
-    n = np.diff(first)[pick]
+    n = np.diff(first)
     width = np.minimum(1 << np.ceil(np.log2(np.maximum(n / 64, 1))).astype(np.int64), 16)
     offsets = np.concatenate([[0], np.cumsum(width)])
-    at = np.repeat(first[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-    h = mix((token[at] & _LOW) + U(9))
-    owner = np.repeat(np.arange(len(pick)), n)
-    slot = offsets[owner] + ((h >> U(48)).astype(np.int64) & (width[owner] - 1))
-    bit = U(1) << (h >> U(58))
+    h = mix((token & _LOW) + U(9))
+    owner = np.repeat(np.arange(len(n)), n)
     values = np.zeros(int(offsets[-1]), U)
-    one = width[owner] == 1
-    lone = np.flatnonzero(width == 1)
-    if len(lone):
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        values[offsets[lone]] = np.bitwise_xor.reduceat(bit, starts)[lone]
-    if not one.all():
-        np.bitwise_xor.at(values, slot[~one], bit[~one])
+    np.bitwise_xor.at(values, offsets[owner] + ((h >> U(48)).astype(np.int64) & (width[owner] - 1)), U(1) << (h >> U(58)))
     return offsets, values
 
 
@@ -177,62 +169,41 @@ def _poster(shipped: Broadcast, percent: int):
             known = t > _LOW  # a word that occurs once matches nothing
             line, r, t = line[known], r[known], t[known]
             own = pick[line]
-            offsets, values = _parities(first, token, pick)
-            parity = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(values)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array((t & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), signed(one[own]), parity.take(pa.array(line)), pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
+                [pa.array((t & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), signed(one[own]), pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
                 names=_POSTED_NAMES,
             )
 
     return post
 
 
-_POSTED = "t int, k1 long, parity binary, id long, line int, n int, r int"
-_POSTED_NAMES = ["t", "k1", "parity", "id", "line", "n", "r"]
-_MET = _POSTED + ", oid long, oline int, apart int"
+_POSTED = "t int, k1 long, id long, line int, n int, r int"
+_POSTED_NAMES = ["t", "k1", "id", "line", "n", "r"]
+_MET = _POSTED + ", oid long, oline int"
 
 
 class _Rows:
-    """Posted rows as arrays; ``fold`` is each parity in 64 bits."""
+    """Posted rows as arrays."""
 
     def __init__(self, table: pa.Table):
         self.t, self.k1, self.id, self.line = (table.column(k).to_numpy() for k in ("t", "k1", "id", "line"))
         self.n, self.r = (table.column(k).to_numpy().astype(np.int64) for k in ("n", "r"))
-        column = table.column("parity").combine_chunks()
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        self.values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(U) if len(column) else np.zeros(0, U)
-        self.at = (offsets - offsets[0]) // 8
-        self.fold = np.bitwise_xor.reduceat(self.values, self.at[:-1]) if len(column) else self.values
-
-    def parity(self, rows: np.ndarray, width: int) -> np.ndarray:
-        """The parities of rows, all of ``width`` or twice as wide, folded to ``width`` values each."""
-        wide = self.at[rows + 1] - self.at[rows] > width
-        out = self.values[self.at[rows][:, None] + np.arange(width)]
-        out[wide] ^= self.values[self.at[rows[wide]][:, None] + width + np.arange(width)]
-        return out
-
-    def may(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs of rows (the first not longer) those that can belong to alike lines, and how far their parities are apart."""
-        ns, nl = self.n[a], self.n[b]
-        need = _ceil((ns + nl) * percent, 100 + percent)
-        apart = np.bitwise_count(self.fold[a] ^ self.fold[b]).astype(np.int64)
-        good = (np.minimum(ns - self.r[a], nl - self.r[b]) + 1 >= need) & (apart <= ns + nl - 2 * need)
-        a, b, apart, most = a[good], b[good], apart[good], (ns + nl - 2 * need)[good]
-        width = np.minimum(self.at[a + 1] - self.at[a], self.at[b + 1] - self.at[b])
-        for k in np.unique(width[width > 1]).tolist():
-            own = np.flatnonzero(width == k)
-            apart[own] = np.bitwise_count(self.parity(a[own], k) ^ self.parity(b[own], k)).sum(axis=1)
-        good = apart <= most
-        return a[good], b[good], apart[good]
-
-    def later_first(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+    def may(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows those that can belong to alike lines by their places, the later line first."""
+        need = _ceil((self.n[a] + self.n[b]) * percent, 100 + percent)
+        good = np.minimum(self.n[a] - self.r[a], self.n[b] - self.r[b]) + 1 >= need
+        a, b = a[good], b[good]
         late = (self.id[a] > self.id[b]) | ((self.id[a] == self.id[b]) & (self.line[a] > self.line[b]))
         return np.where(late, a, b), np.where(late, b, a)
 
-    def pairs(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.binary())]
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64())]
         own = [pa.array(self.id[a]), pa.array(self.line[a]), *[pa.nulls(len(a), pa.int32())] * 2]
-        return pa.RecordBatch.from_arrays([*none, *own, pa.array(self.id[b]), pa.array(self.line[b]), pa.array(apart.astype(np.int32))], names=[*_POSTED_NAMES, "oid", "oline", "apart"])
+        return pa.RecordBatch.from_arrays([*none, *own, pa.array(self.id[b]), pa.array(self.line[b])], names=[*_POSTED_NAMES, "oid", "oline"])
+
+
+_PAIRS = pa.schema([("t", pa.int32()), ("k1", pa.int64()), ("id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("r", pa.int32()), ("oid", pa.int64()), ("oline", pa.int32())])
 
 
 def _short_prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -272,8 +243,8 @@ def _meeter(percent: int, most: int, reach: int):
 
     def crowd(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for batch in table.combine_chunks().to_batches():
-            more = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*_POSTED_NAMES, "oid", "oline", "apart"])
+            more = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*_POSTED_NAMES, "oid", "oline"])
 
     def found(table: pa.Table, released: int | None) -> Iterator[pa.RecordBatch]:
         t, k1 = table.column("t").to_numpy(), table.column("k1").to_numpy()
@@ -292,13 +263,12 @@ def _meeter(percent: int, most: int, reach: int):
             if step > reach:
                 crowded[here] = True
                 break
-            a, b, apart = c.may(here, here + step, percent)
-            a, b = c.later_first(a, b)
+            a, b = c.may(here, here + step, percent)
             np.add.at(met, a, 1)
             use = met[a] <= most
             crowded[a[~use]] = True
             if use.any():
-                yield c.pairs(a[use], b[use], apart[use])
+                yield c.pairs(a[use], b[use])
         if crowded.any():
             yield from crowd(table.filter(pa.array(np.isin(c.t, c.t[crowded]))))
 
@@ -318,13 +288,8 @@ def _cell(percent: int):
             other = rest[late]
             short, long = np.minimum(c.n[other], c.n[own]), np.maximum(c.n[other], c.n[own])
             other = other[short * 100 >= long * percent]
-            mine = np.full(len(other), own)
-            first = c.n[mine] < c.n[other]
-            a, b = np.where(first, mine, other), np.where(first, other, mine)
-            a, b, apart = c.may(a, b, percent)
-            a, b = c.later_first(a, b)
-            out.append(c.pairs(a, b, apart))
-        return pa.Table.from_batches(out).select(["id", "line", "oid", "oline", "apart"]) if out else pa.table({k: pa.array([], t) for k, t in (("id", pa.int64()), ("line", pa.int32()), ("oid", pa.int64()), ("oline", pa.int32()), ("apart", pa.int32()))})
+            out.append(c.pairs(*c.may(np.full(len(other), own), other, percent)))
+        return pa.Table.from_batches(out, schema=_PAIRS).select(["id", "line", "oid", "oline"])
 
     return meet
 
@@ -351,36 +316,83 @@ def _likeness(percent: int):
     return check
 
 
+def _weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line texts with their number of distinct words and its parity."""
+    for part in slices(batches, "s"):
+        w = words(part.column("s"), lower=True)
+        order = np.lexsort((w.hash, w.doc))
+        doc, token = w.doc[order], w.hash[order] >> U(8)
+        fresh = np.ones(len(doc), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+        doc, token = doc[fresh], token[fresh]
+        first = np.searchsorted(doc, np.arange(part.num_rows + 1))
+        offsets, values = _parities(first, token)
+        parity = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(values)])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first).astype(np.int32)), parity], names=["id", "line", "s", "n", "parity"])
+
+
 def _line_texts(lines: DataFrame, plain: DataFrame) -> DataFrame:
-    """``(id, line, s)``: the texts of the wanted lines (id, line)."""
+    """``(id, line, s, n, parity)`` of the wanted lines (id, line)."""
     wanted = lines.groupBy("id").agg(F.collect_set("line").alias("want"))
     each = plain.join(wanted, "id").select("id", "want", F.split("text", "\n", -1).alias("all")).withColumn("line", F.explode("want"))
-    return saved(each.select("id", "line", F.get("all", F.col("line")).alias("s")).filter("s IS NOT NULL"))
+    each = each.select("id", "line", F.get("all", F.col("line")).alias("s")).filter("s IS NOT NULL")
+    return saved(each.mapInArrow(_weigh, "id long, line int, s string, n int, parity binary"))
+
+
+def _both(pairs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (id, line, oid, oline) with columns of both lines, suffixed ``_a`` and ``_b``."""
+    left = texts.select("id", "line", *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = texts.select(F.col("id").alias("oid"), F.col("line").alias("oline"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return pairs.select("id", "line", "oid", "oline").join(right, ["oid", "oline"]).join(left, ["id", "line"])
+
+
+def _possible(percent: int):
+    """Whether the parities of two lines' words leave room for the wanted likeness."""
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            na, nb = (part.column(k).to_numpy().astype(np.int64) for k in ("n_a", "n_b"))
+            apart = np.zeros(part.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(part.column("parity_a").to_pylist(), part.column("parity_b").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                while len(x) != len(y):
+                    x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+                apart[k] = np.bitwise_count(x ^ y).sum()
+            good = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (apart <= na + nb - 2 * _ceil((na + nb) * percent, 100 + percent))
+            yield pa.RecordBatch.from_arrays([part.column(k) for k in ("id", "line", "oid", "oline")], names=["id", "line", "oid", "oline"]).filter(pa.array(good))
+
+    return check
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``(id, line)`` of the pairs (id, line, oid, oline) whose full word sets are alike."""
-    left = texts.withColumnRenamed("s", "a")
-    right = texts.select(F.col("id").alias("oid"), F.col("line").alias("oline"), F.col("s").alias("b"))
-    both = pairs.select("id", "line", "oid", "oline").join(right, ["oid", "oline"]).join(left, ["id", "line"])
-    return both.select("id", "line", "a", "b").mapInArrow(_likeness(percent), "id long, line int, alike boolean").filter("alike").select("id", "line").distinct()
+    both = _both(pairs, texts, ["s"]).select("id", "line", F.col("s_a").alias("a"), F.col("s_b").alias("b"))
+    return both.mapInArrow(_likeness(percent), "id long, line int, alike boolean").filter("alike").select("id", "line").distinct()
+
+
+def _among(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``_verified``, of pairs most of which are not alike."""
+    both = _both(pairs, texts, ["n", "parity"]).select("id", "line", "oid", "oline", "n_a", "n_b", "parity_a", "parity_b")
+    return _verified(both.mapInArrow(_possible(percent), "id long, line int, oid long, oline int"), texts, percent)
 
 
 def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most: int, reach: int) -> DataFrame:
     """``(id, line)`` of distinct lines, by their first place, that an earlier line is alike to."""
-    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    post = _poster(plain.sparkSession.sparkContext.broadcast(rarity), percent)
-    posted = plain.mapInArrow(post, _POSTED).repartition(parts, "t").sortWithinPartitions("t", "n", "k1", "id", "line")
-    met = saved(posted.mapInArrow(_meeter(percent, most, reach), _MET))
-    release(plain.sparkSession)
-    pairs = met.filter("oid IS NOT NULL AND (id <> oid OR line <> oline)").groupBy("id", "line", "oid", "oline").agg(F.min("apart").alias("apart"))
-    pairs = saved(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("id", "line").orderBy("apart", "oid", "oline"))))
+    spark = plain.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    post = _poster(spark.sparkContext.broadcast(rarity), percent)
+    met = saved(plain.mapInArrow(post, _POSTED).repartition(parts, "t").sortWithinPartitions("t", "n", "k1", "id", "line").mapInArrow(_meeter(percent, most, reach), _MET))
+    release(spark)
+    pairs = met.filter("oid IS NOT NULL AND (id <> oid OR line <> oline)").groupBy("id", "line", "oid", "oline").agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("id", "line").orderBy(F.desc("shared"), "oid", "oline")
+    pairs = saved(pairs.withColumn("nth", F.row_number().over(best)))
     texts = _line_texts(pairs.select("id", "line").union(pairs.select("oid", "oline")).distinct(), plain)
+    release(spark)
 
     # The likeliest partner of each line is verified first; only where it fails come the others.
     alike = saved(_verified(pairs.filter("nth = 1"), texts, percent))
     others = pairs.filter("nth > 1").join(alike, ["id", "line"], "left_anti")
-    alike = saved(alike.union(_verified(others, texts, percent)))
+    alike = saved(alike.union(_among(others, texts, percent)))
 
     # Lines of crowded words that are still without a partner ask all rows of those words, cell by cell.
     crowd = met.filter("oid IS NULL").select(*_POSTED_NAMES)
@@ -392,10 +404,12 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         asks = asking.join(sizes, "t").select(*_POSTED_NAMES, block("blocks").alias("block"), every("shares").alias("share"), F.lit(True).alias("asks"))
         asked = crowd.join(sizes, "t").select(*_POSTED_NAMES, every("blocks").alias("block"), block("shares").alias("share"), F.lit(False).alias("asks"))
-        more = asks.unionByName(asked).groupBy("t", "block", "share").applyInArrow(_cell(percent), "id long, line int, oid long, oline int, apart int")
-        more = saved(more.select("id", "line", "oid", "oline").distinct().join(pairs, ["id", "line", "oid", "oline"], "left_anti"))
-        texts = _line_texts(more.select("id", "line").union(more.select("oid", "oline")).distinct(), plain)
-        alike = saved(alike.union(_verified(more, texts, percent)).distinct())
+        more = asks.unionByName(asked).groupBy("t", "block", "share").applyInArrow(_cell(percent), "id long, line int, oid long, oline int")
+        more = saved(more.distinct().join(pairs, ["id", "line", "oid", "oline"], "left_anti"))
+        if more.take(1):
+            texts = _line_texts(more.select("id", "line").union(more.select("oid", "oline")).distinct(), plain)
+            alike = saved(alike.union(_among(more, texts, percent)).distinct())
+            release(spark)
     return alike
 
 

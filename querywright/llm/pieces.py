@@ -1,11 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merge-type (BPE) segmentation works through an agenda of candidate merges, best score first.  With
-dropout every candidate that comes up is skipped with the rate as chance, each by its own part of a keyed hash
-of (seed, document id, place of the segment in the text), drawn as the gaps between skips.  So a seed always
-gives the same segmentation, and every occurrence of a word in every document is cut on its own.
-No piece crosses the start of a run of spaces, or holds a character that the vocabulary lacks, so
-texts are cut there.  Segments are cached by their spelling and the skips drawn: nothing drawn depends on the cache.
+dropout every candidate that comes up is skipped with the rate as chance, by a keyed hash of (seed, document
+id, place of the segment in the text, number of the candidate).  So a seed always gives the same
+segmentation, and every occurrence of a word in every document is cut on its own.
+No piece crosses the start of a run of spaces, or holds a character that the vocabulary lacks, so texts are cut there.
+
+The agendas of all segments of a batch are worked off together, a candidate of each at a time, as arrays.
+Nothing is kept from one batch to the next.
 
 Spaces are written as U+2581 with one put in front; characters that the vocabulary lacks, and a
 literal U+2581, become byte pieces.  So every text decodes to itself.
@@ -15,10 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import U, mix, slices
 
 RATE = 0.1
 SEED = 11
-CACHE_SEGMENTS = 1_000_000
-#: Longer segments are not cached, and from so many characters on the agenda is a heap.
-_KEPT = _SHORT = 64
-_MOST = 4096
-_NEVER = float("inf")
+#: Longer segments are worked off one by one, with a heap.
+LONG = 64
+_ROWS = 1 << 15
 _MARK = "▁"
 _MASK = 2**64 - 1
+_NONE = np.int32(2**31 - 1)
+_STEP, _PLACE = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
 
 def default_model() -> str:
@@ -58,11 +59,39 @@ def vocabulary(model_path: str) -> tuple[list[tuple[str, float]], dict[int, int]
     return usable, raw
 
 
+class _Pairs:
+    """Ranks of symbol pairs that merge, in an open-addressed table."""
+
+    def __init__(self, found: dict[tuple[int, int], int]):
+        bits = max(4, (4 * len(found)).bit_length())
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.key, self.rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int32)
+        for (a, b), rank in found.items():
+            key = a << 32 | b
+            at = (key * int(_STEP) & _MASK) >> (64 - bits)
+            while self.key[at] >= 0:
+                at = (at + 1) & self.mask
+            self.key[at], self.rank[at] = key, rank
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b.astype(np.int64)
+        at = ((key.view(U) * _STEP) >> self.shift).astype(np.int64)
+        met = self.key[at]
+        out = np.where(met == key, self.rank[at], _NONE)
+        open_ = np.flatnonzero((met != key) & (met >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            met = self.key[at[open_]]
+            same = met == key[open_]
+            out[open_[same]] = self.rank[at[open_[same]]]
+            open_ = open_[~same & (met >= 0)]
+        return out
+
+
 class Coder:
-    """Encodes and decodes with one vocabulary.
+    """Encodes and decodes with one vocabulary; a Python worker builds one beside the broadcast vocabulary.
 
-    A Python worker keeps one for all its tasks, beside the broadcast vocabulary, and with it the
-    segments it knows: at most ``CACHE_SEGMENTS`` segmentations, then it starts anew.
+    Symbols are numbered: pieces by id, then characters that occur in pieces only, then any other character by code point.
     """
 
     def __init__(self, pieces: list[tuple[str, float]], raw: dict[int, int], rate: float, seed: int):
@@ -75,146 +104,222 @@ class Coder:
             self.bytes[i] = bytes([value])
         apart = " \n\t\r" + _MARK
         self.cut = re.compile(rf" *[^{apart}]+| +|[{apart[1:]}]")
-        self.limit = int(rate * 2**64)
-        # A 64-bit draw below the k-th of these lets k candidates pass before one is skipped.
-        passing, left = [], 2**64 - self.limit
-        while self.limit and left and len(passing) < _MOST:
-            passing.append(left)
-            left = left * (2**64 - self.limit) >> 64
-        self.most = len(passing)
-        self.passing = np.array(passing[::-1], np.uint64)
-        self.known: dict[str, list] = {}
-        self.held = 0
-
-    def segment(self, text: str, skips: Iterable[int] = ()) -> tuple[int, bytes]:
-        """How many candidates come up in one segment, where spaces are already marked, and its ids.
-
-        ``skips`` are the places in that order, from 0 and ascending, of the candidates that are skipped.
-        """
-        skips = iter(skips)
-        skip = next(skips, -1)
+        self.limit = min(int(rate * 2**64), _MASK)
+        self.size = len(pieces)
+        symbols = dict(self.ids)
+        for c in sorted({c for p in self.rank for c in p} - symbols.keys()):
+            symbols[c] = len(pieces) + len(symbols) - len(self.ids)
+        self.base = len(pieces) + len(symbols) - len(self.ids)
+        levels = {x: k for k, x in enumerate(sorted(set(self.rank.values())))}
+        #: Pieces by place in the agenda's order; with equal scores no array order exists, and all segments go one by one.
+        self.ordered = len(levels) == len(self.rank)
+        self.merged = np.zeros(len(levels) + 1, np.int32)
+        found = {}
+        for p, x in self.rank.items():
+            self.merged[levels[x]] = symbols[p]
+            for k in range(1, len(p)):
+                a, b = symbols.get(p[:k]), symbols.get(p[k:])
+                if a is not None and b is not None:
+                    found[a, b] = levels[x]
+        self.pairs = _Pairs(found)
+        self.symbol = np.arange(self.base, self.base + 0x110000, dtype=np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = i
+        self.symbol[ord(" ")] = symbols.get(_MARK, self.base + ord(_MARK))
+        self.symbol[ord(_MARK)] = self.base + ord(_MARK)
+        self.only = {i: c for c, i in symbols.items() if i >= self.size}
+
+    def segment(self, text: str, skipped: Callable[[int], bool] = lambda k: False) -> np.ndarray:
+        """The symbols of one segment, by an agenda in a heap; candidate ``k`` that comes up is skipped where ``skipped(k)``."""
+        rank, n = self.rank, len(text)
+        literal, text = text == _MARK, text.replace(" ", _MARK)
+        symbols: list[str | None] = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank[p], k, k + 1, p) for k in range(n - 1) if (p := text[k : k + 2]) in rank]
+        heapify(heap)
         come = 0
-        rank = self.rank
-        n = len(text)
-        if n <= _SHORT:
-            symbols = list(text)
-            get = rank.get
-            agenda = [get(text[k : k + 2], _NEVER) for k in range(n - 1)]
-            while agenda and (best := min(agenda)) != _NEVER:
-                k = agenda.index(best)
-                come += 1
-                if come - 1 == skip:
-                    skip = next(skips, -1)
-                    agenda[k] = _NEVER
-                    continue
-                symbols[k] += symbols.pop(k + 1)
-                del agenda[k]
-                if k < len(agenda):
-                    agenda[k] = get(symbols[k] + symbols[k + 1], _NEVER)
-                if k:
-                    agenda[k - 1] = get(symbols[k - 1] + symbols[k], _NEVER)
-        else:
-            symbols = list(text)
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            heap = [(rank[p], k, k + 1, p) for k in range(n - 1) if (p := text[k : k + 2]) in rank]
-            heapify(heap)
-            while heap:
-                _, k, j, p = heappop(heap)
-                if symbols[k] is None or j >= n or symbols[j] is None or after[k] != j or symbols[k] + symbols[j] != p:
-                    continue
-                come += 1
-                if come - 1 == skip:
-                    skip = next(skips, -1)
-                    continue
-                symbols[k], symbols[j] = p, None
-                after[k] = nxt = after[j]
-                if nxt < n:
-                    before[nxt] = k
-                    if (q := p + symbols[nxt]) in rank:
-                        heappush(heap, (rank[q], k, nxt, q))
-                prior = before[k]
-                if prior >= 0 and (q := symbols[prior] + p) in rank:
-                    heappush(heap, (rank[q], prior, k, q))
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                i = self.ids.get(s)
-                if i is None:
-                    out += [self.raw[b] for b in s.encode()]
-                else:
-                    out.append(i)
-        return come, np.array(out, "<i4").tobytes()
-
-    def _made(self, part: str, skips: Iterable[int] = ()) -> list:
-        """Candidates that come up, ids, and what is known of further skips by place."""
-        if part == _MARK:
-            return [0, np.array([self.raw[b] for b in part.encode()], "<i4").tobytes(), None]
-        return [*self.segment(part.replace(" ", _MARK), skips), None]
-
-    def _learn(self, part: str) -> list:
-        node = self._made(part)
-        if self.held >= CACHE_SEGMENTS:
-            self.known.clear()
-            self.held = 0
-        self.known[part] = node
-        self.held += 1
-        return node
-
-    def _gaps(self, draws: np.ndarray) -> np.ndarray:
-        """How many candidates pass before the next skipped one, from uniform 64-bit draws; ``most``: so many or more."""
-        return self.most - np.searchsorted(self.passing, draws, side="right")
-
-    def _skips(self, key: int, place: int, gaps: Iterable[int]) -> Iterator[int]:
-        """The skipped candidates of the segment at ``place`` of a text, without end: ``gaps`` first, then drawn one by one."""
-        come, gaps = 0, iter(gaps)
-        for k in count():
-            gap = next(gaps, None)
-            if gap is None:
-                gap = int(self._gaps(np.array([xxhash.xxh3_64_intdigest(b"%d %d" % (place, k), key)], np.uint64))[0])
-            come += gap
-            if gap < self.most or not self.most:
-                yield come
-                come += 1
-
-    def _dropped(self, part: str, node: list, skips: Iterator[int]) -> bytes:
-        """Ids of a segment under these skips; each segmentation met is kept under the skips that lead to it."""
-        met: list[int] = []
-        for skip in skips:
-            if skip >= node[0]:
-                return node[1]
-            met.append(skip)
-            if node[2] is None:
-                node[2] = {}
-            child = node[2].get(skip)
-            if child is None:
-                child = node[2][skip] = self._made(part, met)
-                self.held += 1
-            node = child
+        while heap:
+            _, k, j, p = heappop(heap)
+            if symbols[k] is None or j >= n or symbols[j] is None or after[k] != j or symbols[k] + symbols[j] != p:
+                continue
+            come += 1
+            if skipped(come - 1):
+                continue
+            symbols[k], symbols[j] = p, None
+            after[k] = nxt = after[j]
+            if nxt < n:
+                before[nxt] = k
+                if (q := p + symbols[nxt]) in rank:
+                    heappush(heap, (rank[q], k, nxt, q))
+            prior = before[k]
+            if prior >= 0 and (q := symbols[prior] + p) in rank:
+                heappush(heap, (rank[q], prior, k, q))
+        code = lambda s: self.base + ord(_MARK) if literal else self.ids[s] if s in self.ids else int(self.symbol[ord(s)])
+        return np.array([code(s) for s in symbols if s is not None], np.int32)
+
+    def _skips(self, base: int) -> Callable[[int], bool]:
+        """Whether the candidates of the segment with this key are skipped, drawn as they come up."""
+        drawn: list[bool] = []
+
+        def skipped(k: int) -> bool:
+            while k >= len(drawn):
+                more = np.arange(len(drawn) + 1, len(drawn) + 129, dtype=U)
+                drawn.extend((mix(U(base) + more * _STEP) < U(self.limit)).tolist())
+            return drawn[k]
+
+        return skipped
+
+    def _agenda(self, flat: np.ndarray, ranks: np.ndarray, start: np.ndarray, size: np.ndarray, base: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Works off the agendas of segments ``flat[start : start + size]`` (``ranks`` of neighbours beside them).
+
+        Returns how many candidates came up, how many symbols are left, and the symbols of all segments in order.
+        """
+        come, left = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        rows_done, symbols_done = [], []
+        by_size = np.argsort(size, kind="stable")
+        for a in range(0, len(by_size), _ROWS):
+            rows = by_size[a : a + _ROWS]
+            width = int(size[rows].max())
+            at = start[rows][:, None] + np.arange(width)
+            inside = np.arange(width) < size[rows][:, None]
+            np.minimum(at, len(flat) - 1, out=at)
+            s = np.where(inside, flat[at], -1)
+            p = np.where(inside[:, 1:], ranks[at[:, : width - 1]], _NONE) if width > 1 else np.full((len(rows), 1), _NONE)
+            step = 0
+            while len(rows):
+                k = p.argmin(axis=1)
+                each = np.arange(len(rows))
+                best = p[each, k]
+                live = best != _NONE
+                if not live.all():
+                    done = s[~live]
+                    real = done >= 0
+                    left[rows[~live]] = real.sum(axis=1)
+                    rows_done.append(rows[~live])
+                    symbols_done.append(done[real])
+                    rows, s, p, k, best = rows[live], s[live], p[live], k[live], best[live]
+                    if not len(rows):
+                        break
+                    each = np.arange(len(rows))
+                step += 1
+                come[rows] = step
+                if base is not None:
+                    skip = mix(base[rows] + U(step) * _STEP) < U(self.limit)
+                    p[each[skip], k[skip]] = _NONE
+                    each, k, best = each[~skip], k[~skip], best[~skip]
+                    if not len(each):
+                        continue
+                # The pair at k becomes one symbol, and what is to its right moves one place to the left.
+                old, old_p = s[each], p[each]
+                new = np.full_like(old, -1)
+                column = np.arange(old.shape[1] - 1)
+                new[:, :-1] = np.where(column <= k[:, None], old[:, :-1], old[:, 1:])
+                own = np.arange(len(each))
+                new[own, k] = self.merged[best]
+                new_p = np.full_like(old_p, _NONE)
+                new_p[:, :-1] = np.where(column[:-1] < k[:, None], old_p[:, :-1], old_p[:, 1:])
+                new_p[own, k] = _NONE
+                has = np.flatnonzero(new[own, k + 1] >= 0)
+                new_p[has, k[has]] = self.pairs(new[has, k[has]], new[has, k[has] + 1])
+                has = np.flatnonzero(k > 0)
+                new_p[has, k[has] - 1] = self.pairs(new[has, k[has] - 1], new[has, k[has]])
+                s[each], p[each] = new, new_p
+        if not rows_done:
+            return come, left, np.zeros(0, np.int32)
+        rows, symbols = np.concatenate(rows_done), np.concatenate(symbols_done)
+        n = left[rows]
+        begin = np.cumsum(n) - n
+        order = np.argsort(rows)
+        n, begin = n[order], begin[order]
+        return come, left, symbols[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def _ids(self, symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of symbols, and their count for each segment of ``left`` symbols: those without a piece become bytes."""
+        odd = np.flatnonzero(symbols >= self.size)
+        if not len(odd):
+            return symbols, left
+        size = np.ones(len(symbols), np.int64)
+        kinds, which = np.unique(symbols[odd], return_inverse=True)
+        spelt = [(self.only[i] if i in self.only else chr(i - self.base)).encode() for i in kinds.tolist()]
+        size[odd] = np.array([len(b) for b in spelt])[which]
+        place = np.cumsum(size) - size
+        out = np.repeat(symbols, size)
+        for k, b in enumerate(spelt):
+            at = place[odd[which == k]]
+            for j, value in enumerate(b):
+                out[at + j] = self.raw[value]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(left)])]
+        return out, np.diff(ends)
+
+    def encode_all(self, texts: list[str | None], docs: list[object]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and their offsets; with dropout every segment of every ``doc`` draws its own skips."""
+        found = [self.cut.findall(" " + t) if t else [] for t in texts]
+        counts = np.array([len(x) for x in found], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        total = int(offsets[-1])
+        if not total:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        known: dict[str, int] = {}
+        code = np.fromiter((known.setdefault(part, len(known)) for parts in found for part in parts), np.int64, total)
+        unique = list(known)
+        del found, known
+        key = np.zeros(total, U)
+        if self.limit:
+            own = np.array([xxhash.xxh3_64_intdigest(str(d), self.seed & _MASK) for d in docs], U)
+            place = np.arange(total) - np.repeat(offsets[:-1], counts)
+            key = mix(np.repeat(own, counts) + place.astype(U) * _PLACE)
+
+        size = np.array([len(p) for p in unique], np.int64)
+        flat = self.symbol[np.frombuffer("".join(unique).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        start = np.cumsum(size) - size
+        ranks = np.full(len(flat), _NONE)
+        if len(flat) > 1:
+            ranks[:-1] = self.pairs(flat[:-1], flat[1:])
+        long = size > (LONG if self.ordered else 0)
+        short = np.flatnonzero(~long)
+        come, left, symbols = self._agenda(flat, ranks, start[short], size[short], None)
+        ids, n = self._ids(symbols, left)
+        pool, begin, length = [ids], np.zeros(total, np.int64), np.zeros(total, np.int64)
+        nth = np.full(len(unique), -1)
+        nth[short] = np.arange(len(short))
+        own = nth[code]
+        plain = own >= 0
+        begin[plain], length[plain] = (np.cumsum(n) - n)[own[plain]], n[own[plain]]
+        filled = len(ids)
+        if self.limit and len(short):
+            # Only occurrences that skip one of the candidates that would come up are worked off anew.
+            due = np.where(plain, come[own], 0)
+            hit = np.zeros(total, bool)
+            live = np.flatnonzero(due > 0)
+            k = 0
+            while len(live):
+                k += 1
+                skip = mix(key[live] + U(k) * _STEP) < U(self.limit)
+                hit[live[skip]] = True
+                live = live[~skip]
+                live = live[due[live] > k]
+            hit = np.flatnonzero(hit)
+            of = code[hit]
+            _, left, symbols = self._agenda(flat, ranks, start[of], size[of], key[hit])
+            ids, n = self._ids(symbols, left)
+            pool.append(ids)
+            begin[hit], length[hit] = filled + np.cumsum(n) - n, n
+            filled += len(ids)
+        for at in np.flatnonzero(~plain).tolist():
+            part = unique[code[at]]
+            symbols = self.segment(part, self._skips(int(key[at]))) if self.limit else self.segment(part)
+            ids, n = self._ids(symbols, np.array([len(symbols)]))
+            pool.append(ids)
+            begin[at], length[at] = filled, len(ids)
+            filled += len(ids)
+        ids = np.concatenate(pool)
+        ends = np.cumsum(length)
+        out = ids[np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]))]
+        return out, np.concatenate([[0], ends])[offsets]
 
     def encode(self, text: str, doc: object = 0) -> np.ndarray:
-        """Ids of a text; with dropout, every segment of every ``doc`` draws its own skips."""
-        if not text:
-            return np.zeros(0, np.int32)
-        parts = self.cut.findall(" " + text)
-        known = self.known.get
-        out: list[bytes] = []
-        if not self.limit:
-            for part in parts:
-                out.append((known(part) or self._learn(part))[1] if len(part) <= _KEPT else self._made(part)[1])
-        else:
-            key = xxhash.xxh3_64_intdigest(str(doc), self.seed & _MASK)
-            draws = mix(np.uint64(key) + np.arange(2 * len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            first, second = self._gaps(draws).reshape(2, -1).tolist()
-            for place, part in enumerate(parts):
-                if len(part) > _KEPT:
-                    out.append(self._made(part, self._skips(key, place, (first[place], second[place])))[1])
-                    continue
-                node = known(part) or self._learn(part)
-                if first[place] < node[0]:
-                    out.append(self._dropped(part, node, self._skips(key, place, (first[place], second[place]))))
-                else:
-                    out.append(node[1])
-        return np.frombuffer(b"".join(out), "<i4")
+        return self.encode_all([text], [doc])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode()
@@ -243,10 +348,10 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shipped)
         for part in slices(batches, text_col):
-            keys = part.column(id_col).to_pylist()
-            texts = part.column(text_col).to_pylist()
-            found = [None if t is None else coder.encode(t, k) for k, t in zip(keys, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+            text = part.column(text_col)
+            ids, offsets = coder.encode_all(text.to_pylist(), part.column(id_col).to_pylist())
+            found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()), mask=text.is_null())
+            yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "ids"])
 
     plain = docs.drop("ids") if "ids" in docs.columns else docs
     return plain.mapInArrow(run, _with(plain, "ids array<int>"))
@@ -282,11 +387,13 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         coder = _coder(shipped)
         for part in slices(batches, "text"):
             rows = []
-            for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            texts = part.column("text").to_pylist()
+            every, offsets = coder.encode_all(texts, part.column("id").to_pylist())
+            for k, text in enumerate(texts):
                 if text is None:
                     rows.append((0, None, None, True))
                     continue
-                ids = coder.encode(text, key)
+                ids = every[offsets[k] : offsets[k + 1]]
                 back = coder.decode(ids)
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
             n, a, b, same = zip(*rows, strict=True)

@@ -170,25 +170,17 @@ def _window_rows(n: int):
             one, two = chain(w.hash, n, 5)[rows], chain(w.hash, n, 7)[rows]
             ids = part.column("id").to_numpy()[doc[take]]
             place = rows - w.first[doc[take]] + (part.column("slot").to_numpy().astype(np.int64) << 32)[doc[take]]
-            # Of a window that many texts of this slice hold, only the smallest id is in doubt.
-            order = np.lexsort((ids, two, one))
+            # Of a window that many texts of this slice hold, only the smallest id is in doubt; the
+            # others are cut whatever other slices hold: they have no h2, and an h1 that spreads them.
+            order = np.lexsort((place, ids, two, one))
             one, two, ids, place = one[order], two[order], ids[order], place[order]
-            head = np.ones(len(one), bool)
-            head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            doubt = ids == ids[np.flatnonzero(head)][np.cumsum(head) - 1]
-            sure = np.flatnonzero(~doubt)
-            sure = sure[np.lexsort((place[sure], ids[sure]))]
-            begin = np.flatnonzero(np.concatenate([[True], ids[sure][1:] != ids[sure][:-1]])) if len(sure) else sure
-            count = int(doubt.sum())
-            known = pa.ListArray.from_arrays(pa.array(np.append(begin, len(sure)).astype(np.int32)), pa.array(place[sure]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([signed(one[doubt]), pa.nulls(len(begin), pa.int64())]), pa.concat_arrays([signed(two[doubt]), pa.nulls(len(begin), pa.int64())]),
-                    pa.array(np.concatenate([ids[doubt], ids[sure][begin]])), pa.concat_arrays([pa.array(place[doubt]), pa.nulls(len(begin), pa.int64())]),
-                    pa.concat_arrays([pa.nulls(count, pa.list_(pa.int64())), known]),
-                ],
-                names=["h1", "h2", "id", "at", "sure"],
-            )
+            head = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            low = ids[head][np.repeat(np.arange(len(head)), np.diff(np.append(head, len(ids))))]
+            doubt, sure = np.flatnonzero(ids == low), np.flatnonzero(ids != low)
+            yield pa.RecordBatch.from_arrays([signed(one[doubt]), signed(two[doubt]), pa.array(ids[doubt]), pa.array(place[doubt])], names=["h1", "h2", "id", "at"])
+            if len(sure):
+                sure = sure[np.lexsort((place[sure], ids[sure]))]
+                yield pa.RecordBatch.from_arrays([signed(mix(ids[sure].view(U))), pa.nulls(len(sure), pa.int64()), pa.array(ids[sure]), pa.array(place[sure])], names=["h1", "h2", "id", "at"])
 
     return run
 
@@ -219,11 +211,37 @@ def _classes(base: DataFrame, n: int) -> DataFrame:
     return first.withColumn("slot", F.row_number().over(Window.partitionBy("rep").orderBy("k1", "k2")) - 1)
 
 
+def _sorted_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key).sortWithinPartitions(key, *order)
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (anchor, k1) those whose anchor more than one text has, each once; a row is held at a time."""
+    last: pa.RecordBatch | None = None
+    joined = False  # whether the row held shares its anchor with an earlier one
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([last, batch]) if last is not None else batch
+        anchor, k1 = rows.column("anchor").to_numpy(), rows.column("k1").to_numpy()
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (k1[1:] != k1[:-1])])
+        at = np.flatnonzero(new)
+        same = anchor[at][1:] == anchor[at][:-1]
+        before, after = np.concatenate([[joined], same]), np.concatenate([same, [False]])
+        out = at[:-1][(before | after)[:-1]]
+        if len(out):
+            yield rows.take(pa.array(out))
+        last, joined = rows.slice(int(at[-1]), 1), bool(before[-1])
+    if last is not None and joined:
+        yield last
+
+
 def _candidates(plain: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """One text a class, with those of its anchors that other classes have too."""
     found = plain.filter("id IS NOT NULL").mapInArrow(_anchor_rows(n), "anchor long, k1 long")
-    shared = found.groupBy("anchor").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("anchor")
-    held = found.join(shared, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
+    shared = _sorted_by(found, "anchor", "k1").mapInArrow(_shared, "anchor long, k1 long")
+    held = shared.groupBy("k1").agg(F.collect_list("anchor").alias("anchors"))
     held = classes.join(held, "k1").select(F.col("rep").alias("id"), "k1", "k2", "slot", "anchors")
     return plain.join(held, "id").select("id", "k1", "k2", "slot", "text", "anchors")
 
@@ -235,11 +253,28 @@ def _own(part: pa.RecordBatch) -> pa.RecordBatch:
     return part if same.all() else part.filter(pa.array(same))
 
 
+_WINDOWS = "h1 long, h2 long, id long, at long"
+
+
+def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of window rows sorted by (h1, h2, id) those that a smaller id has too, and those already decided."""
+    key, low = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sure = batch.column("h2").is_null().to_numpy(zero_copy_only=False)
+        one, two, ids = (batch.column(k).fill_null(0).to_numpy() for k in ("h1", "h2", "id"))
+        turns = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (sure[1:] != sure[:-1])
+        head = np.concatenate([[(one[0], two[0], sure[0]) != key], turns])
+        first = np.concatenate([[low], ids[head]])[np.cumsum(head)]
+        key, low = (one[-1], two[-1], sure[-1]), first[-1]
+        out = pa.array(np.flatnonzero((ids > first) | sure))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(out), batch.column("at").take(out)], names=["id", "at"])
+
+
 def _cut(rows: DataFrame) -> DataFrame:
-    """The windows of each id that a smaller id has too; windows are named twice rather than written down."""
-    lowest = rows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
-    found = rows.join(lowest, ["h1", "h2"]).filter("id > lo").groupBy("id").agg(F.collect_list("at").alias("cut"))
-    return found.union(rows.filter("sure IS NOT NULL").select("id", "sure")).groupBy("id").agg(F.flatten(F.collect_list("cut")).alias("cut"))
+    """The windows of each id that a smaller id has too."""
+    return _sorted_by(rows, "h1", "h2", "id").mapInArrow(_later, "id long, at long").groupBy("id").agg(F.collect_list("at").alias("cut"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -255,7 +290,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = saved(_classes(base, n))
     texts = saved(_candidates(plain, classes, n))
     release(docs.sparkSession)
-    cut = saved(_cut(texts.mapInArrow(_window_rows(n), "h1 long, h2 long, id long, at long, sure array<long>")))
+    cut = saved(_cut(texts.mapInArrow(_window_rows(n), _WINDOWS)))
     release(docs.sparkSession)
     part = texts.select("id", "k1", "k2", "slot", "text").join(cut, "id").mapInArrow(_rest(n), "k1 long, k2 long, n_removed long, digest string, kept_text string")
     part = part if with_text else part.drop("kept_text")
