@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import nested, scalars
+from .functions import more, nested, scalars
 from .operators import aggregates, extras, filters, joins, sets, windows
 from .plans import projections, rewrites
 from .sources import changes, files
@@ -31,7 +31,7 @@ def flagship_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = [R, *(m.R for m in (filters, joins, aggregates, windows, sets, scalars, nested, extras, changes, projections, rewrites, files, events))]
+_ALL = [R, *(m.R for m in (filters, joins, aggregates, windows, sets, scalars, nested, more, extras, changes, projections, rewrites, files, events))]
 
 
 def queries() -> dict[str, Query]:

@@ -1,10 +1,11 @@
 """The driver contract, with and without the optional corpus operators."""
 
+import os
 import shutil
 import subprocess
 import sys
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_entry_runs(spark):

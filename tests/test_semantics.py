@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from querywright.operators import extras as X
-from querywright.session import run_script
+from querywright.session import run_script, statements
 
 
 @pytest.mark.parametrize(
@@ -68,5 +68,41 @@ def test_recursion_stops_in_cycles(spark):
 def test_scripts(spark):
     got = run_script(spark, "CREATE OR REPLACE TEMP VIEW v AS SELECT 1 AS x;\nSELECT x + 1 AS y FROM v;\n")
     assert got[1].first().y == 2
+    got = run_script(spark, "SELECT 'a;\nb' AS x; -- a ; in a comment\n SELECT /* ; */ \"it''s;\" AS x, `c;d` FROM (SELECT 1 AS `c;d`);")
+    assert [r.first().x for r in got] == ["a;\nb", "it''s;"]
+    assert statements(" ; ;; ") == []
+
+
+@pytest.mark.parametrize("text", ["SELECT 1; SELECT 2", "(SELECT 1)", "-- first\nSELECT 1", "WITH t AS (SELECT 1 AS x) SELECT * FROM t", "VALUES (1), (2)", "FROM range(3) SELECT id", "SHOW TABLES", "DESCRIBE QUERY SELECT 1 AS x", "EXPLAIN SELECT 1"])
+def test_read_only_scripts_read(spark, text):
+    assert all(r.collect() is not None for r in run_script(spark, text, read_only=True))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "CREATE OR REPLACE TEMP VIEW w AS SELECT 1", "INSERT INTO dst SELECT 1", "WITH t AS (SELECT 1 AS x) INSERT INTO dst SELECT * FROM t", "FROM range(3) INSERT INTO dst SELECT id",
+        "DELETE FROM dst", "UPDATE dst SET x = 1", "DROP TABLE dst", "TRUNCATE TABLE dst", "SET a.b = 1", "USE other", "CACHE TABLE dst", "CREATE TABLE z (x INT)", "SELECT 1; INSERT INTO dst SELECT 1",
+        "MERGE INTO dst USING src ON dst.x = src.x WHEN MATCHED THEN DELETE",
+    ],
+)
+def test_read_only_scripts_do_not_write(spark, text):
+    spark.sql("DROP TABLE IF EXISTS dst")
+    spark.sql("CREATE TABLE dst (x BIGINT) USING parquet")
     with pytest.raises(PermissionError):
-        run_script(spark, "CREATE OR REPLACE TEMP VIEW w AS SELECT 1", read_only=True)
+        run_script(spark, text, read_only=True)
+    assert spark.table("dst").count() == 0
+    spark.sql("DROP TABLE dst")
+
+
+def test_tables_and_views_of_a_script(spark):
+    got = run_script(
+        spark,
+        """DROP TABLE IF EXISTS made; CREATE TABLE made (k INT, v STRING) USING parquet; INSERT INTO made VALUES (1, 'a'), (2, 'b');
+        CREATE OR REPLACE TEMP VIEW seen AS SELECT v FROM made WHERE k = 2; SHOW TABLES LIKE 'made'; DESCRIBE TABLE made; TRUNCATE TABLE made; SELECT count(*) AS n FROM made;
+        DROP VIEW seen; DROP TABLE made""",
+    )
+    assert [r.tableName for r in got[4].collect()] == ["made"]
+    assert [(r.col_name, r.data_type) for r in got[5].collect()] == [("k", "int"), ("v", "string")]
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        spark.sql("SELECT * FROM seen").collect()
