@@ -8,7 +8,6 @@ that is array arithmetic.  Words are the runs of bytes other than
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 U = np.uint64
 
 _SPACE = np.zeros(256, bool)
@@ -53,19 +53,24 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: cuts lineage, survives lost executors."""
+    """``df`` written as a table in the shared folder and read back: cuts lineage, survives lost executors.
+
+    Spark is told to remove the shuffle files of the write when it has ended; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that Spark drops the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> U(32))

@@ -1,8 +1,10 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs.
 
-Vectors are dealt to shards; one graph is built for each shard, and every vector queries every shard.  Beams widen
-until a vector's beam reaches below the threshold, and for a whole block until an audit, in
-which sampled queries are compared with all vectors of the shard, finds the wanted recall.  Links are verified
+Vectors are dealt to shards; one graph is built for each shard, and every vector queries every shard: a task holds
+two shards and searches each with the vectors of the other, so a link found from either end counts for both.
+Beams widen until a vector's beam reaches below the threshold, and for a whole task until an audit, in which sampled
+queries are compared with all vectors of the shard, finds the wanted recall of links.  Vectors with more links than beams are
+good for (members of a large group) are compared with the whole shard, exactly.  Links are verified
 by cosine in double precision.  A task returns how many links each of its vectors has and a spanning
 forest of its links, never all pairs, and components are found over those forests.
 """
@@ -13,17 +15,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, components, mix, saved
 
 SHARDS = 8
-SHARD_ROWS = 1 << 20
+#: A task holds two shards: at most so many vectors, and bytes of their numbers, each.
+SHARD_ROWS = 1 << 16
+SHARD_BYTES = 64 << 20
 DEGREE = 12
 BEAM = 32
 BUILD_BEAM = 48
-AUDIT_QUERIES = 64
+#: An audit samples from so many queries to so many, until it has seen so many true links.
+AUDIT_QUERIES, AUDIT_MOST, AUDIT_LINKS = 64, 4096, 200
+#: A beam that is full at this width is given up for a comparison with the whole shard.
+HEAVY = 256
 RECALL = 0.99
 _STEP = 4
 _CHUNK = 512
@@ -167,9 +175,9 @@ class Graph:
             live = live[open_[live].any(axis=1)]
         return np.where(np.isfinite(sims), ids, -1), sims
 
-    def near(self, q: np.ndarray, threshold: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, vector) of at least ``threshold``; a beam that holds nothing else is doubled."""
-        found_q, found_v = [], []
+    def near(self, q: np.ndarray, threshold: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, vector) of at least ``threshold``, and the queries with too many: a beam that holds nothing else is doubled up to ``HEAVY``."""
+        found_q, found_v, heavy = [], [], []
         size = max(1, min(_CHUNK, (64 << 20) // max(len(self.x), 1)))
         ready = self.layers[0][0]
         for a in range(0, len(q), size):
@@ -183,22 +191,68 @@ class Graph:
                 found_q.append(part[r])
                 found_v.append(ids[r, c])
                 part, enter = part[full], enter[full]
+                if beam >= max(HEAVY, width):
+                    heavy.append(part)
+                    break
                 beam = min(2 * beam, len(self.x))
-        return np.concatenate([np.zeros(0, int), *found_q]), np.concatenate([np.zeros(0, int), *found_v])
+        none = np.zeros(0, int)
+        return np.concatenate([none, *found_q]), np.concatenate([none, *found_v]), np.concatenate([none, *heavy])
 
+    def packed(self) -> tuple[np.ndarray, pa.Array]:
+        """Of each vector the number of its layers, and its neighbours in all of them, from the lowest up."""
+        levels = np.zeros(len(self.x), np.int32)
+        for members, _, _ in self.layers:
+            levels[members] += 1
+        wide, slim = 2 * DEGREE, DEGREE
+        offsets = np.concatenate([[0], np.cumsum(wide + slim * (levels.astype(np.int64) - 1))])
+        flat = np.full(int(offsets[-1]), -1, np.int32)
+        for k, (members, neighbours, _) in enumerate(self.layers):
+            at = offsets[members] + (0 if k == 0 else wide + slim * (k - 1))
+            flat[at[:, None] + np.arange(neighbours.shape[1])] = neighbours
+        return levels, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
 
-def audited(graph: Graph, q: np.ndarray, threshold: float, *, width: int = BEAM, recall: float = RECALL, sample: int = AUDIT_QUERIES) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of at least ``threshold``: beams double until sampled queries find the wanted share of their true pairs."""
-    chosen = np.unique(np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int)) if len(q) else np.zeros(0, int)
-    true = q[chosen] @ graph.x.T >= threshold
+    @classmethod
+    def unpacked(cls, x: np.ndarray, levels: np.ndarray, flat: np.ndarray) -> Graph:
+        self = cls(x)
+        wide, slim = 2 * DEGREE, DEGREE
+        offsets = np.concatenate([[0], np.cumsum(wide + slim * (levels.astype(np.int64) - 1))])
+        for k in range(int(levels.max(initial=0))):
+            members = np.flatnonzero(levels > k)
+            row = np.full(len(x), -1)
+            row[members] = np.arange(len(members))
+            at = offsets[members] + (0 if k == 0 else wide + slim * (k - 1))
+            self.layers.append((members, flat[at[:, None] + np.arange(wide if k == 0 else slim)].astype(np.int64), row))
+        return self
+
+
+def sampled_links(x: np.ndarray, q: np.ndarray, threshold: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled queries and their true links among ``x``: more are sampled until enough links are seen.  ``own``: query k is vector k, no link of its."""
+    size = min(AUDIT_QUERIES, len(q))
     while True:
-        a, b = graph.near(q, threshold, width)
+        chosen = np.unique(np.linspace(0, len(q) - 1, size).astype(int)) if size else np.zeros(0, int)
+        true = q[chosen] @ x.T >= threshold
+        if own:
+            true[np.arange(len(chosen)), chosen] = False
+        if size >= min(AUDIT_MOST, len(q)) or true.sum() >= AUDIT_LINKS:
+            return chosen, true
+        size = min(2 * size, AUDIT_MOST, len(q))
+
+
+def audited(graph: Graph, q: np.ndarray, threshold: float, *, own: bool = False, width: int = BEAM, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``near``, with beams doubled until sampled queries find the wanted share of their true links, over all and in the mean of the queries."""
+    chosen, true = sampled_links(graph.x, q, threshold, own)
+    while True:
+        a, b, heavy = graph.near(q, threshold, width)
         hit = np.zeros(true.shape, bool)
-        at = np.searchsorted(chosen, a)
-        of = (at < len(chosen)) & (chosen[np.minimum(at, max(len(chosen) - 1, 0))] == a) if len(chosen) else np.zeros(len(a), bool)
-        hit[at[of], b[of]] = True
-        if width >= len(graph.x) or (hit & true).sum() >= recall * true.sum():
-            return a, b
+        if len(chosen):
+            at = np.minimum(np.searchsorted(chosen, a), len(chosen) - 1)
+            of = chosen[at] == a
+            hit[at[of], b[of]] = True
+            hit[np.isin(chosen, heavy)] = True
+        some = true.any(axis=1)
+        each = (hit & true)[some].sum(axis=1) / true[some].sum(axis=1)
+        if width >= len(graph.x) or not some.any() or ((hit & true).sum() >= recall * true.sum() and each.mean() >= recall):
+            return a, b, heavy
         width *= 2
 
 
@@ -211,21 +265,60 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked vector with the smallest id of its group in this task."""
-    low = ids.copy()
-    while len(a):
-        m = np.minimum(low[a], low[b])
-        before = low.copy()
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        if (before == low).all():
-            break
-    used = np.unique(np.concatenate([a, b])) if len(a) else np.zeros(0, int)
-    return ids[used], low[used]
+class _Links:
+    """Links between the vectors of two shards (or within one), as they are found: counts by vector, and which hang together."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, same: bool, copies: np.ndarray, threshold: float):
+        self.x, self.y, self.same, self.threshold = x, y, same, threshold
+        self.nx, self.ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+        self.copies, self.count, self.label = copies, np.zeros(len(copies), np.int64), np.arange(len(copies))
+        self.shift = 0 if same else len(x)
+
+    def light(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Pairs, each once; verified a block at a time."""
+        kept_a, kept_b = [], []
+        for k in range(0, len(a), 1 << 18):
+            i, j = a[k : k + (1 << 18)], b[k : k + (1 << 18)]
+            real = np.einsum("kd,kd->k", self.x[i], self.y[j]) / (self.nx[i] * self.ny[j]) >= self.threshold
+            kept_a.append(i[real])
+            kept_b.append(j[real] + self.shift)
+        a, b = np.concatenate([np.zeros(0, int), *kept_a]), np.concatenate([np.zeros(0, int), *kept_b])
+        np.add.at(self.count, a, self.copies[b])
+        np.add.at(self.count, b, self.copies[a])
+        while len(a):
+            low = np.minimum(self.label[a], self.label[b])
+            before = self.label.copy()
+            np.minimum.at(self.label, a, low)
+            np.minimum.at(self.label, b, low)
+            if (before == self.label).all():
+                break
 
+    def heavy(self, rows: np.ndarray, of_x: bool, skip: np.ndarray) -> None:
+        """All links of ``rows`` of one side with the other, but with those that ``skip`` marks."""
+        q, nq, v, nv = (self.x, self.nx, self.y, self.ny) if of_x else (self.y, self.ny, self.x, self.nx)
+        mine, theirs = (0, self.shift) if of_x else (self.shift, 0)
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
+            hits = (q[part] @ v.T) / (nq[part][:, None] * nv[None, :]) >= self.threshold
+            hits[:, skip] = False
+            if self.same:
+                hits[np.arange(len(part)), part] = False
+                # Within one shard a pair of heavy vectors is met from both ends, every other one only here.
+                both = np.zeros(len(v), bool)
+                both[rows] = True
+                self.count += np.where(both, 0, self.copies[part] @ hits)
+            else:
+                self.count[theirs : theirs + len(v)] += self.copies[part + mine] @ hits
+            self.count[part + mine] += hits @ self.copies[theirs : theirs + len(v)]
+            for r, h in enumerate((part + mine).tolist()):
+                met = np.flatnonzero(hits[r]) + theirs
+                found = self.label[met]
+                low = min(int(found.min(initial=self.label[h])), int(self.label[h]))
+                if (found != low).any() or self.label[h] != low:
+                    self.label[np.isin(self.label, np.append(found, self.label[h]))] = low
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, recall: float = RECALL) -> DataFrame:
+
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, recall: float = RECALL) -> DataFrame:
     """``(id_col, n_links, component_id, kept)`` for every row.
 
     Vectors of equal length with cosine >= ``threshold`` link.  Vectors that are null, empty, zero or hold a null
@@ -238,58 +331,53 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"), (F.coalesce(ok, F.lit(False)) & F.col(id_col).isNotNull()).alias("ok"))
     good = rows.filter("ok").withColumn("dim", F.size("v"))
     classes = saved(good.groupBy("dim", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    total = classes.count()
-    shards = max(1, min(max(shards, math.ceil(total / shard_rows)), math.ceil(total / 64)))
+    total, widest = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards = max(1, min(max(shards, math.ceil(total / min(shard_rows, max(1, shard_bytes // (8 * widest))))), math.ceil(total / 64)))
     placed = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        x = _unit(_matrix(table, "v"))
-        graph = Graph.build(x, table.column("rep").to_numpy())
-        links = [[] for _ in range(len(x))]
-        for members, neighbours, _ in graph.layers:
-            for m, near in zip(members.tolist(), neighbours.tolist(), strict=True):
-                links[m].append([y for y in near if y >= 0])
-        return table.append_column("place", pa.array(np.arange(len(x), dtype=np.int32))).append_column("links", pa.array(links, pa.list_(pa.list_(pa.int32()))))
-
-    graphs = placed.groupBy("dim", "shard").applyInArrow(build, "dim int, v array<double>, rep long, copies long, shard int, place int, links array<array<int>>")
+        graph = Graph.build(_unit(_matrix(table, "v")), table.column("rep").to_numpy())
+        levels, near = graph.packed()
+        return table.append_column("place", pa.array(np.arange(len(table), dtype=np.int32))).append_column("levels", pa.array(levels)).append_column("near", near)
+
+    graphs = placed.groupBy("dim", "shard").applyInArrow(build, "dim int, v array<double>, rep long, copies long, shard int, place int, levels int, near array<int>")
     graphs = saved(graphs)
 
-    def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("place")
-        full, qs = _matrix(left, "v"), _matrix(right, "v")
-        ids, own = left.column("rep").to_numpy(), right.column("rep").to_numpy()
-        count = np.zeros(len(own), np.int64)
-        nodes = roots = np.zeros(0, np.int64)
-        if len(full) and len(qs):
-            graph = Graph(_unit(full))
-            links = left.column("links").to_pylist()
-            for k in range(max(map(len, links))):
-                members = np.array([m for m, x in enumerate(links) if len(x) > k])
-                row = np.full(len(full), -1)
-                row[members] = np.arange(len(members))
-                near = np.full((len(members), DEGREE * (2 if k == 0 else 1)), -1)
-                for j, m in enumerate(members.tolist()):
-                    near[j, : len(links[m][k])] = links[m][k]
-                graph.layers.append((members, near, row))
-            a, b = audited(graph, _unit(qs), threshold - 1e-4, recall=recall)
-            cosine = np.einsum("kd,kd->k", qs[a], full[b]) / (np.linalg.norm(qs[a], axis=1) * np.linalg.norm(full[b], axis=1))
-            real = (cosine >= threshold) & (own[a] != ids[b])
-            a, b = a[real], b[real]
-            count = np.bincount(a, weights=left.column("copies").to_numpy()[b], minlength=len(own)).astype(np.int64)
-            every, place = np.unique(np.concatenate([own, ids]), return_inverse=True)
-            nodes, roots = _forest(place[a], place[len(own) + b], every)
-        return pa.table({
-            "id": np.concatenate([own, nodes]),
-            "n": np.concatenate([count, np.zeros(len(nodes), np.int64)]),
-            "root": np.concatenate([own, roots]),
-        })
-
-    ranges = F.sequence(F.lit(0), F.lit(shards - 1))
-    block = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(shards)).cast("int")
-    asked = placed.select("dim", "v", "rep", block.alias("block"), F.explode(ranges).alias("shard"))
-    held = graphs.withColumn("block", F.explode(ranges))
-    keys = ["dim", "shard", "block"]
-    found = saved(held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(ask, "id long, n long, root long"))
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        sides = [table.filter(pc.equal(table.column("shard"), k)).sort_by("place") for k in dict.fromkeys([low, high])]
+        if any(not len(t) for t in sides):
+            return pa.table({k: pa.array([], pa.int64()) for k in ("id", "n", "root")})
+        full = [_matrix(t, "v") for t in sides]
+        made = [Graph.unpacked(_unit(x), t.column("levels").to_numpy(), t.column("near").combine_chunks().flatten().to_numpy()) for x, t in zip(full, sides, strict=True)]
+        ids, copies = (np.concatenate([t.column(c).to_numpy() for t in sides]) for c in ("rep", "copies"))
+        same, least = len(sides) == 1, threshold - 1e-4
+        x, y = full[0], full[-1]
+        links = _Links(x, y, same, copies, threshold)
+        a, b, heavy_x = audited(made[-1], made[0].x, least, own=same, recall=recall)
+        if same:
+            heavy_y = heavy_x
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        else:
+            d, c, heavy_y = audited(made[0], made[-1].x, least, recall=recall)
+            a, b = np.concatenate([a, c]), np.concatenate([b, d])
+        is_x, is_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        is_x[heavy_x], is_y[heavy_y] = True, True
+        code = np.unique(a * len(y) + b)
+        a, b = code // len(y), code % len(y)
+        use = ~is_x[a] & ~is_y[b] & ((a != b) if same else True)
+        links.light(a[use], b[use])
+        links.heavy(heavy_x, True, np.zeros(len(y), bool))
+        if not same:
+            links.heavy(heavy_y, False, is_x)
+        root = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(root, links.label, ids)
+        some = np.flatnonzero(links.count)
+        return pa.table({"id": ids[some], "n": links.count[some], "root": root[links.label[some]]})
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    held = graphs.withColumn("other", other).select("*", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high")).drop("other")
+    found = saved(held.groupBy("dim", "low", "high").applyInArrow(ask, "id long, n long, root long"))
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     member = good.join(classes, ["dim", "v"]).select("id", "rep", "copies")
     twins = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")

@@ -8,14 +8,17 @@ relative margin to the runner-up; narrow margins are rejected.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 DICTIONARY_BYTES = 256 << 10
 SAMPLE_DOCS = 2000
@@ -27,12 +30,23 @@ BLOCK_CHARS = 4096
 #: Four-byte matches and a greedy search: short words count, and the search stays cheap.
 SETTINGS = {"window_log": 20, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY, "chain_log": 16, "hash_log": 17, "search_log": 3, "write_content_size": False, "write_dict_id": False}
 MIN_MARGIN = 0.004
-_OTHER = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of what is neither letter nor mark, and a letter, by Unicode category."""
+    kinds = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+
+    def ranges(of: str) -> str:
+        return "".join(rf"\U{m.start():08x}-\U{m.end() - 1:08x}" for m in re.finditer(f"[{of}]+", kinds))
+
+    return re.compile(f"[^{ranges('LM')}]+"), re.compile(f"[{ranges('L')}]")
 
 
 def letters(text: str) -> str:
-    """Lower case, with one space for every run of anything but letters."""
-    return _OTHER.sub(" ", text).lower()
+    """Lower case, with one space for every run of anything but letters and their marks; empty without a letter."""
+    other, letter = _patterns()
+    return other.sub(" ", text).lower() if letter.search(text) else ""
 
 
 def held_out(id_col: str) -> Column:
@@ -79,7 +93,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id",
     and not accepted; equal sizes go to the language first in the model (the most frequent); a margin under ``min_margin`` is
     not accepted.  With one language the margin is against no dictionary at all.
     """
-    names = list(model)
+    names, hidden = list(model), unused(docs, "text__")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settings = zstandard.ZstdCompressionParameters(**SETTINGS)
@@ -90,9 +104,9 @@ def predict(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id",
             coders.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=made))
         if len(coders) == 1:
             coders.append(zstandard.ZstdCompressor(compression_params=settings))
-        for part in slices(batches, "text__"):
+        for part in slices(batches, hidden):
             langs, scores = [], []
-            for text in part.column("text__").to_pylist():
+            for text in part.column(hidden).to_pylist():
                 text = letters(text or "")
                 if not names or not text.strip():
                     langs.append("und")
@@ -104,12 +118,11 @@ def predict(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id",
                 second = min(s for k, s in enumerate(sizes) if k != best)
                 langs.append(names[best])
                 scores.append(max(0.0, (second - sizes[best]) / second))
-            names_out = [c for c in part.schema.names if with_text or c != "text__"]
+            names_out = [c for c in part.schema.names if with_text or c != hidden]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names_out), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names_out, "lang_pred", "score"])
 
-    columns = list(dict.fromkeys([id_col, *keep]))
-    plain = docs.select(*columns, F.col(text_col).cast("string").alias("text__"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if with_text or f.name != "text__")
+    plain = docs.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).cast("string").alias(hidden))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if with_text or f.name != hidden)
     out = plain.mapInArrow(run, f"{schema}, lang_pred string, score double")
-    out = out.withColumnRenamed("text__", text_col)
+    out = out.withColumnRenamed(hidden, text_col)
     return out.withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("score") >= min_margin))

@@ -2,9 +2,9 @@
 
 A line is its set of distinct words (A-Z lower-cased).  Words are ordered by how rare they are; a
 pair of lines with the wanted Jaccard likeness must share a word within short prefixes of both, at places
-that leave room for enough common words, and have similar lengths.  Of the pairs that pass those filters, the one that
-shares most prefix words is verified first for every line; where that fails, the others are, those that
-a parity of their words (at least a bit a word, which bounds how many differ) leaves possible.
+that leave room for enough common words, have similar lengths, and 64-bit parities of their words no further apart than
+words may differ.  Of the pairs that pass those filters, the one that shares most prefix words is verified first for
+every line; where that fails, the others are, those that a longer parity (at least a bit a word) leaves possible.
 
 The order only has to be the same everywhere, so rarity is a table of fixed size: counts over all lines,
 by hash cell.  Equal sets are folded before the join, so the join's rows are distinct sets and a
@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, mix, release, saved, signed, slices, unused, words
+from .common import U, mix, saved, signed, slices, unused, words
 
 PERCENT = 80
 CELL_BITS = 21
@@ -169,16 +169,17 @@ def _poster(shipped: Broadcast, percent: int):
             known = t > _LOW  # a word that occurs once matches nothing
             line, r, t = line[known], r[known], t[known]
             own = pick[line]
+            parity = np.bitwise_xor.reduceat(U(1) << (mix((token & _LOW) + U(9)) >> U(58)), first[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array((t & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), signed(one[own]), pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
+                [pa.array((t & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), signed(one[own]), signed(parity[own]), pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
                 names=_POSTED_NAMES,
             )
 
     return post
 
 
-_POSTED = "t int, k1 long, id long, line int, n int, r int"
-_POSTED_NAMES = ["t", "k1", "id", "line", "n", "r"]
+_POSTED = "t int, k1 long, parity long, id long, line int, n int, r int"
+_POSTED_NAMES = ["t", "k1", "parity", "id", "line", "n", "r"]
 _MET = _POSTED + ", oid long, oline int"
 
 
@@ -187,23 +188,25 @@ class _Rows:
 
     def __init__(self, table: pa.Table):
         self.t, self.k1, self.id, self.line = (table.column(k).to_numpy() for k in ("t", "k1", "id", "line"))
+        self.parity = table.column("parity").to_numpy().view(U)
         self.n, self.r = (table.column(k).to_numpy().astype(np.int64) for k in ("n", "r"))
 
     def may(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of rows those that can belong to alike lines by their places, the later line first."""
+        """Of pairs of rows those that can belong to alike lines by their places and parities, the later line first."""
         need = _ceil((self.n[a] + self.n[b]) * percent, 100 + percent)
         good = np.minimum(self.n[a] - self.r[a], self.n[b] - self.r[b]) + 1 >= need
+        good &= np.bitwise_count(self.parity[a] ^ self.parity[b]) <= self.n[a] + self.n[b] - 2 * need
         a, b = a[good], b[good]
         late = (self.id[a] > self.id[b]) | ((self.id[a] == self.id[b]) & (self.line[a] > self.line[b]))
         return np.where(late, a, b), np.where(late, b, a)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64())]
+        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64())]
         own = [pa.array(self.id[a]), pa.array(self.line[a]), *[pa.nulls(len(a), pa.int32())] * 2]
         return pa.RecordBatch.from_arrays([*none, *own, pa.array(self.id[b]), pa.array(self.line[b])], names=[*_POSTED_NAMES, "oid", "oline"])
 
 
-_PAIRS = pa.schema([("t", pa.int32()), ("k1", pa.int64()), ("id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("r", pa.int32()), ("oid", pa.int64()), ("oline", pa.int32())])
+_PAIRS = pa.schema([("t", pa.int32()), ("k1", pa.int64()), ("parity", pa.int64()), ("id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("r", pa.int32()), ("oid", pa.int64()), ("oline", pa.int32())])
 
 
 def _short_prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -382,12 +385,10 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     post = _poster(spark.sparkContext.broadcast(rarity), percent)
     met = saved(plain.mapInArrow(post, _POSTED).repartition(parts, "t").sortWithinPartitions("t", "n", "k1", "id", "line").mapInArrow(_meeter(percent, most, reach), _MET))
-    release(spark)
     pairs = met.filter("oid IS NOT NULL AND (id <> oid OR line <> oline)").groupBy("id", "line", "oid", "oline").agg(F.count("*").alias("shared"))
     best = Window.partitionBy("id", "line").orderBy(F.desc("shared"), "oid", "oline")
     pairs = saved(pairs.withColumn("nth", F.row_number().over(best)))
     texts = _line_texts(pairs.select("id", "line").union(pairs.select("oid", "oline")).distinct(), plain)
-    release(spark)
 
     # The likeliest partner of each line is verified first; only where it fails come the others.
     alike = saved(_verified(pairs.filter("nth = 1"), texts, percent))
@@ -409,7 +410,6 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
         if more.take(1):
             texts = _line_texts(more.select("id", "line").union(more.select("oid", "oline")).distinct(), plain)
             alike = saved(alike.union(_among(more, texts, percent)).distinct())
-            release(spark)
     return alike
 
 
@@ -429,7 +429,6 @@ def near_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     again = lines.join(classes, ["k1", "k2"]).select("first", F.explode(F.array_append(F.arrays_zip(F.col("ids").alias("id"), F.col("lines").alias("line")), F.col("at"))).alias("at"))
     again = again.filter("at > first").select("at.id", "at.line")
     cut = saved(again.union(alike).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("cut")))
-    release(docs.sparkSession)
     return cut
 
 

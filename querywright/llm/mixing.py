@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, saved, unused
 
 CAP = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -122,8 +122,9 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``plan`` takes it."""
     chosen = plan(docs, id_col=id_col, **options).filter("copies > 0")
-    lists = chosen.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    nth = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    joined = docs.join(lists, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).withColumn("__times", F.get("__copies", nth - 1))
-    times = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return joined.filter("__times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], times.alias("__time")).drop("__time")
+    own, lists, times, time = (unused(docs, c) for c in ("own_id", "copies_of", "times", "time"))
+    taken = chosen.groupBy(F.col(id_col).alias(own)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(lists))
+    nth = F.row_number().over(Window.partitionBy(own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    joined = docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col(own))).withColumn(times, F.get(lists, nth - 1))
+    each = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return joined.filter(F.col(times) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], each.alias(time)).drop(time)

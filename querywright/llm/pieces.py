@@ -37,7 +37,9 @@ LONG = 64
 _ROWS = 1 << 15
 _MARK = "▁"
 _MASK = 2**64 - 1
-_NONE = np.int32(2**31 - 1)
+#: A merge is written as its place in the agenda's order, times 2**20, and the symbol made; this stands for no merge.
+_NONE = np.int64(2**62)
+_MADE = (1 << 20) - 1
 _STEP, _PLACE = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
 
@@ -59,13 +61,18 @@ def vocabulary(model_path: str) -> tuple[list[tuple[str, float]], dict[int, int]
     return usable, raw
 
 
+def _nth(k: int) -> np.uint64:
+    """What the draw of the k-th candidate adds to its segment's key."""
+    return U(k * int(_STEP) & _MASK)
+
+
 class _Pairs:
-    """Ranks of symbol pairs that merge, in an open-addressed table."""
+    """Merges of symbol pairs, in an open-addressed table."""
 
     def __init__(self, found: dict[tuple[int, int], int]):
         bits = max(4, (4 * len(found)).bit_length())
         self.shift, self.mask = U(64 - bits), (1 << bits) - 1
-        self.key, self.rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int32)
+        self.key, self.rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE)
         for (a, b), rank in found.items():
             key = a << 32 | b
             at = (key * int(_STEP) & _MASK) >> (64 - bits)
@@ -111,16 +118,12 @@ class Coder:
             symbols[c] = len(pieces) + len(symbols) - len(self.ids)
         self.base = len(pieces) + len(symbols) - len(self.ids)
         levels = {x: k for k, x in enumerate(sorted(set(self.rank.values())))}
-        #: Pieces by place in the agenda's order; with equal scores no array order exists, and all segments go one by one.
-        self.ordered = len(levels) == len(self.rank)
-        self.merged = np.zeros(len(levels) + 1, np.int32)
         found = {}
         for p, x in self.rank.items():
-            self.merged[levels[x]] = symbols[p]
             for k in range(1, len(p)):
                 a, b = symbols.get(p[:k]), symbols.get(p[k:])
                 if a is not None and b is not None:
-                    found[a, b] = levels[x]
+                    found[a, b] = levels[x] << 20 | symbols[p]
         self.pairs = _Pairs(found)
         self.symbol = np.arange(self.base, self.base + 0x110000, dtype=np.int32)
         for c, i in symbols.items():
@@ -188,7 +191,7 @@ class Coder:
             p = np.where(inside[:, 1:], ranks[at[:, : width - 1]], _NONE) if width > 1 else np.full((len(rows), 1), _NONE)
             step = 0
             while len(rows):
-                k = p.argmin(axis=1)
+                k = (p >> 20).argmin(axis=1)  # the leftmost of equal scores
                 each = np.arange(len(rows))
                 best = p[each, k]
                 live = best != _NONE
@@ -205,7 +208,7 @@ class Coder:
                 step += 1
                 come[rows] = step
                 if base is not None:
-                    skip = mix(base[rows] + U(step) * _STEP) < U(self.limit)
+                    skip = mix(base[rows] + _nth(step)) < U(self.limit)
                     p[each[skip], k[skip]] = _NONE
                     each, k, best = each[~skip], k[~skip], best[~skip]
                     if not len(each):
@@ -216,7 +219,7 @@ class Coder:
                 column = np.arange(old.shape[1] - 1)
                 new[:, :-1] = np.where(column <= k[:, None], old[:, :-1], old[:, 1:])
                 own = np.arange(len(each))
-                new[own, k] = self.merged[best]
+                new[own, k] = best & _MADE
                 new_p = np.full_like(old_p, _NONE)
                 new_p[:, :-1] = np.where(column[:-1] < k[:, None], old_p[:, :-1], old_p[:, 1:])
                 new_p[own, k] = _NONE
@@ -276,7 +279,7 @@ class Coder:
         ranks = np.full(len(flat), _NONE)
         if len(flat) > 1:
             ranks[:-1] = self.pairs(flat[:-1], flat[1:])
-        long = size > (LONG if self.ordered else 0)
+        long = size > LONG
         short = np.flatnonzero(~long)
         come, left, symbols = self._agenda(flat, ranks, start[short], size[short], None)
         ids, n = self._ids(symbols, left)
@@ -295,7 +298,7 @@ class Coder:
             k = 0
             while len(live):
                 k += 1
-                skip = mix(key[live] + U(k) * _STEP) < U(self.limit)
+                skip = mix(key[live] + _nth(k)) < U(self.limit)
                 hit[live[skip]] = True
                 live = live[~skip]
                 live = live[due[live] > k]

@@ -25,7 +25,7 @@ def clashing(odd):
     twice = odd.unionAll(odd.filter("doc_id = 3"))
     other = odd.filter("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")).unionAll(odd.filter("doc_id = 7").withColumn("doc_id", F.lit(1).cast("long")))
     made = twice.unionAll(other)
-    for c in ("id", "key", "rep", "n", "size", "copies", "component", "line", "cut", "kind", "m", "score", "part"):
+    for c in ("id", "key", "rep", "n", "size", "copies", "component", "line", "cut", "kind", "m", "score", "part", "__id", "own_id", "text__", "__kept", "kept_id", "__copies", "copies_of", "times", "found", "moves", "cut_lines"):
         made = made.withColumn(c, F.lit(c))
     return made
 
