@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querywright.llm import langid, lines, minhash, mixing, pieces
-from querywright.llm.common import work_dir
+from querywright.llm.common import unused, work_dir
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,12 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup on five-word shingles: of every group the document with the smallest id stays."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    own = unused(docs, "kept_id")
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):  # of rows that repeat an id one stays
+        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    return left
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
