@@ -14,7 +14,7 @@ from querywright.session import session  # noqa: E402
 
 HEADLINE = [
     "flagship_segment_report", "tpch_q1", "tpch_q3", "tpch_q5", "tpch_q6", "agg_group", "agg_distinct", "cube", "join_inner", "join_left", "join_semi", "join_anti",
-    "join_range", "join_multi_key", "lateral_topn", "asof_rewrite", "scalar_correlated", "exists_semi", "topn_per_group", "running_sum_rows", "window_distinct",
+    "join_range", "join_multi_key", "lateral_topn", "asof_rewrite", "scalar_correlated", "exists_semi", "topn_per_group", "running_sum_rows", "window_distinct", "window_median", "order_nulls",
     "sessions", "qualify_top", "except_all", "recursive_numbers", "percentiles", "explode", "json_path", "word_counts", "dml_merge", "recursive_union_distinct",
     "slow_running_total", "fast_running_total", "slow_newest_per_group", "fast_newest_per_group", "projection_covering",
 ]

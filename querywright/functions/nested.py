@@ -15,8 +15,8 @@ R.pair("struct_field", "SELECT s.k AS k, s.name AS name FROM (SELECT named_struc
 R.pair("arr_struct_field", "SELECT r, array_join(sort_array(ns.n_name), ',') AS names FROM (SELECT n_regionkey AS r, collect_list(struct(n_nationkey, n_name)) AS ns FROM nation GROUP BY n_regionkey) t", "SELECT n_regionkey AS r, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 R.pair("json_path", "SELECT event_id, get_json_object(props, '$.k') AS k, CAST(size(json_object_keys(props)) AS BIGINT) AS n FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n FROM events")
 R.pair("from_to_json", "SELECT event_id, from_json(props, 'k INT').k AS k, to_json(named_struct('id', event_id)) AS j FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, concat('{\"id\":', event_id, '}') AS j FROM events")
-R.pair("explode", "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, explode(slice(embedding, 1, 3)) AS x FROM embeddings) t", "SELECT vec_id, CAST(unnest(embedding[1:3]) AS DOUBLE) AS x FROM embeddings")
-R.pair("posexplode", "SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 4)) e AS pos, x", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 5) t(i)")
+R.pair("explode", "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, explode(embedding) AS x FROM embeddings) t", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
+R.pair("posexplode", "SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) t")
 R.pair("explode_outer", "SELECT n_nationkey, x FROM nation LATERAL VIEW OUTER explode(filter(array(n_nationkey), k -> k > 12)) e AS x", "SELECT n_nationkey, CASE WHEN n_nationkey > 12 THEN n_nationkey END AS x FROM nation")
 R.pair("inline_structs", "SELECT r, k, name FROM (SELECT n_regionkey AS r, collect_list(struct(n_nationkey, n_name)) AS ns FROM nation GROUP BY n_regionkey) t LATERAL VIEW inline(ns) e AS k, name", "SELECT n_regionkey AS r, n_nationkey AS k, n_name AS name FROM nation")
 R.pair("word_counts", "SELECT w, count(*) AS n FROM (SELECT explode(split(lower(text), '[^a-z]+')) AS w FROM benchmark) t WHERE w <> '' GROUP BY w", "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) t WHERE w <> '' GROUP BY w")

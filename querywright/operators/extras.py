@@ -7,12 +7,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from heapq import heappop, heappush, heappushpop
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..tables import Registry, load
+from ..tables import Registry, load, work_folder
 
 R = Registry()
 
@@ -28,23 +32,56 @@ def filtered_over(aggregate: Callable[[Column], Column], value: Column, conditio
     return aggregate(F.when(condition, value)).over(window)
 
 
-def count_distinct_over(value: Column, window: WindowSpec) -> Column:
-    """``count(DISTINCT value) OVER window``."""
-    return F.size(F.collect_set(value).over(window)).cast("long")
+def with_distinct(df: DataFrame, keys: Sequence[str], value: str, *, count: str | None = None, total: str | None = None) -> DataFrame:
+    """``count(DISTINCT value)`` and ``sum(DISTINCT value)`` OVER (PARTITION BY keys), added as columns.
 
+    Distinct (keys, value) rows are aggregated and joined back, so a large group is never held in one row.  Null keys form a
+    group; a sum without known values is null.
+    """
+    wanted = [*([F.count(value).alias(count)] if count else []), *([F.sum(F.col(value).cast("double")).alias(total)] if total else [])]
+    hidden = {k: f"__{n}_{uuid.uuid4().hex[:6]}" for n, k in enumerate(keys)}
+    per = df.select(*keys, value).distinct().groupBy(*keys).agg(*wanted).select(*[F.col(k).alias(h) for k, h in hidden.items()], *[c for c in (count, total) if c])
+    match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(per[h]) for k, h in hidden.items()])
+    return df.join(per, match, "left").drop(*hidden.values())
+
+
+def running_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``median(value) OVER (PARTITION BY keys ORDER BY order)`` up to each row, which Spark's own refuses; nulls count for nothing.
+
+    Two heaps a group, so a group of n rows takes n log n steps; like any ordered window a group is one task's.
+    """
+    place = df.columns.index(value)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        low: list[float] = []  # the smaller half, negated
+        high: list[float] = []
+        out: list[float | None] = []
+        for x in rows.column(place).to_pylist():
+            if x is not None:
+                heappush(high, -heappushpop(low, -float(x)))
+                if len(high) > len(low):
+                    heappush(low, -heappop(high))
+            out.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+        return rows.append_column(name, pa.array(out, pa.float64()))
 
-def sum_distinct_over(value: Column, window: WindowSpec) -> Column:
-    """``sum(DISTINCT value) OVER window``; null where no value is known."""
-    held = F.collect_set(value).over(window)
-    total = F.aggregate(held, F.lit(0).cast("double"), lambda a, x: a + x.cast("double"))
-    return F.when(F.size(held) > 0, total)
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
-def median_over(value: Column, window: WindowSpec) -> Column:
-    """``median(value)`` over an ordered window, which Spark's own refuses: the middle of the frame's sorted values."""
-    held = F.sort_array(F.collect_list(value.cast("double")).over(window))
-    n = F.size(held)
-    return F.when(n > 0, (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2)
+def with_place(df: DataFrame, name: str = "place") -> DataFrame:
+    """``df`` with the number of each row in its own order, from 1: ``row_number()`` over everything, without one task for all rows.
+
+    Rows are numbered within their partitions of the written table; only the counts of the partitions, a row each, are summed up in order.
+    """
+    work_folder(df.sparkSession)
+    part, nth = f"__part_{uuid.uuid4().hex[:6]}", f"__nth_{uuid.uuid4().hex[:6]}"
+    marked = df.withColumns({part: F.spark_partition_id(), nth: F.monotonically_increasing_id()}).checkpoint()
+    counts = marked.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(part).alias("__p"), before.alias("__before"))
+    placed = marked.join(offsets, F.col(part) == F.col("__p"))
+    return placed.withColumn(name, F.col("__before") + F.col(nth).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(part, nth, "__p", "__before")
 
 
 def json_path(column: Column, path: str) -> Column:
@@ -63,18 +100,15 @@ def count_distinct(*columns: Column) -> Column:
 def recursive_distinct(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], *, most: int = 1000) -> DataFrame:
     """``WITH RECURSIVE ... UNION``: what ``step`` makes of the newest rows, without rows already seen, until none are new.
 
-    Rows compare null-safely on all columns.  Every round is a written table in the checkpoint folder;
+    Rows compare null-safely on all columns.  Every round writes its new rows to the checkpoint folder;
     more than ``most`` rounds raise RecursionError.
     """
-    spark = anchor.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="querywright-"))
+    work_folder(anchor.sparkSession)
     delta = anchor.distinct().checkpoint()
-    every = delta
+    deltas = [delta]
     names = anchor.columns
     for _ in range(most):
+        every = reduce(DataFrame.unionAll, deltas)
         if not delta.take(1):
             return every
         fresh = step(delta).toDF(*names).distinct()
@@ -84,7 +118,7 @@ def recursive_distinct(anchor: DataFrame, step: Callable[[DataFrame], DataFrame]
             term = F.col(f"`{c}`").eqNullSafe(F.col(f"__{k}"))
             same = term if same is None else same & term
         delta = fresh.join(seen, same, "left_anti").checkpoint()
-        every = every.unionAll(delta).checkpoint()
+        deltas.append(delta)
     raise RecursionError(f"RECURSION_LEVEL_LIMIT_EXCEEDED: more than {most} rounds")
 
 
@@ -120,13 +154,21 @@ def window_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.frame("SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS kinds, CAST(sum(DISTINCT o_orderkey) OVER (PARTITION BY o_custkey) AS DOUBLE) AS keys FROM orders")
 def window_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = Window.partitionBy("o_custkey")
-    return _orders(spark, sf_dir).select("o_orderkey", count_distinct_over(F.col("o_orderpriority"), per).alias("kinds"), sum_distinct_over(F.col("o_orderkey"), per).alias("keys"))
+    orders = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderpriority")
+    counted = with_distinct(orders, ["o_custkey"], "o_orderpriority", count="kinds")
+    return with_distinct(counted, ["o_custkey"], "o_orderkey", total="keys").select("o_orderkey", "kinds", "keys")
 
 
 @R.frame("SELECT o_orderkey, median(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS mid FROM orders")
 def window_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).select("o_orderkey", median_over(F.col("o_totalprice"), _by_date()).alias("mid"))
+    orders = _orders(spark, sf_dir).select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return running_median(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "mid").select("o_orderkey", "mid")
+
+
+@R.frame("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') ASC NULLS LAST, o_orderkey) AS BIGINT) AS place FROM orders")
+def order_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.nullif(F.col("o_orderstatus"), F.lit("P"))
+    return with_place(_orders(spark, sf_dir).select("o_orderkey", "o_orderstatus").orderBy(status.asc_nulls_last(), "o_orderkey").select("o_orderkey"))
 
 
 @R.frame("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -141,9 +183,10 @@ def iff_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.frame("WITH RECURSIVE t(a, b) AS (SELECT DISTINCT l_suppkey % 40, l_partkey % 40 FROM lineitem WHERE l_suppkey % 40 = 3 UNION SELECT t.a, l_partkey % 40 FROM t JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_orderkey < 40) l ON l_suppkey % 40 = t.b) SELECT a, b FROM t")
+@R.frame("WITH RECURSIVE t(a, b) AS (SELECT DISTINCT l_suppkey % 40, l_partkey % 40 FROM lineitem UNION SELECT t.a, p FROM t JOIN (SELECT DISTINCT l_suppkey % 40 AS s, l_partkey % 40 AS p FROM lineitem WHERE l_quantity > 49) l ON s = t.b) SELECT a, b FROM t")
 def recursive_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which groups of parts are reached from which groups of suppliers, over hops of large quantity."""
     lines = load(spark, sf_dir, "lineitem")
-    anchor = lines.select((F.col("l_suppkey") % 40).alias("a"), (F.col("l_partkey") % 40).alias("b")).filter("a = 3")
-    hops = lines.filter("l_orderkey < 40").select((F.col("l_suppkey") % 40).alias("s"), (F.col("l_partkey") % 40).alias("p")).distinct()
-    return recursive_distinct(anchor, lambda new: new.join(hops, F.col("b") == F.col("s")).select("a", "p"))
+    pair = [(F.col("l_suppkey") % 40).alias("s"), (F.col("l_partkey") % 40).alias("p")]
+    hops = lines.filter("l_quantity > 49").select(*pair).distinct()
+    return recursive_distinct(lines.select(*pair).toDF("a", "b"), lambda new: new.join(hops, F.col("b") == F.col("s")).select("a", "p"))

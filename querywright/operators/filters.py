@@ -29,7 +29,6 @@ R.same(
     keyset_page="SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50",
     topn_per_group="SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 3",
     latest_per_group="SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) t WHERE rn = 1",
-    order_nulls="SELECT o_orderkey, CAST(row_number() OVER (ORDER BY nullif(o_orderstatus, 'P') ASC NULLS LAST, o_orderkey) AS BIGINT) AS place FROM orders",
 )
 R.pair("star_except", "SELECT * EXCEPT (n_regionkey) FROM nation", "SELECT * EXCLUDE (n_regionkey) FROM nation")
 R.pair("qualified_star", "SELECT n.*, r_name FROM nation n JOIN region r ON n_regionkey = r_regionkey", "SELECT n.*, r_name FROM nation n JOIN region r ON n_regionkey = r_regionkey")

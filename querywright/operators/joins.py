@@ -20,12 +20,11 @@ R.same(
     join_theta="SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey > b.n_nationkey + 20",
     join_range="SELECT e.event_id, b.name FROM events e JOIN (VALUES ('low', 0.0, 20.0), ('mid', 20.0, 60.0), ('high', 60.0, 1000000.0)) AS b(name, lo, hi) ON e.value >= b.lo AND e.value < b.hi",
     join_equi_residual="SELECT o_orderkey, l_linenumber, l_extendedprice FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_extendedprice > o_totalprice / 3",
-    join_multi_key="SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, a.l_linenumber",
+    join_multi_key="SELECT s_suppkey, count(*) AS n, max(c_custkey) AS newest FROM supplier JOIN customer ON s_nationkey = c_nationkey AND floor(s_acctbal / 1000) = floor(c_acctbal / 1000) GROUP BY s_suppkey",
     join_fanout="SELECT c_mktsegment, count(DISTINCT o_orderkey) AS orders_n, count(*) AS lines_n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_mktsegment",
     join_sparse_left="SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     lateral_topn="SELECT c_custkey, t.o_orderkey FROM customer JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t ON TRUE",
     lateral_left="SELECT n_name, t.top FROM nation LEFT JOIN LATERAL (SELECT max(s_acctbal) AS top FROM supplier WHERE s_nationkey = n_nationkey) t ON TRUE",
-    asof_rewrite="SELECT event_id, user_id, prior_id FROM (SELECT e.event_id, e.user_id, p.event_id AS prior_id, row_number() OVER (PARTITION BY e.event_id ORDER BY p.ts DESC, p.event_id DESC) AS rn FROM events e JOIN events p ON e.user_id = p.user_id AND p.event_type = 'click' AND p.ts < e.ts WHERE e.event_type = 'purchase') t WHERE rn = 1",
     scalar_subquery="SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM orders)",
     scalar_correlated="SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS best FROM customer",
     scalar_correlated_noneq="SELECT s_suppkey, (SELECT count(*) FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_acctbal > a.s_acctbal) AS richer FROM supplier a",
@@ -37,3 +36,8 @@ R.same(
     exists_in_select="SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') AS returned FROM orders o",
     having_subquery="SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > (SELECT avg(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) t)",
 )
+R.pair(
+    "asof_rewrite",  # the newest earlier click of the user: one pass in time order, no join of all earlier ones
+    "SELECT event_id, user_id, prior.event_id AS prior_id FROM (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'click' THEN named_struct('ts', ts, 'event_id', event_id) END) OVER (PARTITION BY user_id ORDER BY unix_micros(CAST(ts AS TIMESTAMP)) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM events) WHERE event_type = 'purchase' AND prior IS NOT NULL",
+    "SELECT event_id, user_id, prior_id FROM (SELECT e.event_id, e.user_id, p.event_id AS prior_id, row_number() OVER (PARTITION BY e.event_id ORDER BY p.ts DESC, p.event_id DESC) AS rn FROM events e JOIN events p ON e.user_id = p.user_id AND p.event_type = 'click' AND p.ts < e.ts WHERE e.event_type = 'purchase') t WHERE rn = 1",
+)

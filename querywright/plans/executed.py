@@ -108,31 +108,18 @@ def scans(df: DataFrame) -> list[dict[str, str]]:
     return found
 
 
-#: Units of effort for a row, by what is done with it; a sort of n rows takes n * log2(n) of its unit.
-EFFORT = {"scan": 1.0, "join": 1.0, "pair": 1.0, "aggregate": 0.5, "sort": 0.1, "window": 0.6, "exchange": 1.0, "output": 0.05}
+@dataclass(frozen=True)
+class Work:
+    """What Spark measured of a query: rows that its operators put out, and bytes that it shuffled and spilled."""
 
+    rows: int
+    shuffled: int
+    spilled: int
 
-def _kind(name: str) -> str | None:
-    for pattern, kind in ((r"Scan", "scan"), (r"NestedLoop|Cartesian", "pair"), (r"Join", "join"), (r"Aggregate", "aggregate"), (r"Sort$", "sort"), (r"Window$", "window"), (r"Exchange", "exchange")):
-        if re.search(pattern, name):
-            return kind
-    return None
-
-
-def effort(df: DataFrame) -> float:
-    """A deterministic measure of a query's work: rows that its operators took in, weighed by ``EFFORT``."""
-    import math
 
+def work(df: DataFrame) -> Work:
+    """Runs ``df`` to its end and sums up what its operators report."""
     root, count = executed(df)
-    total = count * EFFORT["output"]
-    for node in root.walk():
-        kind = _kind(node.name)
-        if kind == "scan":
-            total += (node.rows or 0) * EFFORT[kind]
-        elif kind == "pair":
-            sides = [c.rows or 0 for c in node.children]
-            total += math.prod(sides) * EFFORT[kind]
-        elif kind:
-            taken = sum(c.rows or 0 for c in node.children)
-            total += taken * EFFORT[kind] * (math.log2(taken + 2) if kind == "sort" else 1)
-    return total
+    nodes = list(root.walk())
+    summed = lambda key: sum(n.metrics.get(key, 0) for n in nodes)
+    return Work(count + summed("numOutputRows"), summed("shuffleBytesWritten"), summed("spillSize"))

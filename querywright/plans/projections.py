@@ -7,13 +7,15 @@ on the leading key skip most of it.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import Registry, load
+from ..tables import Registry, load, work_folder
 from .executed import scans
 
 R = Registry()
@@ -65,53 +67,38 @@ class Registrar:
             raise KeyError(f"INDEX_NOT_FOUND: {name}")
         del self.known[name]
 
-    def choose(self, table: str, columns: Sequence[str], bound: Sequence[str], where: str | None = None) -> Projection | None:
-        """The narrowest projection that covers a query and leads with a bound column."""
-        fit = [p for p in self.known.values() if p.table == table and p.keys[0] in bound and p.covers([*columns, *bound], where)]
-        return min(fit, key=lambda p: (len(p.keys) + len(p.include), p.name), default=None)
-
 
 def skipping_report(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
-    """For each named predicate whether it reaches the file scan, read off the plan, and if not why it may not."""
+    """For each named predicate whether file statistics can skip rows by it, read off the plan's pushed filters.
+
+    ``why`` not: NOT_PUSHED, the scan gets no test of the column (a function, a cast, a pattern without a fixed start); or
+    NO_RANGE, it gets one that bounds no single column (alternatives, inequality, a fixed end).
+    """
     rows = []
     for name, condition in conditions.items():
-        filtered = df.filter(condition)
-        pushed = " ".join(s["pushed"] for s in scans(filtered))
-        helps = any(word in pushed for word in ("EqualTo", "GreaterThan", "LessThan", "In(", "StringStartsWith", "IsNull"))
-        text = str(condition)
-        why = None
-        if not helps:
-            why = "a function or cast stands around the column" if "(" in text else "the condition is no range of one column"
-            if "OR" in text:
-                why = "alternatives on different columns"
-            if "LIKE" in text.upper() or "Contains" in pushed:
-                why = "the pattern has no fixed start"
+        pushed = " ".join(x["pushed"] for x in scans(df.filter(condition)))
+        tests = re.findall(r"\b(\w+)\(", pushed)
+        helps = any(t in ("EqualTo", "EqualNullSafe", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "In", "StringStartsWith", "IsNull") for t in tests) and "Or" not in tests
+        why = None if helps else "NOT_PUSHED" if set(tests) <= {"IsNotNull"} else "NO_RANGE"
         rows.append((name, helps, pushed, why))
     return df.sparkSession.createDataFrame(rows, "predicate string, skips boolean, pushed string, why string")
 
 
 def _bench(spark: SparkSession) -> Registrar:
-    import tempfile
-    import uuid
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="querywright-"))
-    return Registrar(f"{spark.sparkContext.getCheckpointDir()}/projections-{uuid.uuid4().hex}")
+    return Registrar(f"{work_folder(spark)}/projections-{uuid.uuid4().hex}")
 
 
 @R.frame("SELECT o_custkey, o_orderdate, o_totalprice FROM orders WHERE o_custkey BETWEEN 100 AND 120")
 def projection_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A covering projection on (customer, date) answers the range."""
     kept = _bench(spark)
-    kept.create(load(spark, sf_dir, "orders"), "by_customer", "orders", ["o_custkey", "o_orderdate"], include=["o_totalprice"])
-    chosen = kept.choose("orders", ["o_orderdate", "o_totalprice"], ["o_custkey"])
-    return chosen.read(spark).filter(F.col("o_custkey").between(100, 120))
+    made = kept.create(load(spark, sf_dir, "orders"), "by_customer", "orders", ["o_custkey", "o_orderdate"], include=["o_totalprice"])
+    return made.read(spark).filter(F.col("o_custkey").between(100, 120))
 
 
 @R.frame("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-01-01'")
 def projection_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A partial projection of pending orders."""
     kept = _bench(spark)
-    kept.create(load(spark, sf_dir, "orders"), "pending", "orders", ["o_orderdate"], include=["o_orderkey"], where="o_orderstatus = 'P'")
-    chosen = kept.choose("orders", ["o_orderkey"], ["o_orderdate"], where="o_orderstatus = 'P'")
-    return chosen.read(spark).filter("o_orderdate >= TIMESTAMP_NTZ'2001-01-01'").select("o_orderkey", "o_orderdate")
+    made = kept.create(load(spark, sf_dir, "orders"), "pending", "orders", ["o_orderdate"], include=["o_orderkey"], where="o_orderstatus = 'P'")
+    return made.read(spark).filter("o_orderdate >= TIMESTAMP_NTZ'2001-01-01'").select("o_orderkey", "o_orderdate")

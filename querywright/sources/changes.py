@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import Registry, load
+from ..tables import Registry, load, work_folder
 
 R = Registry()
 
@@ -73,13 +73,14 @@ class Merge:
 
 def merge(target: DataFrame, source: DataFrame, on: Column, plan: Merge, *, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """The next version and a one-row DataFrame of counts (updated, deleted, inserted)."""
-    marked = target.withColumn("__row", F.monotonically_increasing_id()).withColumn("__in_t", F.lit(True)).checkpoint()
-    t, s = marked.alias("t"), source.withColumn("__in_s", F.lit(True)).alias("s")
-    if plan.matched:
-        twice = t.join(s, on).groupBy("__row").count().filter("count > 1").take(1)
-        if twice:
-            raise ValueError("MERGE_CARDINALITY_VIOLATION: more than one source row matches a target row")
-    joined = t.join(s, on, "full")
+    work_folder(target.sparkSession)
+    t = target.withColumns({"__row": F.monotonically_increasing_id(), "__in_t": F.lit(True)}).alias("t")
+    s = source.withColumn("__in_s", F.lit(True)).alias("s")
+    side = lambda name, columns: F.struct(*[F.col(f"{name}.`{c}`") for c in columns]).alias(name)
+    # The sides are read and joined once; the check and the result both come from the written join.
+    joined = t.join(s, on, "full").select(side("t", target.columns), side("s", source.columns), "__row", "__in_t", "__in_s").checkpoint()
+    if plan.matched and joined.filter("__in_t AND __in_s").groupBy("__row").count().filter("count > 1").take(1):
+        raise ValueError("MERGE_CARDINALITY_VIOLATION: more than one source row matches a target row")
     in_t, in_s = F.coalesce("__in_t", F.lit(False)), F.coalesce("__in_s", F.lit(False))
     cases = [(in_t & in_s, plan.matched), (in_s & ~in_t, plan.not_matched), (in_t & ~in_s, plan.not_matched_by_source)]
 
@@ -116,13 +117,6 @@ def write_version(df: DataFrame, base: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _shared(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="querywright-"))
-
-
 @R.frame("SELECT * FROM nation UNION ALL SELECT 100 + r_regionkey, r_name, NULL FROM region")
 def dml_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).alias("k"), "r_name")
@@ -148,17 +142,16 @@ def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MERGED = """
 SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.k IS NULL THEN s.v WHEN s.k IS NULL THEN t.v WHEN s.v > t.v THEN s.v ELSE t.v END AS v
-FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) t
-FULL JOIN (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey) s ON t.k = s.k
+FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer) t
+FULL JOIN (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) s ON t.k = s.k
 WHERE NOT (t.k IS NOT NULL AND s.k IS NOT NULL AND t.v < 0) AND NOT (s.k IS NULL AND t.v < 100)
 """
 
 
 @R.frame(_MERGED)
 def dml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _shared(spark)
-    target = load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "c_acctbal AS v")
-    source = load(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    target = load(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_acctbal AS v")
+    source = load(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     plan = Merge(
         matched=[Clause("delete", F.col("t.v") < 0), Clause("update", F.col("s.v") > F.col("t.v"), {"v": F.col("s.v")})],
         not_matched=[Clause("insert")],
@@ -170,6 +163,5 @@ def dml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.frame("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def ctas_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CREATE TABLE AS: the query's rows written as a version and read back."""
-    _shared(spark)
     made = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return write_version(made, f"{spark.sparkContext.getCheckpointDir()}/ctas")
+    return write_version(made, f"{work_folder(spark)}/ctas")

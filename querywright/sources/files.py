@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..tables import Registry, load
+from ..tables import Registry, load, work_folder
 
 R = Registry()
+#: About so many rows a file of a partitioned layout.
+FILE_ROWS = 5_000_000
 FORMATS = ("parquet", "orc", "json", "csv")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="querywright-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", *, partition_by: tuple[str, ...] = ()) -> None:
@@ -53,5 +54,6 @@ def source_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layout partitioned by status: the filter prunes folders, not rows."""
     path = scratch(spark, "partitioned")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    write(orders.repartition("o_orderstatus"), path, partition_by=("o_orderstatus",))
+    tasks = math.ceil(orders.count() / FILE_ROWS)  # a folder of many rows is written by many tasks
+    write(orders.repartition("o_orderstatus", F.pmod(F.xxhash64("o_orderkey"), F.lit(tasks))), path, partition_by=("o_orderstatus",))
     return spark.read.parquet(path).filter("o_orderstatus = 'F'")

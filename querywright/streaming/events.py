@@ -9,6 +9,8 @@ from ..sources.files import scratch
 from ..tables import Registry, load
 
 R = Registry()
+#: How late an event may come behind the newest one; files are read in no order of event time.
+LATE = "366 days"
 
 
 def windowed_counts(events: DataFrame, *, size: str = "1 day", late: str | None = None) -> DataFrame:
@@ -37,8 +39,8 @@ def window_daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
-    query = windowed_counts(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    # Updated windows only are written, and state older than the watermark is let go.
+    query = windowed_counts(stream, late=LATE).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = spark.read.parquet(f"{out}/rows")
-    newest = last.agg(F.max("batch")).first()[0]
-    return last.filter(F.col("batch") == newest).drop("batch")
+    newest = F.max_by(F.struct("n", "total"), "batch").alias("newest")
+    return spark.read.parquet(f"{out}/rows").groupBy("start", "event_type").agg(newest).select("start", "event_type", "newest.n", "newest.total")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,20 @@ _NAMED = re.compile(r"\b(" + "|".join(TABLES) + r")\b", re.IGNORECASE)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for cut points: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary one; on a cluster that is an error.
+    """
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = found or tempfile.mkdtemp(prefix="querywright-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

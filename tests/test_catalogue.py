@@ -37,7 +37,7 @@ def rows(columns, values):
     return sorted((tuple(plain(v[k]) for k in order) for v in values), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(TWINS))
 def test_same_as_duckdb(name, spark, sf_dir, duck):
     ours = QUERIES[name](spark, sf_dir)
     theirs = duck.sql(TWINS[name])
@@ -46,4 +46,4 @@ def test_same_as_duckdb(name, spark, sf_dir, duck):
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) - set(TWINS) == {"fn_soundex"}  # DuckDB has none; held against a plain version in test_semantics

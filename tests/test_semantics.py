@@ -50,10 +50,38 @@ def test_qualify(t):
     assert X.qualify(t, F.lag("v").over(Window.partitionBy("k").orderBy("ts")) > 1).count() == 1
 
 
-def test_distinct_over(t):
-    w = Window.partitionBy("k")
-    got = {r.k: (r.n, r.s) for r in t.select("k", X.count_distinct_over(F.col("v"), w).alias("n"), X.sum_distinct_over(F.col("v"), w).alias("s")).collect()}
-    assert got == {"a": (2, 3.0), "b": (1, 5.0)}
+def test_distinct_over(spark, t):
+    got = {(r.k, r.ts): (r.n, r.s) for r in X.with_distinct(t.unionAll(spark.createDataFrame([(None, 7, 1), (None, 7, 2)], t.schema)), ["k"], "v", count="n", total="s").collect()}
+    assert got == {("a", 1): (2, 3.0), ("a", 2): (2, 3.0), ("a", 3): (2, 3.0), ("b", 1): (1, 5.0), ("b", 2): (1, 5.0), (None, 1): (1, 7.0), (None, 2): (1, 7.0)}
+
+
+def test_running_median(t):
+    got = {(r.k, r.ts): r.m for r in X.running_median(t, ["k"], ["ts"], "v", "m").collect()}
+    assert got == {("a", 1): 1.0, ("a", 2): 1.5, ("a", 3): 2.0, ("b", 1): None, ("b", 2): 5.0}
+
+
+def test_places(spark):
+    got = X.with_place(spark.range(1000).repartition(7).orderBy(F.desc("id"))).collect()
+    assert all(r.place == 1000 - r.id for r in got) and len(got) == 1000
+
+
+def test_soundex(spark, sf_dir):
+    from querywright.catalogue import queries
+
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    codes = {c: d for cs, d in (("BFPV", "1"), ("CGJKQSXZ", "2"), ("DT", "3"), ("L", "4"), ("MN", "5"), ("R", "6")) for c in cs}
+
+    def plain(name):
+        out, last = name[0].upper(), codes.get(name[0].upper())
+        for c in name[1:].upper():
+            d = codes.get(c)
+            if d and d != last:
+                out += d
+            if c not in "HW":
+                last = d
+        return (out + "000")[:4]
+
+    assert {r.p_partkey: r.s for r in queries()["fn_soundex"](spark, sf_dir).collect()} == {k: plain(v) for k, v in names.items()}
 
 
 def test_recursion_stops_in_cycles(spark):
