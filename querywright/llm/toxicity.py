@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, _spans, hash_spans, mix, slices
+from .common import U, _spans, hash_spans, mix, saved, slices
 
 BITS = 20
 PREFIXES = (5, 6, 7, 8)
@@ -72,24 +72,17 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.threshold[None, :] - score[:, None], -50, 50)))
 
 
-def _telling(feature: np.ndarray, hit: np.ndarray, above: int, below: int, min_docs: int, min_z: float, bits: int) -> np.ndarray:
-    """Features held by enough documents whose share among graded and ungraded documents differs beyond chance."""
-    one = np.bincount(feature[hit], minlength=1 << bits)
-    all_ = np.bincount(feature, minlength=1 << bits)
-    if not above or not below:
-        return np.zeros(1 << bits, bool)
-    share = all_ / (above + below)
-    spread = np.sqrt(np.maximum(share * (1 - share) * (1 / above + 1 / below), 1e-12))
-    return (all_ >= min_docs) & (np.abs(one / above - (all_ - one) / below) >= min_z * spread)
+def _telling(one: Column, both: Column, above: int, below: int, min_docs: int, min_z: float) -> Column:
+    """Whether a feature is held by enough documents and its share among graded and ungraded ones differs beyond chance."""
+    share = both / (above + below)
+    spread = F.sqrt(F.greatest(share * (1 - share) * (1 / above + 1 / below), F.lit(1e-12)))
+    return (both >= min_docs) & (F.abs(one / above - (both - one) / below) >= min_z * spread)
 
 
-def train(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, *, steps: int = STEPS, l1: float = L1, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, bits: int = BITS) -> Ordinal:
+def train(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, *, steps: int = STEPS, l1: float = L1) -> Ordinal:
     """Maximum likelihood with an L1 penalty, by proximal AdaGrad over the whole sample."""
     levels = max(1, int(grade.max(initial=1)))
-    common = _telling(feature, (grade > 0)[doc], int((grade > 0).sum()), int((grade == 0).sum()), min_docs, min_z, bits)
-    kept = common[feature]
-    used = np.flatnonzero(common)
-    doc, col = doc[kept], np.searchsorted(used, feature[kept])
+    used, col = np.unique(feature, return_inverse=True)
     n = len(grade)
     share = np.array([(np.sum(grade <= k) + 1) / (n + 2) for k in range(levels)])
     threshold = np.log(share / (1 - share))
@@ -117,12 +110,16 @@ def train(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, *, steps: int
 
 
 def graded(*, toxic_col: str = "toxic", quality_col: str = "quality") -> Column:
-    """Severity from two binary labels: 0 not toxic, 1 toxic in a text of quality, 2 toxic in a poor text."""
+    """Severity from two binary labels, the only ones that the table has: 0 not toxic, 1 toxic in a text of quality, 2 toxic in a poor text."""
     return F.when(F.col(toxic_col) == 1, F.when(F.col(quality_col) == 0, 2).otherwise(1)).otherwise(0)
 
 
-def fit(docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> Ordinal:
-    """Learns from at most ``sample_rows`` labelled documents, those with the smallest hash of their id (so grades keep their shares)."""
+def fit(docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = SAMPLE_ROWS, min_docs: int = MIN_DOCS, min_z: float = MIN_Z, bits: int = BITS) -> Ordinal:
+    """Learns from at most ``sample_rows`` labelled documents, those with the smallest hash of their id (so grades keep their shares).
+
+    Only features held by ``min_docs`` of them, and more or less often among graded ones by ``min_z`` standard errors, are used.  Where
+    all have one grade, or there are none, no feature is, and every text with features gets the sample's (smoothed) shares.
+    """
     marked = grades.filter(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(grade_col).cast("int")).alias("grade"))
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -133,12 +130,28 @@ def fit(docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_col:
             offsets = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grade"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))], names=["id", "grade", "features"])
 
-    sample = plain.join(F.broadcast(chosen), "id").select("id", "grade", "text").mapInArrow(run, "id long, grade int, features array<int>")
-    found = sample.toArrow().combine_chunks().sort_by("id")
+    sample = saved(plain.join(F.broadcast(chosen), "id").select("id", "grade", "text").mapInArrow(run, "id long, grade int, features array<int>"))
+    above, below = sample.agg(F.count_if(F.col("grade") > 0), F.count_if(F.col("grade") == 0)).first()
+    if not above or not below:
+        grade = np.array([r.grade for r in sample.select("grade").collect()], np.int64)
+        return train(np.zeros(0, np.int64), np.zeros(0, np.int64), grade)
+    # Only features that tell grades apart reach the driver: at most 2**bits of them, and of a document so many at most.
+    each = sample.select("grade", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.count_if(F.col("grade") > 0).alias("one"), F.count("*").alias("both"))
+    telling = np.sort(np.array([r.feature for r in counts.filter(_telling(F.col("one"), F.col("both"), above, below, min_docs, min_z)).select("feature").collect()], np.int64))
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lists = part.column("features")
+            flat = lists.flatten().to_numpy()
+            hit = np.isin(flat, telling)
+            offsets = np.concatenate([[0], np.cumsum(hit)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grade"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[hit]))], names=["id", "grade", "features"])
+
+    found = sample.mapInArrow(keep, sample.schema).toArrow().combine_chunks().sort_by("id")
     lists = found.column("features").combine_chunks()
-    counts = np.diff(lists.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
-    flat = lists.flatten().to_numpy().astype(np.int64) if len(found) else np.zeros(0, np.int64)
-    return train(np.repeat(np.arange(len(found)), counts), flat, found.column("grade").to_numpy().astype(np.int64), bits=bits)
+    count = np.diff(lists.offsets.to_numpy())
+    return train(np.repeat(np.arange(len(found)), count), lists.flatten().to_numpy().astype(np.int64), found.column("grade").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Ordinal, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, bits: int = BITS) -> DataFrame:

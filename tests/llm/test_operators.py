@@ -79,9 +79,34 @@ def test_mixing_is_systematic_beyond_the_largest(spark):
     assert len(got) == 2 and all(abs(r.t - r.target) <= 40 for r in got)
 
 
-def test_newton_solves_the_dual(spark):
-    got = spark.createDataFrame([(3.0, 1.0), (0.01, 1.0), (1.0, 1.0), (0.5, 0.0), (0.0, 4.0)], "t double, s double").select(mixing.rate(F.col("t"), F.col("s")).alias("r")).collect()
-    assert [r.r for r in got] == pytest.approx([3.0, 0.01, 1.0, 0.0, 0.0])
+def test_newton_solves_the_coupled_dual(spark):
+    """Rates meet every source's target, are an exponential tilt by source and band, and no small change of the bands' multipliers lowers the dual."""
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 4000, (5, mixing.BANDS)).astype(float)
+    tokens[4] = 0
+    size = tokens.sum(axis=1)
+    target = size * np.array([0.2, 1.7, 3.0, 0.9, 1.0])
+    rows = [(f"s{k}", float(size[k]), tokens[k].tolist(), float(target[k])) for k in range(5)]
+    got = {r.source: np.array(r.rates) for r in mixing.balance(spark.createDataFrame(rows, "source string, source_size double, tokens array<double>, target double")).collect()}
+    rates = np.array([got[f"s{k}"] for k in range(5)])
+    assert (tokens * rates).sum(axis=1) == pytest.approx(target, rel=1e-9) and (rates[2] == 3).all() and (rates[4] == 0).all()
+    free = rates[[0, 1, 3]]
+    assert free.max() < 3
+    tilt = np.log(free)
+    mu = tilt[0] - tilt[0].mean()
+    assert np.abs((tilt - tilt.mean(axis=1, keepdims=True)) - mu).max() < 1e-6  # the bands' multipliers are the same in all sources
+    goal = tokens.sum(axis=0) * target.sum() / size.sum()
+
+    def dual(mu):
+        value = mixing.RIDGE * target.sum() / 2 * (mu**2).sum() - goal @ mu + 3 * tokens[2] @ mu
+        for k in (0, 1, 3):
+            lam = np.log(target[k] / (tokens[k] @ np.exp(mu)))
+            value += tokens[k] @ np.exp(lam + mu) - target[k] * lam
+        return value
+
+    best = min(np.linspace(-2, 2, 401), key=lambda c: dual(mu + c))
+    centre = mu + best
+    assert all(dual(centre) <= dual(centre + d) + 1e-3 for d in 0.05 * np.eye(mixing.BANDS)) and all(dual(centre) <= dual(centre - d) + 1e-3 for d in 0.05 * np.eye(mixing.BANDS))
 
 
 def test_mixing_odd_tables(clashing, empty):
@@ -467,6 +492,36 @@ def test_toxicity_finds_words_of_abuse(spark):
     assert list(model.threshold) == sorted(model.threshold)
 
 
+def test_ordinal_fit_is_a_penalised_optimum():
+    """Against a plain likelihood: no weight or threshold can be moved to lower it by more than the penalty costs."""
+    rng = np.random.default_rng(2)
+    x = rng.random((600, 10)) < 0.3
+    latent = x @ np.array([2.0, -1.5, 1.0, 0.5, 0, 0, 0, 0, 0, 0]) + rng.logistic(size=600)
+    grade = (latent > 0.8).astype(int) + (latent > 2.2)
+    doc, feature = np.nonzero(x)
+    l1 = 0.004
+    model = toxicity.train(doc, feature + 100, grade, steps=6000, l1=l1)
+    w = np.zeros(10)
+    w[model.feature - 100] = model.weight
+
+    def loss(w, t):
+        edge = 1 / (1 + np.exp(-(np.concatenate([[-np.inf], t, [np.inf]])[None, :] - (x @ w)[:, None])))
+        return -np.log(edge[np.arange(600), grade + 1] - edge[np.arange(600), grade]).mean()
+
+    step = 1e-4
+    slope = [(loss(w + step * e, model.threshold) - loss(w - step * e, model.threshold)) / (2 * step) for e in np.eye(10)]
+    for g, v in zip(slope, w, strict=True):
+        assert abs(g + l1 * np.sign(v)) < 1e-3 if v else abs(g) < l1 + 1e-3
+    tilt = [(loss(w, model.threshold + step * e) - loss(w, model.threshold - step * e)) / (2 * step) for e in np.eye(2)]
+    assert np.abs(tilt).max() < 1e-3 and w[:3].all() and not w[5:].all()
+
+
+def test_toxicity_of_one_grade(spark):
+    rows = spark.createDataFrame([(i, f"plain words {i}", 0) for i in range(50)], "doc_id long, text string, grade int")
+    model = toxicity.fit(rows, rows.select("doc_id", "grade"))
+    assert len(model.feature) == 0 and all(r.severity < 0.05 for r in toxicity.score(rows, model).collect())
+
+
 def test_toxicity_odd_tables(clashing, empty):
     labels = clashing.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("grade"))
     model = toxicity.fit(clashing, labels)
