@@ -170,16 +170,16 @@ def _poster(shipped: Broadcast, percent: int):
             line, r, t = line[known], r[known], t[known]
             own = pick[line]
             parity = np.bitwise_xor.reduceat(U(1) << (mix((token & _LOW) + U(9)) >> U(58)), first[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((t & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), signed(one[own]), signed(parity[own]), pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((r + 1).astype(np.int32))],
-                names=_POSTED_NAMES,
-            )
+            word = (t & U(0xFFFFFFFF)).astype(np.int64) << 32 | n[line]
+            place = number[own].astype(np.int64) << 32 | (r + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(word), signed(one[own]), signed(parity[own]), pa.array(ids[own]), pa.array(place)], names=_POSTED_NAMES)
 
     return post
 
 
-_POSTED = "t int, k1 long, parity long, id long, line int, n int, r int"
-_POSTED_NAMES = ["t", "k1", "parity", "id", "line", "n", "r"]
+#: A posted row: the word (32 bits) with the line's number of words; the set's name and parity; document; line number with the word's place.
+_POSTED = "word long, k1 long, parity long, id long, place long"
+_POSTED_NAMES = ["word", "k1", "parity", "id", "place"]
 _MET = _POSTED + ", oid long, oline int"
 
 
@@ -187,9 +187,10 @@ class _Rows:
     """Posted rows as arrays."""
 
     def __init__(self, table: pa.Table):
-        self.t, self.k1, self.id, self.line = (table.column(k).to_numpy() for k in ("t", "k1", "id", "line"))
-        self.parity = table.column("parity").to_numpy().view(U)
-        self.n, self.r = (table.column(k).to_numpy().astype(np.int64) for k in ("n", "r"))
+        word, self.k1, parity, self.id, place = (table.column(k).to_numpy() for k in _POSTED_NAMES)
+        self.t, self.n = word >> 32, word & 0xFFFFFFFF
+        self.line, self.r = place >> 32, place & 0xFFFFFFFF
+        self.parity = parity.view(U)
 
     def may(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs of rows those that can belong to alike lines by their places and parities, the later line first."""
@@ -201,12 +202,11 @@ class _Rows:
         return np.where(late, a, b), np.where(late, b, a)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64())]
-        own = [pa.array(self.id[a]), pa.array(self.line[a]), *[pa.nulls(len(a), pa.int32())] * 2]
-        return pa.RecordBatch.from_arrays([*none, *own, pa.array(self.id[b]), pa.array(self.line[b])], names=[*_POSTED_NAMES, "oid", "oline"])
+        none = [pa.nulls(len(a), pa.int64())] * 3
+        return pa.RecordBatch.from_arrays([*none, pa.array(self.id[a]), pa.array(self.line[a] << 32), pa.array(self.id[b]), pa.array(self.line[b].astype(np.int32))], names=[*_POSTED_NAMES, "oid", "oline"])
 
 
-_PAIRS = pa.schema([("t", pa.int32()), ("k1", pa.int64()), ("parity", pa.int64()), ("id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("r", pa.int32()), ("oid", pa.int64()), ("oline", pa.int32())])
+_PAIRS = pa.schema([*((k, pa.int64()) for k in _POSTED_NAMES), ("oid", pa.int64()), ("oline", pa.int32())])
 
 
 def _short_prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def _short_prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _meeter(percent: int, most: int, reach: int):
-    """Joins rows sorted by (t, n, k1, id, line) with the rows of the same word: pairs (id, line, oid, oline), the later line first.
+    """Joins rows sorted by (word, k1, id, place) with the rows of the same word: pairs (id, line, oid, oline), the later line first.
 
     Rows are compared at a growing distance; one drops out at the end of its word's rows, or where lines
     become too long for it.  A line returns at most ``most`` earlier partners a word, and rows are compared
@@ -231,7 +231,7 @@ def _meeter(percent: int, most: int, reach: int):
             if rows < HELD:
                 continue
             table = pa.Table.from_batches(held)
-            t = table.column("t").to_numpy()
+            t = table.column("word").to_numpy() >> 32
             cut = int(np.searchsorted(t, t[-1]))  # the last word may go on in the next batch
             if cut:
                 yield from found(table.slice(0, cut), released)
@@ -250,8 +250,8 @@ def _meeter(percent: int, most: int, reach: int):
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*_POSTED_NAMES, "oid", "oline"])
 
     def found(table: pa.Table, released: int | None) -> Iterator[pa.RecordBatch]:
-        t, k1 = table.column("t").to_numpy(), table.column("k1").to_numpy()
-        fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (k1[1:] != k1[:-1])])
+        word, k1 = table.column("word").to_numpy(), table.column("k1").to_numpy()
+        fresh = np.concatenate([[True], (word[1:] != word[:-1]) | (k1[1:] != k1[:-1])])
         if not fresh.all():
             table = table.filter(pa.array(fresh))
         c = _Rows(table)
@@ -292,60 +292,62 @@ def _cell(percent: int):
             short, long = np.minimum(c.n[other], c.n[own]), np.maximum(c.n[other], c.n[own])
             other = other[short * 100 >= long * percent]
             out.append(c.pairs(*c.may(np.full(len(other), own), other, percent)))
-        return pa.Table.from_batches(out, schema=_PAIRS).select(["id", "line", "oid", "oline"])
+        return pa.Table.from_batches(out, schema=_PAIRS).select(["id", "place", "oid", "oline"])
 
     return meet
 
 
 def _likeness(percent: int):
+    """Whether the word sets of two lines, as sorted 64-bit values, are alike."""
+
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "a"):
-            sides = []
-            for name in ("a", "b"):
-                w = words(part.column(name), lower=True)
-                sides.append((w.doc.astype(U), w.hash))
-            keys = [np.unique((mix(h) ^ (d * U(0x9E3779B97F4A7C15))) * U(0xD6E8FEB86659FD93), return_index=True)[1] for d, h in sides]
-            (da, ha), (db, hb) = [(d[k], h[k]) for (d, h), k in zip(sides, keys, strict=True)]
-            n = part.num_rows
-            size = np.bincount(da.astype(np.int64), minlength=n), np.bincount(db.astype(np.int64), minlength=n)
-            doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            twice = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
-            common = np.bincount(doc[1:][twice].astype(np.int64), minlength=n)
-            alike = common * 100 >= (size[0] + size[1] - common) * percent
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("line"), pa.array(alike)], names=["id", "line", "alike"])
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                sides = [part.column(name) for name in ("tokens_a", "tokens_b")]
+                sizes = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]).astype(np.int64) // 8 for c in sides]
+                starts = [int(np.frombuffer(c.buffers()[1], np.int32)[c.offset]) // 8 for c in sides]
+                values = [np.frombuffer(c.buffers()[2], "<u8", int(n.sum()), 8 * a) if n.sum() else np.zeros(0, U) for c, n, a in zip(sides, sizes, starts, strict=True)]
+                pair = np.concatenate([np.repeat(np.arange(part.num_rows), n) for n in sizes])
+                key = mix(np.concatenate(values)) ^ mix(pair.astype(U) + U(1))
+                order = np.argsort(key)
+                key, pair = key[order], pair[order]
+                twice = (key[1:] == key[:-1]) & (pair[1:] == pair[:-1])
+                common = np.bincount(pair[1:][twice], minlength=part.num_rows)
+                alike = common * 100 >= (sizes[0] + sizes[1] - common) * percent
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("line")], names=["id", "line"]).filter(pa.array(alike))
 
     return check
 
 
 def _weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line texts with their number of distinct words and its parity."""
+    """Of line texts the words, as sorted distinct 64-bit values, their number and their parity."""
     for part in slices(batches, "s"):
         w = words(part.column("s"), lower=True)
         order = np.lexsort((w.hash, w.doc))
-        doc, token = w.doc[order], w.hash[order] >> U(8)
+        doc, token = w.doc[order], w.hash[order]
         fresh = np.ones(len(doc), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
         doc, token = doc[fresh], token[fresh]
         first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        offsets, values = _parities(first, token)
+        offsets, values = _parities(first, token >> U(8))
+        tokens = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(token))])
         parity = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(values)])
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first).astype(np.int32)), parity], names=["id", "line", "s", "n", "parity"])
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("line"), tokens, pa.array(np.diff(first).astype(np.int32)), parity], names=["id", "line", "tokens", "n", "parity"])
 
 
-def _line_texts(lines: DataFrame, plain: DataFrame) -> DataFrame:
-    """``(id, line, s, n, parity)`` of the wanted lines (id, line)."""
+def _line_sets(lines: DataFrame, plain: DataFrame) -> DataFrame:
+    """``(id, line, tokens, n, parity)`` of the wanted lines (id, line)."""
     wanted = lines.groupBy("id").agg(F.collect_set("line").alias("want"))
     each = plain.join(wanted, "id").select("id", "want", F.split("text", "\n", -1).alias("all")).withColumn("line", F.explode("want"))
     each = each.select("id", "line", F.get("all", F.col("line")).alias("s")).filter("s IS NOT NULL")
-    return saved(each.mapInArrow(_weigh, "id long, line int, s string, n int, parity binary"))
+    return saved(each.mapInArrow(_weigh, "id long, line int, tokens binary, n int, parity binary"))
 
 
-def _both(pairs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+def _both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (id, line, oid, oline) with columns of both lines, suffixed ``_a`` and ``_b``."""
-    left = texts.select("id", "line", *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = texts.select(F.col("id").alias("oid"), F.col("line").alias("oline"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    left = sets.select("id", "line", *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = sets.select(F.col("id").alias("oid"), F.col("line").alias("oline"), *[F.col(c).alias(f"{c}_b") for c in columns])
     return pairs.select("id", "line", "oid", "oline").join(right, ["oid", "oline"]).join(left, ["id", "line"])
 
 
@@ -367,16 +369,16 @@ def _possible(percent: int):
     return check
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(id, line)`` of the pairs (id, line, oid, oline) whose full word sets are alike."""
-    both = _both(pairs, texts, ["s"]).select("id", "line", F.col("s_a").alias("a"), F.col("s_b").alias("b"))
-    return both.mapInArrow(_likeness(percent), "id long, line int, alike boolean").filter("alike").select("id", "line").distinct()
+    both = _both(pairs, sets, ["tokens"]).select("id", "line", "tokens_a", "tokens_b")
+    return both.mapInArrow(_likeness(percent), "id long, line int").distinct()
 
 
-def _among(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _among(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``_verified``, of pairs most of which are not alike."""
-    both = _both(pairs, texts, ["n", "parity"]).select("id", "line", "oid", "oline", "n_a", "n_b", "parity_a", "parity_b")
-    return _verified(both.mapInArrow(_possible(percent), "id long, line int, oid long, oline int"), texts, percent)
+    both = _both(pairs, sets, ["n", "parity"]).select("id", "line", "oid", "oline", "n_a", "n_b", "parity_a", "parity_b")
+    return _verified(both.mapInArrow(_possible(percent), "id long, line int, oid long, oline int"), sets, percent)
 
 
 def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most: int, reach: int) -> DataFrame:
@@ -384,32 +386,33 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
     spark = plain.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     post = _poster(spark.sparkContext.broadcast(rarity), percent)
-    met = saved(plain.mapInArrow(post, _POSTED).repartition(parts, "t").sortWithinPartitions("t", "n", "k1", "id", "line").mapInArrow(_meeter(percent, most, reach), _MET))
+    posted = plain.mapInArrow(post, _POSTED).repartition(parts, F.shiftright("word", 32)).sortWithinPartitions("word", "k1", "id", "place")
+    met = saved(posted.mapInArrow(_meeter(percent, most, reach), _MET)).withColumn("line", F.shiftright("place", 32).cast("int"))
+    crowd = met.filter("oid IS NULL").select(*_POSTED_NAMES, "line")
     pairs = met.filter("oid IS NOT NULL AND (id <> oid OR line <> oline)").groupBy("id", "line", "oid", "oline").agg(F.count("*").alias("shared"))
     best = Window.partitionBy("id", "line").orderBy(F.desc("shared"), "oid", "oline")
     pairs = saved(pairs.withColumn("nth", F.row_number().over(best)))
-    texts = _line_texts(pairs.select("id", "line").union(pairs.select("oid", "oline")).distinct(), plain)
+    wanted = pairs.select("id", "line").union(pairs.select("oid", "oline")).union(crowd.select("id", "line"))
+    sets = _line_sets(wanted.distinct(), plain)
 
     # The likeliest partner of each line is verified first; only where it fails come the others.
-    alike = saved(_verified(pairs.filter("nth = 1"), texts, percent))
+    alike = saved(_verified(pairs.filter("nth = 1"), sets, percent))
     others = pairs.filter("nth > 1").join(alike, ["id", "line"], "left_anti")
-    alike = saved(alike.union(_among(others, texts, percent)))
+    alike = saved(alike.union(_among(others, sets, percent)))
 
     # Lines of crowded words that are still without a partner ask all rows of those words, cell by cell.
-    crowd = met.filter("oid IS NULL").select(*_POSTED_NAMES)
-    if crowd.take(1):
-        asking = saved(crowd.join(alike, ["id", "line"], "left_anti"))
+    asking = saved(crowd.join(alike, ["id", "line"], "left_anti"))
+    if asking.take(1):
+        crowd, asking = (x.withColumn("t", F.shiftright("word", 32)) for x in (crowd, asking))
         sizes = asking.groupBy("t").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("blocks"))
         sizes = saved(sizes.join(crowd.groupBy("t").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares")), "t"))
         block = lambda n: F.pmod(F.xxhash64("id", "line"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asks = asking.join(sizes, "t").select(*_POSTED_NAMES, block("blocks").alias("block"), every("shares").alias("share"), F.lit(True).alias("asks"))
-        asked = crowd.join(sizes, "t").select(*_POSTED_NAMES, every("blocks").alias("block"), block("shares").alias("share"), F.lit(False).alias("asks"))
-        more = asks.unionByName(asked).groupBy("t", "block", "share").applyInArrow(_cell(percent), "id long, line int, oid long, oline int")
-        more = saved(more.distinct().join(pairs, ["id", "line", "oid", "oline"], "left_anti"))
-        if more.take(1):
-            texts = _line_texts(more.select("id", "line").union(more.select("oid", "oline")).distinct(), plain)
-            alike = saved(alike.union(_among(more, texts, percent)).distinct())
+        asks = asking.join(sizes, "t").select("t", *_POSTED_NAMES, block("blocks").alias("block"), every("shares").alias("share"), F.lit(True).alias("asks"))
+        asked = crowd.join(sizes, "t").select("t", *_POSTED_NAMES, every("blocks").alias("block"), block("shares").alias("share"), F.lit(False).alias("asks"))
+        more = asks.unionByName(asked).groupBy("t", "block", "share").applyInArrow(_cell(percent), "id long, place long, oid long, oline int")
+        more = more.select("id", F.shiftright("place", 32).cast("int").alias("line"), "oid", "oline").distinct().join(pairs, ["id", "line", "oid", "oline"], "left_anti")
+        alike = saved(alike.union(_among(saved(more), sets, percent)).distinct())
     return alike
 
 
