@@ -3,16 +3,18 @@
 A text is a sequence of word symbols.  A recompression round first names runs (equal neighbours become
 one symbol, named by symbol and length), then names pairs: every symbol has a keyed coin, and a 0-symbol
 followed by a 1-symbol become one.  Names are hashes of what they stand for, so they are the same
-everywhere, and whether a symbol arises at a place depends on a few words around it only.  Hence equal
+everywhere without an exchange, and whether a symbol arises at a place depends on a few words around it only.  Hence equal
 passages consist of equal symbols but for their ends:
 
-* the symbol of a whole text folds equal texts into one class;
+* two names of a whole text's words fold equal texts into one class;
 * inside every window of ``n`` words the smallest symbol (with the words that decide it) that lies in the
   window is its anchor, the same in every occurrence; a window without one is its own anchor;
-* anchors that texts of different classes share reveal candidate windows, which are then compared as a whole.
+* anchors that texts of different classes share, found by one sorted exchange, reveal candidate windows;
+* those are compared, in a second exchange, by two 64-bit names of their word sequences, from two independent hashes of every word.
 
+One round is taken: symbols of later ones are decided by more words than a short window holds.
 An anchor serves about five windows, so the corpus-wide exchange carries a row for about five words,
-and only windows behind a shared anchor are exchanged one by one.
+and only windows behind a shared anchor are exchanged one by one (those of one slice of texts folded beforehand).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Words, chain, mix, saved, signed, slices, words
+from .common import U, Words, chain, hash_spans, mix, saved, signed, slices, words
 
 WINDOW = 13
 _B = 0x9E3779B97F4A7C15 | 1
@@ -167,7 +169,7 @@ def _window_rows(n: int):
             rows = at[take]
             if not len(rows):
                 continue
-            one, two = chain(w.hash, n, 5)[rows], chain(w.hash, n, 7)[rows]
+            one, two = chain(w.hash, n, 5)[rows], chain(hash_spans(w.data, w.start, w.size, 77), n, 7)[rows]
             ids = part.column("id").to_numpy()[doc[take]]
             place = rows - w.first[doc[take]] + (part.column("slot").to_numpy().astype(np.int64) << 32)[doc[take]]
             # Of a window that many texts of this slice hold, only the smallest id is in doubt; the
