@@ -32,6 +32,19 @@ def test_values(spark, text, value):
         ("SELECT id, count(*) FROM range(3)", "MISSING_GROUP_BY|MISSING_AGGREGATION"), ("SELECT (SELECT id FROM range(3))", "SCALAR_SUBQUERY_TOO_MANY_ROWS"),
         ("SELECT 1 UNION SELECT 1, 2", "NUM_COLUMNS_MISMATCH"), ("SELECT id FROM range(1) a JOIN range(1) b", "AMBIGUOUS_REFERENCE"),
         ("SELEC 1", "PARSE_SYNTAX_ERROR"), ("SELECT sum(count(*)) FROM range(1)", "NESTED_AGGREGATE_FUNCTION"), ("SELECT to_timestamp('x')", "CANNOT_PARSE_TIMESTAMP|CAST_INVALID_INPUT"),
+        ("SELECT CAST(300 AS TINYINT)", "CAST_OVERFLOW"), ("SELECT 9223372036854775807 + 1", "ARITHMETIC_OVERFLOW"), ("SELECT CAST('12.345' AS DECIMAL(2,1))", "NUMERIC_VALUE_OUT_OF_RANGE"),
+        ("SELECT element_at(array(1), 5)", "INVALID_ARRAY_INDEX_IN_ELEMENT_AT"), ("SELECT element_at(array(1), 0)", "INVALID_INDEX_OF_ZERO"), ("SELECT split_part('a', '.', 0)", "INVALID_INDEX_OF_ZERO"),
+        ("SELECT substring('a')", "WRONG_NUM_ARGS"), ("SELECT count(*) FROM range(3) GROUP BY 7", "GROUP_BY_POS_OUT_OF_RANGE"), ("SELECT id FROM range(3) ORDER BY 5", "ORDER_BY_POS_OUT_OF_RANGE"),
+        ("SELECT count(*) FROM range(3) GROUP BY count(*)", "GROUP_BY_AGGREGATE"), ("SELECT * FROM range(1) a JOIN range(1) b USING (k)", "UNRESOLVED_USING_COLUMN_FOR_JOIN"),
+        ("SELECT named_struct('a', 1).b", "FIELD_NOT_FOUND"), ("SELECT id FROM range(3) WHERE count(*) > 1", "INVALID_WHERE_CONDITION"), ("SELECT x.* FROM range(1)", "CANNOT_RESOLVE_STAR_EXPAND"),
+        ("SELECT make_date(2020, 13, 1)", "DATETIME_FIELD_OUT_OF_BOUNDS"), ("SELECT * FROM VALUES (1), (1, 2)", "INVALID_INLINE_TABLE"), ("SELECT id.x FROM range(1)", "INVALID_EXTRACT_BASE_FIELD_TYPE"),
+        ("SELECT abs(x -> x)", "INVALID_LAMBDA_FUNCTION_CALL"), ("SELECT id FROM range(3) LIMIT -1", "INVALID_LIMIT_LIKE_EXPRESSION"), ("SELECT (SELECT 1, 2)", "INVALID_SUBQUERY_EXPRESSION"),
+        ("SELECT INTERVAL 'x' DAY", "INVALID_INTERVAL_FORMAT|must match|INTERVAL"), ("SELECT 1 + array(1)", "DATATYPE_MISMATCH"), ("SELECT CAST(1 AS nope)", "UNSUPPORTED_DATATYPE"), ("SELECT explode(array(1)) + 1", "UNSUPPORTED_GENERATOR"),
+        ("SELECT from_json('{}', 'a b c')", "INVALID_SCHEMA|PARSE_SYNTAX_ERROR"), ("SELECT sum(id) OVER w FROM range(1)", "MISSING_WINDOW_SPECIFICATION"), ("SELECT row_number() OVER () FROM range(1)", "requires window to be ordered|WINDOW"),
+        ("SELECT row_number() FROM range(1)", "WINDOW"), ("SELECT id FROM range(1) WHERE row_number() OVER (ORDER BY id) = 1", "UNSUPPORTED_EXPR_FOR_WINDOW|WHERE clause|window functions"), ("SELECT grouping(id) FROM range(1)", "GROUPING"),
+        ("SELECT grouping(id + 1) FROM range(1) GROUP BY CUBE (id)", "GROUPING_COLUMN_MISMATCH"), ("SELECT upper(DISTINCT 'a')", "INVALID_SQL_SYNTAX|FUNCTION_WITH_UNSUPPORTED_SYNTAX|INVALID_DISTINCT|DISTINCT"),
+        ("SELECT count(*) FROM range(1) a, range(1) b WHERE id = 1", "AMBIGUOUS_REFERENCE"), ("CREATE TABLE twice (a INT, a INT) USING parquet", "COLUMN_ALREADY_EXISTS"), ("DROP TABLE no_such_table", "TABLE_OR_VIEW_NOT_FOUND"),
+        ("SELECT to_date('x', 'yyyy')", "CANNOT_PARSE_TIMESTAMP"), ("SELECT CAST('2024-13-01' AS DATE)", "CAST_INVALID_INPUT"), ("SELECT sequence(1, 5, -1)", "INVALID|ILLEGAL|illegal|boundaries"), ("SELECT regexp_extract('a', '(', 1)", "INVALID_PARAMETER_VALUE"),
     ],
 )
 def test_errors(spark, text, error):
