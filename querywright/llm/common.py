@@ -9,7 +9,6 @@ that is array arithmetic.  Words are the runs of bytes other than
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -17,9 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import work_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -34,17 +35,6 @@ _LONG_WORD = 64
 _BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder for cut points: the cluster's ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master, an error on a cluster."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="querywright-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -59,7 +49,7 @@ def saved(df: DataFrame) -> DataFrame:
     Spark is told to remove the shuffle files of the write when it has ended; nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
