@@ -2,7 +2,7 @@
 
 A line is its set of distinct words (A-Z lower-cased).  Words are ordered by how rare they are; a
 pair of lines with the wanted Jaccard likeness must share a word within short prefixes of both, at places
-that leave room for enough common words, have similar lengths, and 64-bit parities of their words no further apart than
+that leave room for enough common words, have similar lengths, and parities of their words (64 or 128 bits) no further apart than
 words may differ.  Of the pairs that pass those filters, the one that shares most prefix words is verified first for
 every line; where that fails, the others are, those that a longer parity (at least a bit a word) leaves possible.
 
@@ -169,17 +169,20 @@ def _poster(shipped: Broadcast, percent: int):
             known = t > _LOW  # a word that occurs once matches nothing
             line, r, t = line[known], r[known], t[known]
             own = pick[line]
-            parity = np.bitwise_xor.reduceat(U(1) << (mix((token & _LOW) + U(9)) >> U(58)), first[:-1])
+            h = mix((token & _LOW) + U(9))
+            bit = U(1) << (h >> U(58))
+            second = ((h >> U(48)) & U(1)).astype(bool) & np.repeat(np.diff(first) > 64, np.diff(first))  # longer lines have 128 bits
+            parity, more = (np.bitwise_xor.reduceat(np.where(use, bit, U(0)), first[:-1]) for use in (~second, second))
             word = (t & U(0xFFFFFFFF)).astype(np.int64) << 32 | n[line]
             place = number[own].astype(np.int64) << 32 | (r + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(word), signed(one[own]), signed(parity[own]), pa.array(ids[own]), pa.array(place)], names=_POSTED_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(word), signed(one[own]), signed(parity[own]), signed(more[own]), pa.array(ids[own]), pa.array(place)], names=_POSTED_NAMES)
 
     return post
 
 
-#: A posted row: the word (32 bits) with the line's number of words; the set's name and parity; document; line number with the word's place.
-_POSTED = "word long, k1 long, parity long, id long, place long"
-_POSTED_NAMES = ["word", "k1", "parity", "id", "place"]
+#: A posted row: the word (32 bits) with the line's number of words; the set's name and parity (the second 64 bits are for more than 64 words); document; line number with the word's place.
+_POSTED = "word long, k1 long, parity long, more long, id long, place long"
+_POSTED_NAMES = ["word", "k1", "parity", "more", "id", "place"]
 _MET = _POSTED + ", oid long, oline int"
 
 
@@ -187,22 +190,25 @@ class _Rows:
     """Posted rows as arrays."""
 
     def __init__(self, table: pa.Table):
-        word, self.k1, parity, self.id, place = (table.column(k).to_numpy() for k in _POSTED_NAMES)
+        word, self.k1, parity, more, self.id, place = (table.column(k).to_numpy() for k in _POSTED_NAMES)
         self.t, self.n = word >> 32, word & 0xFFFFFFFF
         self.line, self.r = place >> 32, place & 0xFFFFFFFF
-        self.parity = parity.view(U)
+        self.parity, self.more = parity.view(U), more.view(U)
 
     def may(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs of rows those that can belong to alike lines by their places and parities, the later line first."""
         need = _ceil((self.n[a] + self.n[b]) * percent, 100 + percent)
         good = np.minimum(self.n[a] - self.r[a], self.n[b] - self.r[b]) + 1 >= need
-        good &= np.bitwise_count(self.parity[a] ^ self.parity[b]) <= self.n[a] + self.n[b] - 2 * need
+        one, two = self.parity[a] ^ self.parity[b], self.more[a] ^ self.more[b]
+        wide = np.minimum(self.n[a], self.n[b]) > 64
+        apart = np.where(wide, np.bitwise_count(one) + np.bitwise_count(two), np.bitwise_count(one ^ two))
+        good &= apart <= self.n[a] + self.n[b] - 2 * need
         a, b = a[good], b[good]
         late = (self.id[a] > self.id[b]) | ((self.id[a] == self.id[b]) & (self.line[a] > self.line[b]))
         return np.where(late, a, b), np.where(late, b, a)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(a), pa.int64())] * 3
+        none = [pa.nulls(len(a), pa.int64())] * 4
         return pa.RecordBatch.from_arrays([*none, pa.array(self.id[a]), pa.array(self.line[a] << 32), pa.array(self.id[b]), pa.array(self.line[b].astype(np.int32))], names=[*_POSTED_NAMES, "oid", "oline"])
 
 
@@ -346,9 +352,8 @@ def _line_sets(lines: DataFrame, plain: DataFrame) -> DataFrame:
 
 def _both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (id, line, oid, oline) with columns of both lines, suffixed ``_a`` and ``_b``."""
-    left = sets.select("id", "line", *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = sets.select(F.col("id").alias("oid"), F.col("line").alias("oline"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    return pairs.select("id", "line", "oid", "oline").join(right, ["oid", "oline"]).join(left, ["id", "line"])
+    side = lambda a, b, end: sets.select(F.col("id").alias(a), F.col("line").alias(b), *[F.col(c).alias(f"{c}{end}") for c in columns])  # noqa: E731  (alike, so one exchange serves both)
+    return pairs.select("id", "line", "oid", "oline").join(side("oid", "oline", "_b"), ["oid", "oline"]).join(side("id", "line", "_a"), ["id", "line"])
 
 
 def _possible(percent: int):
@@ -397,8 +402,7 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
 
     # The likeliest partner of each line is verified first; only where it fails come the others.
     alike = saved(_verified(pairs.filter("nth = 1"), sets, percent))
-    others = pairs.filter("nth > 1").join(alike, ["id", "line"], "left_anti")
-    alike = saved(alike.union(_among(others, sets, percent)))
+    others = pairs.filter("nth > 1").select("id", "line", "oid", "oline").join(alike, ["id", "line"], "left_anti")
 
     # Lines of crowded words that are still without a partner ask all rows of those words, cell by cell.
     asking = saved(crowd.join(alike, ["id", "line"], "left_anti"))
@@ -411,8 +415,9 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
         asks = asking.join(sizes, "t").select("t", *_POSTED_NAMES, block("blocks").alias("block"), every("shares").alias("share"), F.lit(True).alias("asks"))
         asked = crowd.join(sizes, "t").select("t", *_POSTED_NAMES, every("blocks").alias("block"), block("shares").alias("share"), F.lit(False).alias("asks"))
         more = asks.unionByName(asked).groupBy("t", "block", "share").applyInArrow(_cell(percent), "id long, place long, oid long, oline int")
-        more = more.select("id", F.shiftright("place", 32).cast("int").alias("line"), "oid", "oline").distinct().join(pairs, ["id", "line", "oid", "oline"], "left_anti")
-        alike = saved(alike.union(_among(saved(more), sets, percent)).distinct())
+        more = more.select("id", F.shiftright("place", 32).cast("int").alias("line"), "oid", "oline").filter("id <> oid OR line <> oline")
+        others = saved(others.union(more).distinct())
+    alike = saved(alike.union(_among(others, sets, percent)).distinct())
     return alike
 
 
@@ -431,8 +436,7 @@ def near_duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     classes = lines.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.sum(1 + F.size("ids")).alias("n")).filter("n > 1").select("k1", "k2", "first")
     again = lines.join(classes, ["k1", "k2"]).select("first", F.explode(F.array_append(F.arrays_zip(F.col("ids").alias("id"), F.col("lines").alias("line")), F.col("at"))).alias("at"))
     again = again.filter("at > first").select("at.id", "at.line")
-    cut = saved(again.union(alike).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("cut")))
-    return cut
+    return again.union(alike).groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("cut"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -31,7 +31,7 @@ CAP = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
 LARGEST = 64
 #: Rows of a source, size class and salt that are ordered in one task.
-CELL_ROWS = 1 << 18
+CELL_ROWS = 1 << 14
 BANDS = 8
 #: How firmly bands are held, how near the dual's gradient comes to zero (as a share of all tokens), and Newton steps at most.
 RIDGE, NEAR, NEWTON_STEPS = 0.05, 1e-7, 25
