@@ -27,7 +27,7 @@ PERCENT = 80
 CELL_BITS = 21
 _CHUNK_BITS = 14
 #: Partners of a line that one word emits, and places that rows of a word are compared over, before the word counts as crowded.
-MOST = 64
+MOST = 16
 REACH = 256
 #: Rows of a crowded word that meet in one task: those that ask, and those that are asked.
 ASKING, ASKED = 1024, 16384
@@ -212,9 +212,6 @@ class _Rows:
         return pa.RecordBatch.from_arrays([*none, pa.array(self.id[a]), pa.array(self.line[a] << 32), pa.array(self.id[b]), pa.array(self.line[b].astype(np.int32))], names=[*_POSTED_NAMES, "oid", "oline"])
 
 
-_PAIRS = pa.schema([*((k, pa.int64()) for k in _POSTED_NAMES), ("oid", pa.int64()), ("oline", pa.int32())])
-
-
 def _short_prefix(n: np.ndarray, percent: int) -> np.ndarray:
     """The prefix in which a line must meet any partner of at least its length."""
     return n - _ceil(n * 2 * percent, 100 + percent) + 1
@@ -285,20 +282,28 @@ def _meeter(percent: int, most: int, reach: int):
 
 
 def _cell(percent: int):
-    """All pairs between the asking rows of a crowded word (``asks``) and its other rows, within one cell."""
+    """The lines that ask (``asks``) in one cell of a crowded word and are alike to an earlier one of its other rows, judged on their word sets."""
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         c = _Rows(table)
+        sets = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         rest = np.flatnonzero(~asks)
-        out = []
+        found = []
         for own in np.flatnonzero(asks).tolist():
             late = (c.id[rest] < c.id[own]) | ((c.id[rest] == c.id[own]) & (c.line[rest] < c.line[own]))
             other = rest[late]
             short, long = np.minimum(c.n[other], c.n[own]), np.maximum(c.n[other], c.n[own])
             other = other[short * 100 >= long * percent]
-            out.append(c.pairs(*c.may(np.full(len(other), own), other, percent)))
-        return pa.Table.from_batches(out, schema=_PAIRS).select(["id", "place", "oid", "oline"])
+            _, other = c.may(np.full(len(other), own), other, percent)
+            for k in range(0, len(other), 64):
+                some = [sets[j] for j in other[k : k + 64].tolist()]
+                n = np.array([len(x) for x in some])
+                common = np.add.reduceat(np.isin(np.concatenate(some), sets[own]).astype(np.int64), np.cumsum(n) - n)
+                if (common * 100 >= (n + len(sets[own]) - common) * percent).any():
+                    found.append(own)
+                    break
+        return pa.table({"id": pa.array(c.id[found], pa.int64()), "line": pa.array(c.line[found].astype(np.int32), pa.int32())})
 
     return meet
 
@@ -403,8 +408,9 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
     # The likeliest partner of each line is verified first; only where it fails come the others.
     alike = saved(_verified(pairs.filter("nth = 1"), sets, percent))
     others = pairs.filter("nth > 1").select("id", "line", "oid", "oline").join(alike, ["id", "line"], "left_anti")
+    alike = saved(alike.union(_among(others, sets, percent)))
 
-    # Lines of crowded words that are still without a partner ask all rows of those words, cell by cell.
+    # Lines of crowded words that are still without a partner are compared with all rows of those words, cell by cell.
     asking = saved(crowd.join(alike, ["id", "line"], "left_anti"))
     if asking.take(1):
         crowd, asking = (x.withColumn("t", F.shiftright("word", 32)) for x in (crowd, asking))
@@ -412,12 +418,12 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
         sizes = saved(sizes.join(crowd.groupBy("t").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares")), "t"))
         block = lambda n: F.pmod(F.xxhash64("id", "line"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asks = asking.join(sizes, "t").select("t", *_POSTED_NAMES, block("blocks").alias("block"), every("shares").alias("share"), F.lit(True).alias("asks"))
-        asked = crowd.join(sizes, "t").select("t", *_POSTED_NAMES, every("blocks").alias("block"), block("shares").alias("share"), F.lit(False).alias("asks"))
-        more = asks.unionByName(asked).groupBy("t", "block", "share").applyInArrow(_cell(percent), "id long, place long, oid long, oline int")
-        more = more.select("id", F.shiftright("place", 32).cast("int").alias("line"), "oid", "oline").filter("id <> oid OR line <> oline")
-        others = saved(others.union(more).distinct())
-    alike = saved(alike.union(_among(others, sets, percent)).distinct())
+        own = sets.select("id", "line", "tokens")
+        columns = ["t", *_POSTED_NAMES, "tokens"]
+        asks = asking.join(sizes, "t").join(own, ["id", "line"]).select(*columns, block("blocks").alias("block"), every("shares").alias("share"), F.lit(True).alias("asks"))
+        asked = crowd.join(sizes, "t").join(own, ["id", "line"]).select(*columns, every("blocks").alias("block"), block("shares").alias("share"), F.lit(False).alias("asks"))
+        more = asks.unionByName(asked).groupBy("t", "block", "share").applyInArrow(_cell(percent), "id long, line int")
+        alike = saved(alike.union(more).distinct())
     return alike
 
 

@@ -2,12 +2,12 @@
 
 from collections import Counter
 
-from helpers import near_components
+from helpers import near_components, words
 from pyspark.sql import functions as F
-from test_operators import plain_lines, texts_of
+from test_operators import plain_languages, plain_lines, plain_targets, texts_of
 
 import corpus_pipeline
-from querywright.llm import langid, mixing, pieces
+from querywright.llm import langid, pieces
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -22,8 +22,8 @@ def test_stages(spark, sf_dir, tmp_path):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
     before, after = kept["language_id"]
-    said = {r.doc_id: r.accepted for r in langid.predict(before, langid.fit(before)).collect()}
-    assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, ok in said.items() if ok)
+    said = plain_languages(langid.fit(before), texts_of(before))
+    assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, (lang, margin) in said.items() if lang != "und" and margin >= langid.MIN_MARGIN)
     assert after.count() >= 0.97 * before.count()
     before, after = kept["line_dedup"]
     assert texts_of(after) == plain_lines(texts_of(before))
@@ -31,8 +31,15 @@ def test_stages(spark, sf_dir, tmp_path):
     want, _ = near_components(texts_of(before), 5)
     assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, c in want.items() if i == c)
     before, after = kept["mixing"]
-    copies = {r.doc_id: r.copies for r in mixing.plan(before).collect() if r.copies}
-    assert Counter(r.doc_id for r in after.collect()) == Counter(copies)
+    rows, sizes, taken = {r.doc_id: r for r in before.collect()}, Counter(), Counter()
+    for r in rows.values():
+        sizes[r.source] += len(words(r.text))
+    mixed = after.collect()
+    for r in mixed:
+        taken[r.source] += len(words(r.text))
+    assert all(tuple(r) == tuple(rows[r.doc_id]) for r in mixed) and max(Counter(r.doc_id for r in mixed).values()) <= 3
+    longest = max(len(words(r.text)) for r in rows.values())
+    assert all(abs(taken[s] - goal) <= longest / 2 + 1 for s, goal in plain_targets(dict(sizes)).items())
     before, after = kept["sentencepiece"]
     assert pieces.decode(after).filter(F.col("decoded") != F.col("text")).count() == 0 and after.count() == before.count()
 
