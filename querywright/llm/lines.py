@@ -126,20 +126,34 @@ def _vector(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u4" if len(blob) == 4 << _CHUNK_BITS else "<u8").astype(np.int64)
 
 
-def _levels(key: tuple, table: pa.Table) -> pa.Table:
+def _total(table: pa.Table) -> np.ndarray:
     total = np.zeros(1 << _CHUNK_BITS, np.int64)
     for batch in table.to_batches():
         for blob in batch.column("counts"):
             total += _vector(blob.as_py())
-    level = np.minimum(255, 8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+    return total
+
+
+def _summed(key: tuple, table: pa.Table) -> pa.Table:
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_total(table).astype("<u8").tobytes()], pa.binary())})
+
+
+def _levels(key: tuple, table: pa.Table) -> pa.Table:
+    level = np.minimum(255, 8 * np.log2(np.maximum(_total(table), 1))).astype(np.uint8)
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
 
 
-def rarity_table(described: DataFrame) -> np.ndarray:
-    """How often the words of each hash cell occur in all texts, as 8 log2 of the count (0: once at most); of fixed size."""
-    cells = described.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_levels, "chunk int, levels binary")
+def rarity_table(described: DataFrame, *, at_once: int = 256) -> np.ndarray:
+    """How often the words of each hash cell occur in all texts, as 8 log2 of the count (0: once at most); of fixed size.
+
+    Counts of many tasks are summed in two steps, about ``at_once`` of them at a time.
+    """
+    counts = described.filter("chunk IS NOT NULL").select("chunk", "counts")
+    groups = -(-counts.filter("chunk = 0").count() // at_once)
+    if groups > 1:
+        counts = counts.groupBy("chunk", F.pmod(F.xxhash64("counts"), F.lit(groups)).alias("part")).applyInArrow(_summed, "chunk int, counts binary")
     table = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in cells.collect():
+    for r in counts.groupBy("chunk").applyInArrow(_levels, "chunk int, levels binary").collect():
         table[r.chunk << _CHUNK_BITS : (r.chunk + 1) << _CHUNK_BITS] = np.frombuffer(r.levels, np.uint8)
     return table
 

@@ -591,6 +591,20 @@ def test_lines_of_crowded_words(spark):
     assert cut == {i: c for i, c in want.items() if c}
 
 
+def test_word_counts_in_steps(spark, small):
+    docs = small.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).repartition(7)
+    described = docs.mapInArrow(lines._describe, lines._DESCRIBED).cache()
+    tables = [lines.rarity_table(described, at_once=k) for k in (256, 2)]
+    counts = Counter()
+    for r in docs.collect():
+        counts.update((common.words(pa.array([r.text]), lower=True).hash >> np.uint64(64 - lines.CELL_BITS)).tolist())
+    want = np.zeros(1 << lines.CELL_BITS, np.uint8)
+    for cell, n in counts.items():
+        want[cell] = min(255, int(8 * np.log2(n)))
+    assert (tables[0] == want).all() and (tables[1] == want).all()
+    described.unpersist()
+
+
 @pytest.mark.parametrize("texts", [[None, None], ["", " \n ", "\t"], ["", "a b c"], [None, "a b c", "A  b c"]])
 def test_lines_without_words(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
