@@ -1,5 +1,7 @@
 """The remaining names of the function families: aliases, outer generators, time construction, string search."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import Registry, load
@@ -76,9 +78,9 @@ R.add("fn_soundex", lambda spark, sf_dir: load(spark, sf_dir, "part").selectExpr
 
 
 def _filled(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A new table with declared columns, filled from ``nation``."""
+    """A new table with declared columns, filled from ``nation``; its name is its own, since folders outlive a session's catalog."""
     load(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    name = f"{name}_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE TABLE {name} (k INT, name STRING, region INT) USING parquet")
     spark.sql(f"INSERT INTO {name} SELECT n_nationkey, n_name, n_regionkey FROM nation")
     return name
@@ -99,8 +101,6 @@ def ddl_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.frame("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY n_regionkey")
 def ddl_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A view over a table; a view of that name from before is dropped."""
     name = _filled(spark, sf_dir, "querywright_base")
-    spark.sql("DROP VIEW IF EXISTS querywright_view")
-    spark.sql(f"CREATE VIEW querywright_view AS SELECT region, count(*) AS n FROM {name} GROUP BY region")
-    return spark.table("querywright_view")
+    spark.sql(f"CREATE VIEW {name}_regions AS SELECT region, count(*) AS n FROM {name} GROUP BY region")
+    return spark.table(f"{name}_regions")
