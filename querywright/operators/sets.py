@@ -22,6 +22,6 @@ R.same(
 )
 R.pair(
     "recursive_hierarchy",
-    "WITH RECURSIVE up(k, top, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, top DIV 2, depth + 1 FROM up WHERE top > 0) SELECT k, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY k",
+    "WITH RECURSIVE up(k, top, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, top DIV 2, depth + 1 FROM up WHERE top > 0) SELECT k, CAST(max(depth) AS BIGINT) AS depth FROM (SELECT k, depth FROM up LIMIT ALL) whole GROUP BY k",
     "WITH RECURSIVE up(k, top, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, top // 2, depth + 1 FROM up WHERE top > 0) SELECT k, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY k",
 )
