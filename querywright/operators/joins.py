@@ -23,7 +23,6 @@ R.same(
     join_multi_key="SELECT s_suppkey, count(*) AS n, max(c_custkey) AS newest FROM supplier JOIN customer ON s_nationkey = c_nationkey AND floor(s_acctbal / 1000) = floor(c_acctbal / 1000) GROUP BY s_suppkey",
     join_fanout="SELECT c_mktsegment, count(DISTINCT o_orderkey) AS orders_n, count(*) AS lines_n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_mktsegment",
     join_sparse_left="SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    lateral_topn="SELECT c_custkey, t.o_orderkey FROM customer JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t ON TRUE",
     lateral_left="SELECT n_name, t.top FROM nation LEFT JOIN LATERAL (SELECT max(s_acctbal) AS top FROM supplier WHERE s_nationkey = n_nationkey) t ON TRUE",
     scalar_subquery="SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM orders)",
     scalar_correlated="SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS best FROM customer",
@@ -36,6 +35,11 @@ R.same(
     exists_in_select="SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') AS returned FROM orders o",
     having_subquery="SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > (SELECT avg(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) t)",
 )
+R.pair(
+    "lateral_topn",  # ORDER BY with LIMIT in a correlated LATERAL becomes a sort, an exchange and a row_number() without an order: the exchange keeps none
+    "SELECT c_custkey, t.o_orderkey FROM customer JOIN LATERAL (SELECT o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey NULLS LAST) AS place FROM orders) ranked WHERE o_custkey = c_custkey AND place <= 2) t ON TRUE",
+    "SELECT c_custkey, t.o_orderkey FROM customer JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t ON TRUE",
+)
 R.pair(
     "asof_rewrite",  # the newest earlier click of the user: one pass in time order, no join of all earlier ones
     "SELECT event_id, user_id, prior.event_id AS prior_id FROM (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'click' THEN named_struct('ts', ts, 'event_id', event_id) END) OVER (PARTITION BY user_id ORDER BY unix_micros(CAST(ts AS TIMESTAMP)) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM events) WHERE event_type = 'purchase' AND prior IS NOT NULL",

@@ -1,5 +1,7 @@
 """Queries on tables larger than the sample, and the shape of plans that decides how they grow."""
 
+import re
+
 from querywright.catalogue import queries
 
 
@@ -7,3 +9,9 @@ def test_hierarchy_is_not_cut_at_the_row_limit_of_recursion(spark, tmp_path):
     spark.range(1, 70_001).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     got = queries()["recursive_hierarchy"](spark, str(tmp_path)).collect()  # 1.2 million rows of recursion; Spark's limit is a million
     assert sorted((r.k, r.depth) for r in got) == [(k, k.bit_length()) for k in range(1, 70_001)]
+
+
+def test_lateral_top_rows_are_ranked_in_their_window(spark, sf_dir):
+    plan = queries()["lateral_topn"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    window = re.search(r"Window \[row_number\(\).*", plan)[0]
+    assert re.search(r"o_totalprice#\d+ DESC NULLS LAST, o_orderkey#\d+L ASC", window)  # a sort before the exchange is lost in it
