@@ -15,3 +15,16 @@ def test_lateral_top_rows_are_ranked_in_their_window(spark, sf_dir):
     plan = queries()["lateral_topn"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     window = re.search(r"Window \[row_number\(\).*", plan)[0]
     assert re.search(r"o_totalprice#\d+ DESC NULLS LAST, o_orderkey#\d+L ASC", window)  # a sort before the exchange is lost in it
+
+
+def test_counted_ranks_keep_nulls_and_compare_no_pairs(spark, tmp_path):
+    rows = [(k, None if k % 11 == 0 else k % 3, None if k % 7 == 0 else float(k % 5)) for k in range(1, 100)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = queries()["slow_rank_by_count"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
+    groups = {}
+    for k, nation, balance in rows:
+        groups.setdefault(nation, []).append((balance is None, -(balance or 0.0), k))
+    best = sorted(k for g in groups.values() for _, _, k in sorted(g)[:2])
+    assert sorted(r.s_suppkey for r in found.collect()) == best
