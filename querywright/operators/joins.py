@@ -26,7 +26,6 @@ R.same(
     lateral_left="SELECT n_name, t.top FROM nation LEFT JOIN LATERAL (SELECT max(s_acctbal) AS top FROM supplier WHERE s_nationkey = n_nationkey) t ON TRUE",
     scalar_subquery="SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM orders)",
     scalar_correlated="SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS best FROM customer",
-    scalar_correlated_noneq="SELECT s_suppkey, (SELECT count(*) FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_acctbal > a.s_acctbal) AS richer FROM supplier a",
     in_subquery="SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     not_in_subquery="SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     not_in_null="SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 5) FROM orders)",
@@ -40,6 +39,11 @@ R.pair(
     "SELECT c_custkey, t.o_orderkey FROM customer JOIN LATERAL (SELECT o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey NULLS LAST) AS place FROM orders) ranked WHERE o_custkey = c_custkey AND place <= 2) t ON TRUE",
     "SELECT c_custkey, t.o_orderkey FROM customer JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t ON TRUE",
 )
+R.pair(
+    "scalar_correlated_noneq",  # suppliers that are richer come before in the rank, so no pairs of a nation are compared; nothing is richer than null
+    "SELECT s_suppkey, CASE WHEN s_nationkey IS NULL OR s_acctbal IS NULL THEN 0L ELSE rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST) - 1L END AS richer FROM supplier",
+    "SELECT s_suppkey, (SELECT count(*) FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_acctbal > a.s_acctbal) AS richer FROM supplier a",
+)
 R.pair(
     "asof_rewrite",  # the newest earlier click of the user: one pass in time order, no join of all earlier ones
     "SELECT event_id, user_id, prior.event_id AS prior_id FROM (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'click' THEN named_struct('ts', ts, 'event_id', event_id) END) OVER (PARTITION BY user_id ORDER BY unix_micros(CAST(ts AS TIMESTAMP)) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM events) WHERE event_type = 'purchase' AND prior IS NOT NULL",

@@ -28,3 +28,13 @@ def test_counted_ranks_keep_nulls_and_compare_no_pairs(spark, tmp_path):
         groups.setdefault(nation, []).append((balance is None, -(balance or 0.0), k))
     best = sorted(k for g in groups.values() for _, _, k in sorted(g)[:2])
     assert sorted(r.s_suppkey for r in found.collect()) == best
+
+
+def test_richer_suppliers_are_counted_without_pairs(spark, tmp_path):
+    rows = [(k, None if k % 11 == 0 else k % 3, None if k % 7 == 0 else float(k % 5)) for k in range(1, 100)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = queries()["scalar_correlated_noneq"](spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    richer = lambda a: sum(None not in (a[1], a[2], b[2]) and b[1] == a[1] and b[2] > a[2] for b in rows)
+    assert sorted((r.s_suppkey, r.richer) for r in found.collect()) == [(r[0], richer(r)) for r in rows]
+    assert found.schema["richer"].dataType.simpleString() == "bigint"
