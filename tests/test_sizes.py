@@ -38,3 +38,13 @@ def test_richer_suppliers_are_counted_without_pairs(spark, tmp_path):
     richer = lambda a: sum(None not in (a[1], a[2], b[2]) and b[1] == a[1] and b[2] > a[2] for b in rows)
     assert sorted((r.s_suppkey, r.richer) for r in found.collect()) == [(r[0], richer(r)) for r in rows]
     assert found.schema["richer"].dataType.simpleString() == "bigint"
+
+
+def test_sketches_are_held_for_statuses_only(spark, tmp_path):
+    rows = [(k, k % 400, (None, "F", "O")[k % 3], float(k % 1000)) for k in range(6000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    found = queries()["approx_functions"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sketched = [line for line in plan.splitlines() if "Aggregate" in line and "approx_count_distinct" in line]
+    assert sketched and not any("o_custkey" in re.search(r"keys?=\[.*?\]", line)[0] for line in sketched)
+    assert sorted(map(tuple, found.collect()), key=repr) == [("F", True, True), ("O", True, True), (None, True, True)]
