@@ -48,3 +48,12 @@ def test_sketches_are_held_for_statuses_only(spark, tmp_path):
     sketched = [line for line in plan.splitlines() if "Aggregate" in line and "approx_count_distinct" in line]
     assert sketched and not any("o_custkey" in re.search(r"keys?=\[.*?\]", line)[0] for line in sketched)
     assert sorted(map(tuple, found.collect()), key=repr) == [("F", True, True), ("O", True, True), (None, True, True)]
+
+
+def test_sums_beyond_int_are_null_for_every_long_key(spark, tmp_path):
+    keys = [-(2**40), -4294966649, -4294966648, -1, 0, 647, 648, 2**31, 2**40, None]
+    row = "CAST(1 AS INT) AS l_linenumber, 4D AS l_quantity, 9D AS l_extendedprice, 0.1D AS l_discount, 0.5D AS l_tax"
+    spark.createDataFrame([(k,) for k in keys], "l_orderkey long").selectExpr("l_orderkey", *row.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: r.over for r in queries()["fn_math_aliases"](spark, str(tmp_path)).collect()}
+    assert got == {k: k + 2147483000 if k is not None and -(2**31) <= k + 2147483000 < 2**31 else None for k in keys}
+    assert spark.sql("SELECT try_add(2147483647, 1)").first()[0] is None
