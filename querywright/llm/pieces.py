@@ -7,6 +7,7 @@ segmentation, and every occurrence of a word in every document is cut on its own
 No piece crosses the start of a run of spaces, or holds a character that the vocabulary lacks, so texts are cut there.
 
 The agendas of all segments of a batch are worked off together, a candidate of each at a time, as arrays.
+Occurrences of a segment share a row until their draws part them.
 Nothing is kept from one batch to the next.
 
 Spaces are written as U+2581 with one put in front; characters that the vocabulary lacks, and a
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,9 @@ RATE = 0.1
 SEED = 11
 #: Longer segments are worked off one by one, with a heap.
 LONG = 64
-_ROWS = 1 << 15
+#: Occurrences that are worked off together, and the widths up to which segments share a table.
+_ROWS = 1 << 16
+_WIDTHS = (4, 6, 8, 10, 12, 16, 24, LONG)
 _MARK = "▁"
 _MASK = 2**64 - 1
 #: A merge is written as its place in the agenda's order, times 2**20, and the symbol made; this stands for no merge.
@@ -173,69 +178,88 @@ class Coder:
 
         return skipped
 
-    def _agenda(self, flat: np.ndarray, ranks: np.ndarray, start: np.ndarray, size: np.ndarray, base: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Works off the agendas of segments ``flat[start : start + size]`` (``ranks`` of neighbours beside them).
+    def _agenda(self, flat: np.ndarray, ranks: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray, base: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Works off the agendas of occurrences ``of`` segments ``flat[start : start + size]`` (``ranks`` of neighbours beside them).
 
-        Returns how many candidates came up, how many symbols are left, and the symbols of all segments in order.
+        Occurrences of a segment share a row until their draws part them, so a row stands for a segment and the skips so far.
+        Returns the row in which each occurrence ends, how many symbols rows have left, and the symbols of all rows in order.
         """
-        come, left = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        rows_done, symbols_done = [], []
+        into, lefts, symbols, ended = np.zeros(len(of), np.int64), [], [], 0
+        counts = np.bincount(of, minlength=len(start))
+        by_segment, first = np.argsort(of, kind="stable"), np.cumsum(counts) - counts
         by_size = np.argsort(size, kind="stable")
-        for a in range(0, len(by_size), _ROWS):
-            rows = by_size[a : a + _ROWS]
-            width = int(size[rows].max())
+        widths, load = size[by_size], np.cumsum(counts[by_size])
+        a = 0
+        while a < len(by_size):
+            width = min(w for w in _WIDTHS if w >= widths[a])
+            upto = np.searchsorted(load, load[a] + _ROWS, "right")
+            b = max(a + 1, min(np.searchsorted(widths, width, "right"), upto))
+            rows, width = by_size[a:b], int(widths[b - 1])
+            a = b
             at = start[rows][:, None] + np.arange(width)
             inside = np.arange(width) < size[rows][:, None]
             np.minimum(at, len(flat) - 1, out=at)
             s = np.where(inside, flat[at], -1)
             p = np.where(inside[:, 1:], ranks[at[:, : width - 1]], _NONE) if width > 1 else np.full((len(rows), 1), _NONE)
+            n = counts[rows]
+            row = np.repeat(np.arange(len(rows)), n)
+            who = by_segment[np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(len(row))]
+            key = None if base is None else base[who]
             step = 0
-            while len(rows):
+            while len(s):
                 k = (p >> 20).argmin(axis=1)  # the leftmost of equal scores
-                each = np.arange(len(rows))
-                best = p[each, k]
+                best = p[np.arange(len(s)), k]
                 live = best != _NONE
                 if not live.all():
                     done = s[~live]
                     real = done >= 0
-                    left[rows[~live]] = real.sum(axis=1)
-                    rows_done.append(rows[~live])
-                    symbols_done.append(done[real])
-                    rows, s, p, k, best = rows[live], s[live], p[live], k[live], best[live]
-                    if not len(rows):
+                    lefts.append(real.sum(axis=1))
+                    symbols.append(done[real])
+                    on = live[row]
+                    into[who[~on]] = ended + (np.cumsum(~live) - 1)[row[~on]]
+                    ended += len(done)
+                    row, who, key = (np.cumsum(live) - 1)[row[on]], who[on], None if key is None else key[on]
+                    s, p, k, best = s[live], p[live], k[live], best[live]
+                    if not len(s):
                         break
-                    each = np.arange(len(rows))
                 step += 1
-                come[rows] = step
-                if base is not None:
-                    skip = mix(base[rows] + _nth(step)) < U(self.limit)
-                    p[each[skip], k[skip]] = _NONE
-                    each, k, best = each[~skip], k[~skip], best[~skip]
-                    if not len(each):
-                        continue
-                # The pair at k becomes one symbol, and what is to its right moves one place to the left.
-                old, old_p = s[each], p[each]
-                new = np.full_like(old, -1)
-                column = np.arange(old.shape[1] - 1)
-                new[:, :-1] = np.where(column <= k[:, None], old[:, :-1], old[:, 1:])
-                own = np.arange(len(each))
-                new[own, k] = best & _MADE
-                new_p = np.full_like(old_p, _NONE)
-                new_p[:, :-1] = np.where(column[:-1] < k[:, None], old_p[:, :-1], old_p[:, 1:])
-                new_p[own, k] = _NONE
-                has = np.flatnonzero(new[own, k + 1] >= 0)
-                new_p[has, k[has]] = self.pairs(new[has, k[has]], new[has, k[has] + 1])
-                has = np.flatnonzero(k > 0)
-                new_p[has, k[has] - 1] = self.pairs(new[has, k[has] - 1], new[has, k[has]])
-                s[each], p[each] = new, new_p
-        if not rows_done:
-            return come, left, np.zeros(0, np.int32)
-        rows, symbols = np.concatenate(rows_done), np.concatenate(symbols_done)
-        n = left[rows]
-        begin = np.cumsum(n) - n
-        order = np.argsort(rows)
-        n, begin = n[order], begin[order]
-        return come, left, symbols[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                new_s, new_p, each = s[:0], p[:0], np.arange(len(s))
+                if key is not None:
+                    skip = mix(key + _nth(step)) < U(self.limit)
+                    skipping = np.bincount(row[skip], minlength=len(s)) > 0
+                    merging = np.bincount(row[~skip], minlength=len(s)) > 0
+                    all_skip = np.flatnonzero(~merging)
+                    p[all_skip, k[all_skip]] = _NONE
+                    parted = np.flatnonzero(skipping & merging)
+                    new_s, new_p = s[parted], p[parted]
+                    new_p[np.arange(len(parted)), k[parted]] = _NONE
+                    own = np.arange(len(s))
+                    own[parted] = len(s) + np.arange(len(parted))
+                    row = np.where(skip, own[row], row)
+                    each = np.flatnonzero(merging)
+                    k, best = k[each], best[each]
+                if len(each):
+                    s[each], p[each] = self._merged(s[each], p[each], k, best)
+                s, p = np.concatenate([s, new_s]), np.concatenate([p, new_p])
+        if not lefts:
+            return into, np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return into, np.concatenate(lefts), np.concatenate(symbols)
+
+    def _merged(self, s: np.ndarray, p: np.ndarray, k: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose pair at ``k`` became one symbol; what is to its right moves one place to the left."""
+        new = np.full_like(s, -1)
+        column = np.arange(s.shape[1] - 1)
+        new[:, :-1] = np.where(column <= k[:, None], s[:, :-1], s[:, 1:])
+        own = np.arange(len(s))
+        new[own, k] = best & _MADE
+        new_p = np.full_like(p, _NONE)
+        new_p[:, :-1] = np.where(column[:-1] < k[:, None], p[:, :-1], p[:, 1:])
+        new_p[own, k] = _NONE
+        has = np.flatnonzero(new[own, k + 1] >= 0)
+        new_p[has, k[has]] = self.pairs(new[has, k[has]], new[has, k[has] + 1])
+        has = np.flatnonzero(k > 0)
+        new_p[has, k[has] - 1] = self.pairs(new[has, k[has] - 1], new[has, k[has]])
+        return new, new_p
 
     def _ids(self, symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of symbols, and their count for each segment of ``left`` symbols: those without a piece become bytes."""
@@ -263,8 +287,8 @@ class Coder:
         total = int(offsets[-1])
         if not total:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        known: dict[str, int] = {}
-        code = np.fromiter((known.setdefault(part, len(known)) for parts in found for part in parts), np.int64, total)
+        known: defaultdict[str, int] = defaultdict(count().__next__)
+        code = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, total)
         unique = list(known)
         del found, known
         key = np.zeros(total, U)
@@ -281,34 +305,15 @@ class Coder:
             ranks[:-1] = self.pairs(flat[:-1], flat[1:])
         long = size > LONG
         short = np.flatnonzero(~long)
-        come, left, symbols = self._agenda(flat, ranks, start[short], size[short], None)
-        ids, n = self._ids(symbols, left)
-        pool, begin, length = [ids], np.zeros(total, np.int64), np.zeros(total, np.int64)
         nth = np.full(len(unique), -1)
         nth[short] = np.arange(len(short))
         own = nth[code]
         plain = own >= 0
-        begin[plain], length[plain] = (np.cumsum(n) - n)[own[plain]], n[own[plain]]
+        into, left, symbols = self._agenda(flat, ranks, start[short], size[short], own[plain], key[plain] if self.limit else None)
+        ids, n = self._ids(symbols, left)
+        pool, begin, length = [ids], np.zeros(total, np.int64), np.zeros(total, np.int64)
+        begin[plain], length[plain] = (np.cumsum(n) - n)[into], n[into]
         filled = len(ids)
-        if self.limit and len(short):
-            # Only occurrences that skip one of the candidates that would come up are worked off anew.
-            due = np.where(plain, come[own], 0)
-            hit = np.zeros(total, bool)
-            live = np.flatnonzero(due > 0)
-            k = 0
-            while len(live):
-                k += 1
-                skip = mix(key[live] + _nth(k)) < U(self.limit)
-                hit[live[skip]] = True
-                live = live[~skip]
-                live = live[due[live] > k]
-            hit = np.flatnonzero(hit)
-            of = code[hit]
-            _, left, symbols = self._agenda(flat, ranks, start[of], size[of], key[hit])
-            ids, n = self._ids(symbols, left)
-            pool.append(ids)
-            begin[hit], length[hit] = filled + np.cumsum(n) - n, n
-            filled += len(ids)
         for at in np.flatnonzero(~plain).tolist():
             part = unique[code[at]]
             symbols = self.segment(part, self._skips(int(key[at]))) if self.limit else self.segment(part)
