@@ -26,13 +26,15 @@ from .common import U, mix, saved, signed, slices, unused, words
 PERCENT = 80
 CELL_BITS = 21
 _CHUNK_BITS = 14
-#: Partners of a line that one word emits, and places that rows of a word are compared over, before the word counts as crowded.
+#: Rows that are held at once.
+HELD = 1 << 17
+#: Partners of a line that one word emits, and places that rows of a word are compared over, before the rows beyond count as crowded.
 MOST = 16
-REACH = 256
+REACH = HELD
+#: Rows with more partners in reach than SPAN are compared in tiles of so many rows and others; DEEP likely partners of a row a tile are looked at.
+SPAN, TILE, ACROSS, DEEP = 32, 64, 4096, 64
 #: Rows of a crowded word that meet in one task: those that ask, and those that are asked.
 ASKING, ASKED = 1024, 16384
-#: Rows that are compared at once.
-HELD = 1 << 17
 _LOW = U((1 << 56) - 1)
 
 
@@ -231,12 +233,22 @@ def _short_prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - _ceil(n * 2 * percent, 100 + percent) + 1
 
 
+def _place_among(a: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(a, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]])) if len(a) else order
+    place = np.empty(len(a), np.int64)
+    place[order] = np.arange(len(a)) - np.repeat(head, np.diff(np.append(head, len(a))))
+    return place
+
+
 def _meeter(percent: int, most: int, reach: int):
     """Joins rows sorted by (word, k1, id, place) with the rows of the same word: pairs (id, line, oid, oline), the later line first.
 
-    Rows are compared at a growing distance; one drops out at the end of its word's rows, or where lines
-    become too long for it.  A line returns at most ``most`` earlier partners a word, and rows are compared
-    over ``reach`` places; all rows of a word where either bound holds anything back are returned too (without ``oid``).
+    A row is compared with those after it until lines become too long for it, but over ``reach`` places at most, and a
+    line returns at most ``most`` earlier partners a word.  Both rows of a pair that this holds back are
+    returned too, without ``oid`` and with an ``oline`` that is 1 where the row is to ask the others; of a word with rows
+    out of reach all are.
     """
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,42 +267,69 @@ def _meeter(percent: int, most: int, reach: int):
                 table = table.slice(cut)
             if len(table) >= HELD:  # one word alone: its rows are let go as crowded
                 released = t[-1]
-                yield from crowd(table.slice(0, len(table) - 1))
+                yield from crowd(table.slice(0, len(table) - 1), np.ones(len(table) - 1, bool))
                 table = table.slice(len(table) - 1)
             held, rows = table.to_batches(), len(table)
         if rows:
             yield from found(pa.Table.from_batches(held), released)
 
-    def crowd(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for batch in table.combine_chunks().to_batches():
-            more = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*_POSTED_NAMES, "oid", "oline"])
+    def crowd(table: pa.Table, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = table.append_column("oid", pa.nulls(len(table), pa.int64())).append_column("oline", pa.array(asks.astype(np.int32)))
+        yield from table.combine_chunks().to_batches()
 
     def found(table: pa.Table, released: int | None) -> Iterator[pa.RecordBatch]:
         word, k1 = table.column("word").to_numpy(), table.column("k1").to_numpy()
         fresh = np.concatenate([[True], (word[1:] != word[:-1]) | (k1[1:] != k1[:-1])])
         if not fresh.all():
-            table = table.filter(pa.array(fresh))
+            table, word = table.filter(pa.array(fresh)), word[fresh]
         c = _Rows(table)
-        crowded = c.t == released if released is not None else np.zeros(len(c.t), bool)
-        met = np.zeros(len(c.t), np.int64)
-        here = np.flatnonzero(c.r <= _short_prefix(c.n, percent))
-        for step in range(1, reach + 2):
-            here = here[here + step < len(c.t)]
-            here = here[(c.t[here] == c.t[here + step]) & (c.n[here] * 100 >= c.n[here + step] * percent)]
-            if not len(here):
-                break
-            if step > reach:
-                crowded[here] = True
-                break
-            a, b = c.may(here, here + step, percent)
+        kept = c.t == released if released is not None else np.zeros(len(c.t), bool)
+        asks, met = kept.copy(), np.zeros(len(c.t), np.int64)
+
+        def some(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = c.may(a, b, percent)
+            use = met[a] + _place_among(a) < most
             np.add.at(met, a, 1)
-            use = met[a] <= most
-            crowded[a[~use]] = True
+            asks[a[~use]] = kept[a[~use]] = kept[b[~use]] = True
             if use.any():
                 yield c.pairs(a[use], b[use])
-        if crowded.any():
-            yield from crowd(table.filter(pa.array(np.isin(c.t, c.t[crowded]))))
+
+        def tile(rows: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            wide = c.n[rows[0]] > 64
+            sides = (c.parity, c.more) if wide else (c.parity ^ c.more,)  # folded, the parities of longer lines are no further apart
+            for at in range(rows[0] + 1, ends[-1], ACROSS):
+                to = min(at + ACROSS, ends[-1])
+                apart = sum(np.bitwise_count(x[rows][:, None] ^ x[at:to]) for x in sides)
+                room = (c.n[rows[-1]] + c.n[at:to]) * (100 - percent) // (100 + percent)
+                i, b = np.nonzero(apart <= np.minimum(room, 255).astype(np.uint8))
+                b += at
+                good = (b > rows[i]) & (b < ends[i])
+                i, b = i[good], b[good]
+                deep = _place_among(i) >= DEEP
+                for x in (rows[i[deep]], b[deep]):
+                    asks[x] = kept[x] = True
+                yield from some(rows[i[~deep]], b[~deep])
+
+        here = np.flatnonzero(c.r <= _short_prefix(c.n, percent))
+        ends = np.searchsorted(word, c.t[here] << 32 | c.n[here] * 100 // percent, "right")
+        far = np.isin(c.t, c.t[here[ends - here > reach + 1]])
+        kept |= far
+        asks |= far
+        ends = np.minimum(ends, here + reach + 1)
+        near = ends - here <= SPAN + 1
+        rows, to = here[near], ends[near]
+        for step in range(1, SPAN + 1):
+            left = rows + step < to
+            rows, to = rows[left], to[left]
+            if not len(rows):
+                break
+            yield from some(rows, rows + step)
+        rows, to = here[~near], ends[~near]
+        cuts = np.append(np.flatnonzero(_place_among(c.t[rows]) % TILE == 0), len(rows))
+        for k, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield from tile(rows[k:end], to[k:end])
+        if kept.any():
+            yield from crowd(table.filter(pa.array(kept)), asks[kept])
 
     return meet
 
@@ -412,7 +451,7 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
     post = _poster(spark.sparkContext.broadcast(rarity), percent)
     posted = plain.mapInArrow(post, _POSTED).repartition(parts, F.shiftright("word", 32)).sortWithinPartitions("word", "k1", "id", "place")
     met = saved(posted.mapInArrow(_meeter(percent, most, reach), _MET)).withColumn("line", F.shiftright("place", 32).cast("int"))
-    crowd = met.filter("oid IS NULL").select(*_POSTED_NAMES, "line")
+    crowd = met.filter("oid IS NULL").select(*_POSTED_NAMES, "line", F.col("oline").alias("to_ask"))
     pairs = met.filter("oid IS NOT NULL AND (id <> oid OR line <> oline)").groupBy("id", "line", "oid", "oline").agg(F.count("*").alias("shared"))
     best = Window.partitionBy("id", "line").orderBy(F.desc("shared"), "oid", "oline")
     pairs = saved(pairs.withColumn("nth", F.row_number().over(best)))
@@ -424,8 +463,8 @@ def _alike_to_earlier(plain: DataFrame, rarity: np.ndarray, percent: int, most:
     others = pairs.filter("nth > 1").select("id", "line", "oid", "oline").join(alike, ["id", "line"], "left_anti")
     alike = saved(alike.union(_among(others, sets, percent)))
 
-    # Lines of crowded words that are still without a partner are compared with all rows of those words, cell by cell.
-    asking = saved(crowd.join(alike, ["id", "line"], "left_anti"))
+    # Lines of crowded words that are to ask and still without a partner are compared with all rows returned for those words, cell by cell.
+    asking = saved(crowd.filter("to_ask = 1").join(alike, ["id", "line"], "left_anti"))
     if asking.take(1):
         crowd, asking = (x.withColumn("t", F.shiftright("word", 32)) for x in (crowd, asking))
         sizes = asking.groupBy("t").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("blocks"))

@@ -1,8 +1,10 @@
 """Each corpus operator against a plain version on small tables, and on odd, clashing and empty ones."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -591,6 +593,35 @@ def test_lines_of_crowded_words(spark):
     assert cut == {i: c for i, c in want.items() if c}
 
 
+def test_unlike_lines_of_one_word_stay_in_its_task():
+    """A word that thousands of unlike lines share sends on its few likely pairs, not the rows of all lines."""
+    draw = random.Random(3)
+    texts = [" ".join(["shared"] + [f"w{draw.randrange(100_000)}" for _ in range(19)]) for _ in range(3000)]
+    texts += [f"{t} more" for t in texts[:40]]
+    rarity = np.full(1 << lines.CELL_BITS, 200, np.uint8)
+    rarity[int(common.words(pa.array(["shared"])).hash[0] >> np.uint64(64 - lines.CELL_BITS))] = 10
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    posted = pa.Table.from_batches(lines._poster(SimpleNamespace(value=rarity), 80)([rows])).sort_by([(k, "ascending") for k in ("word", "k1", "id", "place")])
+    met = pa.Table.from_batches(lines._meeter(80, lines.MOST, lines.REACH)(posted.combine_chunks().to_batches()))
+    assert met.column("oid").null_count == 0 and len(met) < 1000  # all 3040 rows of the word were returned as crowded once
+    assert {(3000 + k, k) for k in range(40)} <= set(zip(met.column("id").to_pylist(), met.column("oid").to_pylist(), strict=True))
+
+
+def test_lines_of_words_with_many_rows(spark):
+    """Short and long lines, unlike ones and groups of near copies, that share words with more rows than are compared one by one."""
+    draw = random.Random(5)
+    some = lambda n: [f"w{k}" for k in draw.sample(range(150), n)]
+    texts = [some(draw.randrange(3, 110)) for _ in range(700)]
+    texts += [["shared", *some(draw.randrange(3, 110))] for _ in range(200)]
+    texts += [[w for w in base if draw.random() > 0.05] + [f"x{draw.randrange(5)}"] for base in (["shared", *some(30)], some(90)) for _ in range(120)]
+    draw.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = plain_lines(dict(rows))
+    for bounds in ({}, {"most": 3}, {"reach": 60}):
+        cut = lines.near_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), **bounds)
+        assert {r.id for r in cut.collect()} == {i for i, t in rows if t != want[i]}
+
+
 def test_word_counts_in_steps(spark, small):
     docs = small.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).repartition(7)
     described = docs.mapInArrow(lines._describe, lines._DESCRIBED).cache()
