@@ -1,13 +1,14 @@
 """The pipeline's stages, one after the other, against plain versions of what they decide."""
 
+import random
 from collections import Counter
 
-from helpers import near_components, words
+from helpers import SCHEMA, near_components, words
 from pyspark.sql import functions as F
 from test_operators import plain_languages, plain_lines, plain_targets, texts_of
 
 import corpus_pipeline
-from querywright.llm import langid, pieces
+from querywright.llm import langid, lines, pieces
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -53,3 +54,23 @@ def test_stages_take_odd_and_empty_tables(spark, clashing, empty, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).filter("ids IS NULL").count() == 0
+
+
+def test_line_stage_keeps_unlike_lines_of_frequent_words_back(spark, monkeypatch):
+    """Words with hundreds of unlike lines, as most are in a large corpus, have no word sets written for those lines."""
+    draw = random.Random(9)
+    texts = [" ".join(f"w{k}" for k in draw.sample(range(100), 20)) for _ in range(2500)]
+    texts += [f"{t} more" for t in texts[:30]]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    written, saved = [], lines.saved
+
+    def counting(df):
+        out = saved(df)
+        if "tokens" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "saved", counting)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.cut_repeated_lines(spark, docs, "").collect()}
+    assert got == {i: ("", 0) if i >= 2500 else (t, len(t)) for i, t in enumerate(texts)}
+    assert written and sum(written) < 250  # every line's once
